@@ -43,14 +43,20 @@ def repair_literal(col: Column, keep_words: bool = False) -> Column:
 
 
 def literal_object(col: Column) -> Column:
-    """Python dict (or JSON object) text to a string map, empty on any error."""
+    """JSON object or Python dict text to a string map, empty on any error.
+
+    Text that parses as it stands is not touched; bare Python words and ``u``
+    prefixes are only repaired where that fails.
+    """
     token = r"(?<=[{\[,:]\s{0,4})"
     stop = r"(?=\s*[,}\]])"
     text = F.regexp_replace(col, token + r"u(?=['\"])", "")
     for word, json_word in (("None", "null"), ("True", "true"), ("False", "false")):
         text = F.regexp_replace(text, token + word + stop, json_word)
-    parsed = F.from_json(text, MAP_TYPE, {"allowSingleQuotes": "true"})
-    return F.coalesce(parsed, empty_map())
+    quotes = {"allowSingleQuotes": "true"}
+    return F.coalesce(
+        F.from_json(col, MAP_TYPE, quotes), F.from_json(text, MAP_TYPE, quotes), empty_map()
+    )
 
 
 def sorted_map(col: Column) -> Column:

@@ -138,13 +138,11 @@ def widen(business: DataFrame) -> DataFrame:
         families[suffix] = f"m_{suffix}"
         parsed = parsed.withColumn(f"m_{suffix}", S.literal_object(F.col("m__Attr")[name]))
 
+    def tag(suffix: str):
+        return lambda key: F.struct(F.lit(suffix).alias("s"), key.alias("k"))
+
     tagged = F.flatten(
-        F.array(
-            *[
-                F.transform(F.map_keys(column), lambda k, s=suffix: F.struct(F.lit(s).alias("s"), k.alias("k")))
-                for suffix, column in families.items()
-            ]
-        )
+        F.array(*[F.transform(F.map_keys(column), tag(suffix)) for suffix, column in families.items()])
     )
     names = (
         parsed.select(F.explode(tagged).alias("t"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.text import bare_words, word_list
@@ -19,7 +19,7 @@ def clean_vocabulary(vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def phrases(messages: DataFrame, lengths) -> DataFrame:
+def phrases(messages: DataFrame, lengths: Column) -> DataFrame:
     """Every run of words of the given lengths, once per message."""
     words = F.col("__words")
 
@@ -29,9 +29,11 @@ def phrases(messages: DataFrame, lengths) -> DataFrame:
         ).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
-    found = F.array_distinct(F.flatten(F.transform(lengths, runs)))
-    return messages.withColumn("__words", word_list(bare_words(F.col("text")))).select(
-        "conv_id", "turn", F.explode(found).alias("phrase")
+    found = F.array_distinct(F.flatten(F.transform(F.col("__lengths"), runs)))
+    return (
+        messages.withColumn("__words", word_list(bare_words(F.col("text"))))
+        .withColumn("__lengths", lengths)
+        .select("conv_id", "turn", F.explode(found).alias("phrase"))
     )
 
 

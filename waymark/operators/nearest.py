@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -297,8 +298,6 @@ def nearest_lsh(
     """Approximate top-k by cosine: only items that share one of ``tables``
     hash buckets with the query are scored, exactly. Each bucket number is
     the sign pattern of ``bits`` random projections."""
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def buckets(vectors: pd.Series) -> pd.Series:
         import numpy as np
