@@ -25,31 +25,38 @@ def number_text(col: Column) -> Column:
     )
 
 
-def typed_value(col: Column) -> Column:
-    """Text to ``struct<kind, value>``.
-
-    Double quotes and then single quotes are stripped from both ends; what is
-    left is a bool, an int (digits only), a float (anything that reads as a
-    number, ``nan`` and ``inf`` included) or text. ``value`` is the printed
-    form, so two engines can compare it.
-    """
-    bare = F.btrim(F.btrim(col, F.lit('"')), F.lit("'"))
+def bare_text(col: Column) -> Column:
+    """Double quotes and then single quotes stripped from both ends."""
+    return F.btrim(F.btrim(col, F.lit('"')), F.lit("'"))
+
+
+def value_kind(bare: Column) -> Column:
+    """``bool``, ``int`` (digits only), ``float`` (anything that reads as a
+    number, ``nan`` and ``inf`` included) or ``text``; NULL stays NULL."""
     low = F.lower(bare)
-    as_double = F.when(low.rlike(FLOAT_PATTERN), F.trim(bare).try_cast("double"))
-    kind = (
-        F.when(col.isNull(), F.lit(None).cast("string"))
-        .when(low.isin("true", "false"), "bool")
+    return (
+        F.when(low.isin("true", "false"), "bool")
         .when(bare.rlike("^[0-9]+$"), "int")
-        .when(as_double.isNotNull(), "float")
-        .otherwise("text")
+        .when(low.rlike(FLOAT_PATTERN), "float")
+        .when(bare.isNotNull(), "text")
     )
-    value = (
-        F.when(kind == "bool", F.initcap(low))
+
+
+def printed_value(bare: Column, kind: Column) -> Column:
+    """The printed form of a typed value, so that two engines can compare it."""
+    return (
+        F.when(kind == "bool", F.initcap(F.lower(bare)))
         .when(kind == "int", F.regexp_replace(bare, "^0+(?=[0-9])", ""))
-        .when(kind == "float", number_text(as_double))
+        .when(kind == "float", number_text(F.trim(bare).try_cast("double")))
         .otherwise(bare)
     )
-    return F.struct(kind.alias("kind"), value.alias("value"))
+
+
+def typed_value(col: Column) -> Column:
+    """Text to ``struct<kind, value>``."""
+    bare = bare_text(col)
+    kind = value_kind(bare)
+    return F.struct(kind.alias("kind"), printed_value(bare, kind).alias("value"))
 
 
 def typed_variant(kind: Column, value: Column) -> Column:

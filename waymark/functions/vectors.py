@@ -39,4 +39,6 @@ def cosine(a: Column, b: Column) -> Column:
 def unit(a: Column) -> Column:
     """The vector scaled to length one; a zero vector has no direction (NULL)."""
     size = norm(a)
-    return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size))
+    # repeated, not captured: a lambda would work out the norm per element
+    sizes = F.array_repeat(size, F.size(a))
+    return F.when(size > 0, F.zip_with(a, sizes, lambda x, n: x.cast("double") / n))

@@ -15,30 +15,40 @@ EAV = ("business_id", "attribute_name", "attribute_value")
 MAX_WIDE_KEYS = 5_000
 
 
-def _explode_object(df: DataFrame, text: Column, strict: bool) -> DataFrame:
-    """One row per member of a JSON object: adds ``key`` and ``value`` (text).
+def _members(text: Column, strict: bool) -> Column:
+    """Members of a JSON object as an array of (key, value text).
 
-    NULL and empty objects give no row, a JSON null gives a NULL value.
-    ``strict`` ends the job on malformed JSON; otherwise it gives no row.
+    A JSON null has a NULL value; NULL text, an empty object and anything but
+    an object have no members. ``strict`` ends the job on malformed JSON,
+    which otherwise has no members either.
     """
     parse = F.parse_json if strict else F.try_parse_json
-    members = df.sparkSession.tvf.variant_explode(F.col("__object").outer())
-    return (
-        df.withColumn("__object", parse(text))
-        .lateralJoin(members)
-        .filter(F.col("key").isNotNull())
-        .withColumn("value", F.col("value").cast("string"))
-        .drop("__object", "pos")
+    members = F.map_entries(F.try_variant_get(parse(text), "$", "map<string,variant>"))
+    return F.transform(
+        members,
+        lambda m: F.struct(m["key"].alias("key"), m["value"].cast("string").alias("value")),
     )
 
 
 def flatten(business: DataFrame, strict: bool = True, states=STATES) -> DataFrame:
     """In-scope attributes as (business_id, attribute_name, attribute_value)."""
-    rows = in_scope(business, states).select("business_id", "attributes")
-    return _explode_object(rows, F.col("attributes"), strict).select(
-        "business_id",
-        F.col("key").alias("attribute_name"),
-        F.col("value").alias("attribute_value"),
+    rows = in_scope(business, states)
+    return rows.select("business_id", F.inline(_members(F.col("attributes"), strict))).toDF(*EAV)
+
+
+def _nested_members(strict: bool, keep_words: bool) -> Column:
+    """The opened dict of an attribute row as an array of (name, value).
+
+    Members without a value and the text ``null`` are left out.
+    """
+    text = S.repair_literal(F.col("attribute_value"), keep_words)
+    kept = F.filter(_members(text, strict), lambda m: m["value"] != "null")
+    return F.transform(
+        kept,
+        lambda m: F.struct(
+            F.concat_ws("_", F.col("attribute_name"), m["key"]).alias("attribute_name"),
+            m["value"].alias("attribute_value"),
+        ),
     )
 
 
@@ -46,39 +56,32 @@ def nested(eav: DataFrame, strict: bool = True, keep_words: bool = False) -> Dat
     """Members of the values that hold a Python dict, named ``parent_child``.
 
     A value is taken for a dict when it has a comma, so a dict with a single
-    member is not opened. NULL members and the text ``null`` are dropped.
+    member is not opened.
     """
     dicts = eav.filter(F.col("attribute_value").contains(","))
-    text = S.repair_literal(F.col("attribute_value"), keep_words)
-    return (
-        _explode_object(dicts, text, strict)
-        .filter(F.col("value").isNotNull() & (F.col("value") != "null"))
-        .select(
-            "business_id",
-            F.concat_ws("_", "attribute_name", "key").alias("attribute_name"),
-            F.col("value").alias("attribute_value"),
-        )
-    )
+    return dicts.select("business_id", F.inline(_nested_members(strict, keep_words)))
 
 
 def final(eav: DataFrame, strict: bool = True, keep_words: bool = False) -> DataFrame:
     """Plain values and opened dicts together, cleaned.
 
-    The check for ``none`` sees the value before its quotes are stripped, so
-    a quoted ``'none'`` survives to :func:`truthful`.
+    One pass: a row turns into its dict's members or into itself, so the
+    attributes are read and parsed once. The check for ``none`` sees the
+    value before its quotes are stripped, so a quoted ``'none'`` survives to
+    :func:`truthful`.
     """
     value = F.col("attribute_value")
-    tidy = F.replace(value, F.lit('""'), F.lit(""))
-    tidy = F.replace(tidy, F.lit("u'none'"), F.lit("Invalid"))
-    plain = (
-        eav.filter(~value.contains(","))
-        .withColumn("attribute_value", tidy)
-        .filter(value != "Invalid")
-        .select(*EAV)
+    tidy = F.replace(F.replace(value, F.lit('""'), F.lit("")), F.lit("u'none'"), F.lit("Invalid"))
+    plain = F.array(F.struct("attribute_name", tidy.alias("attribute_value")))
+    rows = F.when(value.contains(","), _nested_members(strict, keep_words)).when(
+        tidy != "Invalid", plain
     )
-    both = plain.unionByName(nested(eav, strict, keep_words))
     bare = F.replace(F.replace(value, F.lit("u'"), F.lit("")), F.lit("'"), F.lit(""))
-    return both.filter(~value.ilike("none")).withColumn("attribute_value", bare)
+    return (
+        eav.select("business_id", F.inline(rows))
+        .filter(~value.ilike("none"))
+        .withColumn("attribute_value", bare)
+    )
 
 
 def truthful(eav: DataFrame) -> DataFrame:

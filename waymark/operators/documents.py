@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from waymark.functions import semistructured as S
 from waymark.functions import text as T
-from waymark.functions.typed import number_text, typed_value, typed_variant
+from waymark.functions.typed import bare_text, number_text, printed_value, typed_variant, value_kind
 
-# Metadata names an attribute must not be laid under.
-BASE_FIELDS = ("name", "city", "state", "stars", "review_count", "latitude", "longitude", "categories")
 UNNAMED = "Unknown Business"
 
 
@@ -57,17 +55,21 @@ def prose(engineered: DataFrame, fix_minutes: bool = False) -> DataFrame:
 
 
 def typed_entries(attributes: Column) -> Column:
-    """Attribute map to an array of (name, kind, value); NULL values are dropped."""
-    kept = F.filter(F.map_entries(attributes), lambda e: e["value"].isNotNull())
-
-    def entry(e: Column) -> Column:
-        typed = typed_value(e["value"])
-        return F.struct(e["key"].alias("name"), typed["kind"].alias("kind"), typed["value"].alias("value"))
+    """Attribute map to an array of (name, kind, value); NULL values are dropped.
 
-    return F.coalesce(
-        F.transform(kept, entry),
-        F.array().cast("array<struct<name:string,kind:string,value:string>>"),
+    In steps, because a lambda works out each expression as often as it is
+    mentioned.
+    """
+    kept = F.filter(F.map_entries(attributes), lambda e: e["value"].isNotNull())
+    bare = F.transform(kept, lambda e: F.struct(e["key"].alias("name"), bare_text(e["value"]).alias("bare")))
+    kinds = F.transform(
+        bare, lambda e: F.struct(e["name"], value_kind(e["bare"]).alias("kind"), e["bare"])
+    )
+    typed = F.transform(
+        kinds,
+        lambda e: F.struct(e["name"], e["kind"], printed_value(e["bare"], e["kind"]).alias("value")),
     )
+    return F.coalesce(typed, F.array().cast("array<struct<name:string,kind:string,value:string>>"))
 
 
 def typed_attributes(objects: DataFrame) -> DataFrame:
@@ -113,49 +115,54 @@ def kb_document_v2(engineered: DataFrame) -> DataFrame:
     )
 
 
-def _typed_map(entries: Column) -> Column:
-    return F.map_from_entries(
-        F.transform(entries, lambda e: F.struct(e["name"], typed_variant(e["kind"], e["value"])))
-    )
-
+def _merged_json(rows: DataFrame, base: Column) -> DataFrame:
+    """(business_id, metadata): the base map with the typed attributes laid
+    over fields of the same name, as JSON text with sorted keys.
 
-def _sorted_json(values: Column) -> Column:
-    """JSON text of a map<string,variant> with its keys in order."""
-    keys = F.array_sort(F.map_keys(values))
-    return F.to_json(F.map_from_entries(F.transform(keys, lambda k: F.struct(k, values[k]))))
+    Each step is a column that the next one mentions twice, which keeps the
+    optimizer from folding it into a lambda.
+    """
+    over = F.map_from_entries(
+        F.transform("entries", lambda e: F.struct(e["name"], typed_variant(e["kind"], e["value"])))
+    )
+    taken = F.transform("entries", lambda e: e["name"])
+    free = F.array_except(F.map_keys("base"), taken)
+    kept = F.map_filter("base", lambda k, v: F.array_contains(F.col("free"), k) & v.isNotNull())
+    merged = (
+        rows.select("business_id", "entries", base.alias("base"))
+        .select("business_id", "base", over.alias("over"), free.alias("free"))
+        .select("business_id", F.map_concat(kept, F.col("over")).alias("merged"))
+    )
+    keys = F.array_sort(F.map_keys("merged"))
+    pairs = F.transform(keys, lambda k: F.struct(k, F.col("merged")[k]))
+    return merged.select("business_id", F.to_json(F.map_from_entries(pairs)).alias("metadata"))
 
 
-def _overlay(base: Column, entries: Column, reserved: tuple[str, ...]) -> Column:
-    """The base map with the typed attributes laid over fields of the same name."""
-    over = _typed_map(entries)
-    taken = F.transform(entries, lambda e: e["name"])
-    kept = F.map_filter(base, lambda k, v: ~F.array_contains(taken, k) & v.isNotNull())
-    return F.map_concat(kept, over)
+def _variant(col: Column) -> Column:
+    return col.cast("variant")
 
 
 def kb_metadata_v2(engineered: DataFrame) -> DataFrame:
     """Eight business fields with the typed attributes laid over them, as JSON."""
-    variant = lambda c: c.cast("variant")
-    base = F.create_map(
-        F.lit("name"), variant(T.default_text(F.col("name"), UNNAMED)),
-        F.lit("city"), variant(T.default_text(F.col("city"))),
-        F.lit("state"), variant(T.default_text(F.col("state"))),
-        F.lit("stars"), variant(F.col("stars")),
-        F.lit("review_count"), variant(F.col("review_count")),
-        F.lit("latitude"), variant(F.col("latitude")),
-        F.lit("longitude"), variant(F.col("longitude")),
-        F.lit("categories"), variant(T.default_text(F.col("categories"))),
-    )
-    merged = _overlay(base, typed_entries(F.col("attributes")), BASE_FIELDS)
-    return engineered.select("business_id", _sorted_json(merged).alias("metadata"))
+    values = {
+        "name": T.default_text(F.col("name"), UNNAMED),
+        "city": T.default_text(F.col("city")),
+        "state": T.default_text(F.col("state")),
+        "stars": F.col("stars"),
+        "review_count": F.col("review_count"),
+        "latitude": F.col("latitude"),
+        "longitude": F.col("longitude"),
+        "categories": T.default_text(F.col("categories")),
+    }
+    base = F.create_map(*[part for k, v in values.items() for part in (F.lit(k), _variant(v))])
+    return _merged_json(engineered.withColumn("entries", typed_entries(F.col("attributes"))), base)
 
 
 def kb_metadata_v1(category_attributes: DataFrame) -> DataFrame:
     """Categories and attribute text with the typed attributes laid over them."""
-    entries = typed_entries(F.col("attributes"))
     base = F.create_map(
-        F.lit("categories"), F.col("categories").cast("variant"),
-        F.lit("attribute_text"), _typed_text(entries).cast("variant"),
+        F.lit("categories"), _variant(F.col("categories")),
+        F.lit("attribute_text"), _variant(_typed_text(F.col("entries"))),
     )
-    merged = _overlay(base, entries, ("categories", "attribute_text"))
-    return category_attributes.select("business_id", _sorted_json(merged).alias("metadata"))
+    rows = category_attributes.withColumn("entries", typed_entries(F.col("attributes")))
+    return _merged_json(rows, base)

@@ -33,6 +33,7 @@ def make_scorer(metric: str, k: int, radius_km: float | None, cells: int = 2_000
     by value. ``cells`` bounds the score matrix held at a time.
     """
     axis, ecc2 = geo.AXIS_KM, geo.ECC2
+    km_per_lon = geo.MIN_KM_PER_LON_DEG
     lat_reach = None if radius_km is None else geo.box_degrees(radius_km)
     names = ["query_id", "item_id", "score", "l2", "ip", "cosine", "distance_km"]
     types = [pa.string(), pa.string()] + [pa.float64()] * 5
@@ -48,11 +49,30 @@ def make_scorer(metric: str, k: int, radius_km: float | None, cells: int = 2_000
     def numbers(table, name):
         return table.column(name).to_numpy().astype(float)
 
+    def close_pairs(q_lat, q_lon, lat, lon):
+        """Row, column and kilometres of the pairs within the radius."""
+        import numpy as np
+
+        dlat = q_lat[:, None] - lat[None, :]
+        dlon = np.abs(q_lon[:, None] - lon[None, :])
+        dlon = np.minimum(dlon, 360 - dlon)
+        widest = min(max(np.abs(lat).max(), np.abs(q_lat).max()), 89.999)
+        lon_reach = radius_km / (km_per_lon * np.cos(np.radians(widest)))
+        r, c = np.nonzero((np.abs(dlat) <= lat_reach) & (dlon <= lon_reach))
+        mid = np.radians((q_lat[r] + lat[c]) / 2)
+        w = np.sqrt(1 - ecc2 * np.sin(mid) ** 2)
+        north = axis * (1 - ecc2) / w**3 * np.radians(dlat[r, c])
+        east = axis / w * np.cos(mid) * np.radians(dlon[r, c])
+        km = np.sqrt(north * north + east * east)
+        near = km <= radius_km
+        return r[near], c[near], km[near]
+
     def score(queries, items):
         import numpy as np
 
+        empty = pa.table([pa.array([], t) for t in types], names=names)
         if queries.num_rows == 0 or items.num_rows == 0:
-            return pa.table([pa.array([], t) for t in types], names=names)
+            return empty
         items = items.sort_by("item_id")
         use_vectors = "vector" in items.column_names
         n = items.num_rows
@@ -68,52 +88,54 @@ def make_scorer(metric: str, k: int, radius_km: float | None, cells: int = 2_000
         parts = []
         for start in range(0, queries.num_rows, step):
             stop = min(start + step, queries.num_rows)
-            shape = (stop - start, n)
-            km = np.full(shape, np.nan)
-            near = np.ones(shape, dtype=bool)
-            if geo_needed:
-                dlat = q_lat[start:stop, None] - lat[None, :]
-                r, c = np.nonzero(np.abs(dlat) <= lat_reach)
-                gap = np.abs(q_lon[start:stop][r] - lon[c])
-                gap = np.radians(np.where(gap > 180, 360 - gap, gap))
-                mid = np.radians((q_lat[start:stop][r] + lat[c]) / 2)
-                w = np.sqrt(1 - ecc2 * np.sin(mid) ** 2)
-                north = axis * (1 - ecc2) / w**3 * np.radians(dlat[r, c])
-                east = axis / w * np.cos(mid) * gap
-                km[r, c] = np.sqrt(north * north + east * east)
-                near = km <= radius_km
             if use_vectors:
                 q = q_all[start:stop]
                 qq = (q * q).sum(axis=1)
-                ip = q @ x.T
-                l2 = np.maximum(qq[:, None] + xx[None, :] - 2 * ip, 0.0)
-                size = np.sqrt(qq)[:, None] * np.sqrt(xx)[None, :]
-                cosine = np.where(size > 0, ip / np.where(size > 0, size, 1.0), 0.0)
-            else:
-                ip = l2 = cosine = np.full(shape, np.nan)
-            raw = {"l2": l2, "ip": -ip, "cosine": -cosine, "distance": km}[metric]
-            ranked = np.where(near, np.round(raw, 6), np.inf)
+                raw = q @ x.T
+                if metric == "l2":
+                    raw *= -2
+                    raw += qq[:, None]
+                    raw += xx[None, :]
+                    np.maximum(raw, 0.0, out=raw)
+                else:
+                    np.negative(raw, out=raw)
+                    if metric == "cosine":
+                        size = np.sqrt(qq)[:, None] * np.sqrt(xx)[None, :]
+                        np.divide(raw, size, out=raw, where=size > 0)
+            if geo_needed:
+                r, c, km = close_pairs(q_lat[start:stop], q_lon[start:stop], lat, lon)
+                far = np.full((stop - start, n), np.inf)
+                far[r, c] = km if metric == "distance" else raw[r, c]
+                raw = far
+                distance = np.full((stop - start, n), np.nan)
+                distance[r, c] = km
             if n > k:
-                edge = np.partition(ranked, k - 1, axis=1)[:, k - 1]
-                rows, cols = np.nonzero((ranked <= edge[:, None]) & np.isfinite(ranked))
+                # a hair more than the k-th score, so no tie at six decimals is lost
+                edge = np.partition(raw, k - 1, axis=1)[:, k - 1] + 2e-6
+                rows, cols = np.nonzero((raw <= edge[:, None]) & np.isfinite(raw))
             else:
-                rows, cols = np.nonzero(np.isfinite(ranked))
-            # items are in id order, so a stable sort breaks ties by id
-            order = np.lexsort((cols, ranked[rows, cols], rows))
-            rows, cols = rows[order], cols[order]
+                rows, cols = np.nonzero(np.isfinite(raw))
+            ranked = np.round(raw[rows, cols], 6)
+            # items are in id order, so the column number breaks ties by id
+            order = np.lexsort((cols, ranked, rows))
+            rows, cols, ranked = rows[order], cols[order], ranked[order]
             first = np.searchsorted(rows, rows, side="left")
             keep = np.arange(len(rows)) - first < k
-            rows, cols = rows[keep], cols[keep]
+            rows, cols, ranked = rows[keep], cols[keep], ranked[keep]
+            none = np.full(len(rows), np.nan)
+            l2 = ip = cosine = none
+            if use_vectors:
+                ip = np.einsum("ij,ij->i", q[rows], x[cols])
+                l2 = np.maximum(qq[rows] + xx[cols] - 2 * ip, 0.0)
+                size = np.sqrt(qq[rows]) * np.sqrt(xx[cols])
+                cosine = np.divide(ip, size, out=np.zeros_like(ip), where=size > 0)
+            values = [ranked, l2, ip, cosine, distance[rows, cols] if geo_needed else none]
             parts.append(
                 pa.table(
                     [
                         queries.column("query_id").take(pa.array(rows + start)).cast(pa.string()),
                         items.column("item_id").take(pa.array(cols)).cast(pa.string()),
-                        pa.array(ranked[rows, cols]),
-                        pa.array(l2[rows, cols]),
-                        pa.array(ip[rows, cols]),
-                        pa.array(cosine[rows, cols]),
-                        pa.array(km[rows, cols]),
+                        *[pa.array(v) for v in values],
                     ],
                     names=names,
                 )
