@@ -26,11 +26,20 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 RESULT = "query_id string, item_id string, score double, l2 double, ip double, cosine double, distance_km double"
 
 
-def make_scorer(metric: str, k: int, radius_km: float | None, cells: int = 2_000_000):
+def make_scorer(
+    metric: str,
+    k: int,
+    radius_km: float | None,
+    unit_queries: bool = False,
+    unit_items: bool = False,
+    cells: int = 2_000_000,
+):
     """Builds ``score(queries, items) -> best k per query`` on Arrow tables.
 
-    Everything it uses is local to the function, so it reaches the executors
-    by value. ``cells`` bounds the score matrix held at a time.
+    Rows without a vector, or without a direction where a side is scaled to
+    unit length, take no part. Everything the function uses is local to it,
+    so it reaches the executors by value. ``cells`` bounds the score matrix
+    held at a time.
     """
     axis, ecc2 = geo.AXIS_KM, geo.ECC2
     km_per_lon = geo.MIN_KM_PER_LON_DEG
@@ -39,12 +48,25 @@ def make_scorer(metric: str, k: int, radius_km: float | None, cells: int = 2_000
     types = [pa.string(), pa.string()] + [pa.float64()] * 5
     geo_needed = radius_km is not None
 
-    def matrix(table, name):
+    def vectors(table, unit):
+        """The rows that count, their vectors as a matrix, squared lengths."""
         import numpy as np
 
-        rows = table.num_rows
-        flat = table.column(name).combine_chunks().flatten()
-        return np.asarray(flat.to_numpy(zero_copy_only=False), dtype=float).reshape(rows, -1)
+        column = table.column("vector")
+        if column.null_count:
+            table = table.filter(column.is_valid())
+        if table.num_rows == 0:
+            return table, np.empty((0, 0)), np.empty(0)
+        flat = table.column("vector").combine_chunks().flatten()
+        x = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=float).reshape(table.num_rows, -1)
+        xx = (x * x).sum(axis=1)
+        if unit:
+            known = np.nonzero(xx > 0)[0]
+            if len(known) < len(xx):
+                table, x, xx = table.take(pa.array(known)), x[known], xx[known]
+            x = x / np.sqrt(xx)[:, None]
+            xx = np.ones(len(xx))
+        return table, x, xx
 
     def numbers(table, name):
         return table.column(name).to_numpy().astype(float)
@@ -59,10 +81,13 @@ def make_scorer(metric: str, k: int, radius_km: float | None, cells: int = 2_000
         widest = min(max(np.abs(lat).max(), np.abs(q_lat).max()), 89.999)
         lon_reach = radius_km / (km_per_lon * np.cos(np.radians(widest)))
         r, c = np.nonzero((np.abs(dlat) <= lat_reach) & (dlon <= lon_reach))
-        mid = np.radians((q_lat[r] + lat[c]) / 2)
-        w = np.sqrt(1 - ecc2 * np.sin(mid) ** 2)
-        north = axis * (1 - ecc2) / w**3 * np.radians(dlat[r, c])
-        east = axis / w * np.cos(mid) * np.radians(dlon[r, c])
+        # the cosine of twice the middle latitude, without a call per pair
+        a, b = np.radians(q_lat), np.radians(lat)
+        twice = np.cos(a)[r] * np.cos(b)[c] - np.sin(a)[r] * np.sin(b)[c]
+        w2 = 1 - ecc2 * (1 - twice) / 2
+        w = np.sqrt(w2)
+        north = axis * (1 - ecc2) / (w2 * w) * np.radians(dlat[r, c])
+        east = axis / w * np.sqrt((1 + twice) / 2) * np.radians(dlon[r, c])
         km = np.sqrt(north * north + east * east)
         near = km <= radius_km
         return r[near], c[near], km[near]
@@ -70,17 +95,16 @@ def make_scorer(metric: str, k: int, radius_km: float | None, cells: int = 2_000
     def score(queries, items):
         import numpy as np
 
-        empty = pa.table([pa.array([], t) for t in types], names=names)
-        if queries.num_rows == 0 or items.num_rows == 0:
-            return empty
-        items = items.sort_by("item_id")
         use_vectors = "vector" in items.column_names
-        n = items.num_rows
+        items = items.sort_by("item_id")
         if use_vectors:
-            x, q_all = matrix(items, "vector"), matrix(queries, "vector")
-            if x.shape[1] != q_all.shape[1]:
-                raise ValueError(f"vectors are {x.shape[1]} wide, queries {q_all.shape[1]}")
-            xx = (x * x).sum(axis=1)
+            items, x, xx = vectors(items, unit_items)
+            queries, q_all, qq_all = vectors(queries, unit_queries)
+        if queries.num_rows == 0 or items.num_rows == 0:
+            return pa.table([pa.array([], t) for t in types], names=names)
+        if use_vectors and x.shape[1] != q_all.shape[1]:
+            raise ValueError(f"vectors are {x.shape[1]} wide, queries {q_all.shape[1]}")
+        n = items.num_rows
         if geo_needed:
             lat, lon = numbers(items, "latitude"), numbers(items, "longitude")
             q_lat, q_lon = numbers(queries, "latitude"), numbers(queries, "longitude")
@@ -89,8 +113,7 @@ def make_scorer(metric: str, k: int, radius_km: float | None, cells: int = 2_000
         for start in range(0, queries.num_rows, step):
             stop = min(start + step, queries.num_rows)
             if use_vectors:
-                q = q_all[start:stop]
-                qq = (q * q).sum(axis=1)
+                q, qq = q_all[start:stop], qq_all[start:stop]
                 raw = q @ x.T
                 if metric == "l2":
                     raw *= -2
@@ -250,14 +273,15 @@ def best(found: DataFrame, k: int) -> DataFrame:
 def _small_table(queries: DataFrame, limit: int) -> pa.Table | None:
     """The queries as one Arrow table if they fit the limit, else None.
 
-    Counted first; only a table known to be small is fetched.
+    The vector width of one row gives the number of rows that fit; no more
+    than that, and one to tell that there are more, are ever fetched.
     """
-    size = queries.agg(
-        F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dim")
-    ).first()
-    if size["n"] == 0 or size["n"] * (size["dim"] * 8 + 64) > limit:
+    one = queries.select(F.size("vector").alias("dim")).filter("dim > 0").first()
+    if one is None:
         return None
-    return queries.toArrow()
+    fits = limit // (one["dim"] * 8 + 64)
+    table = queries.limit(fits + 1).toArrow()
+    return table if table.num_rows <= fits else None
 
 
 def nearest(
@@ -266,6 +290,8 @@ def nearest(
     k: int,
     metric: str = "l2",
     radius_km: float | None = None,
+    unit_queries: bool = False,
+    unit_items: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The k items closest to each query, exactly.
@@ -275,14 +301,12 @@ def nearest(
     ``cosine`` or ``distance``. With a radius, only items within it count, and
     both sides meet in grid cells no smaller than the radius. Without one,
     queries below ``broadcast_bytes`` travel to the items, which then do not
-    move at all; more queries meet the items in blocks.
+    move at all; more queries meet the items in blocks. ``unit_queries`` and
+    ``unit_items`` scale a side to length one first.
     """
     queries = queries.select(*_columns(queries, "query_id", metric, radius_km))
     items = items.select(*_columns(items, "item_id", metric, radius_km))
-    if metric != "distance":
-        queries = queries.filter(F.col("vector").isNotNull())
-        items = items.filter(F.col("vector").isNotNull())
-    score = make_scorer(metric, k, radius_km)
+    score = make_scorer(metric, k, radius_km, unit_queries, unit_items)
     if radius_km is not None:
         found = _blocked(*to_cells(queries, items, radius_km), ("band", "cell"), score)
     else:
@@ -314,7 +338,7 @@ def nearest_lsh(
     k: int,
     dim: int,
     tables: int = 8,
-    bits: int = 6,
+    bits: int = 4,
     seed: int = 7,
 ) -> DataFrame:
     """Approximate top-k by cosine: only items that share one of ``tables``

@@ -30,11 +30,6 @@ def as_items(business_vectors: DataFrame) -> DataFrame:
     return business_vectors.withColumnRenamed("business_id", "item_id")
 
 
-def unit_vectors(df: DataFrame) -> DataFrame:
-    """Vectors scaled to length one; rows without a direction drop out."""
-    return df.withColumn("vector", V.unit(F.col("vector"))).filter(F.col("vector").isNotNull())
-
-
 def rerank(hits: DataFrame, results: int, *order: Column) -> DataFrame:
     """Second stage: reorder each query's hits and keep the first ones."""
     by = Window.partitionBy("query_id").orderBy(*order, "business_id")
@@ -61,13 +56,15 @@ def two_stage(
     radius_km: float | None = RADIUS_KM,
     min_cosine: float | None = None,
     nearer_first: bool = False,
+    unit_items: bool = False,
 ) -> DataFrame:
     """Nearest candidates by L2 within the radius, then the best by cosine.
 
     ``min_cosine`` cuts between the stages; ``nearer_first`` breaks cosine
-    ties by distance. A query without text, place or candidate has no rows.
+    ties by distance; ``unit_items`` takes the business vectors at length one,
+    leaving out those without a direction. A query without text, place or candidate has no rows.
     """
-    hits = _hits(nearest(queries, items, candidates, "l2", radius_km))
+    hits = _hits(nearest(queries, items, candidates, "l2", radius_km, unit_items=unit_items))
     if min_cosine is not None:
         hits = hits.filter(F.col("similarity") >= min_cosine)
     order = [F.desc("similarity")] + ([F.asc("distance_km")] if nearer_first else [])
@@ -88,12 +85,14 @@ def near_search(
     queries: DataFrame, items: DataFrame, results: int = NEAR_RESULTS
 ) -> DataFrame:
     """Unit business vectors against the query vector as it is."""
-    return two_stage(queries, unit_vectors(items), NEAR_CANDIDATES, results, nearer_first=True)
+    return two_stage(
+        queries, items, NEAR_CANDIDATES, results, nearer_first=True, unit_items=True
+    )
 
 
 def global_search(queries: DataFrame, items: DataFrame, results: int = GLOBAL_RESULTS) -> DataFrame:
     """No place: unit vectors on both sides, largest inner product."""
-    found = nearest(unit_vectors(queries), unit_vectors(items), results, "ip")
+    found = nearest(queries, items, results, "ip", unit_queries=True, unit_items=True)
     hits = _hits(found)
     return rerank(hits, results, F.desc("similarity")).select(
         "query_id", "rank", "business_id", "similarity"
