@@ -162,8 +162,35 @@ def _search_text() -> str:
     )
 
 
-def _profile_select(*columns: str) -> str:
-    return ", ".join(columns)
+def _follow_up(results: int) -> str:
+    return (
+        "SELECT query_id, CAST(rank AS INT) AS rank, business_id, round(distance_km, 2) AS distance_km, "
+        "round(similarity, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id "
+        f"ORDER BY similarity DESC, business_id) AS rank FROM (SELECT p.query_id, p.business_id, p.distance_km, {COS} "
+        f"AS similarity FROM ({CLI}) p JOIN follow_up_queries q ON q.query_id = p.query_id JOIN items i "
+        f"ON i.business_id = p.business_id)) WHERE rank <= {results} AND similarity >= 0.1"
+    )
+
+
+def _prefs_text() -> str:
+    docs = _weights("prose", "business_id", "combined_text")
+    asked = _weights("usr", "user_id", "categories")
+    spots = (
+        "SELECT u.user_id, g.latitude, g.longitude FROM usr u JOIN gazetteer g "
+        "ON lower(u.city) = g.city AND u.state = g.state"
+    )
+    return with_ctes(
+        "SELECT user_id, CAST(rank AS INT) AS rank, business_id, similarity, distance_km FROM (SELECT *, row_number() "
+        "OVER (PARTITION BY user_id ORDER BY similarity DESC, distance_km, business_id) AS rank FROM (SELECT *, "
+        "row_number() OVER (PARTITION BY user_id ORDER BY round(2 - 2 * ip, 6), business_id) AS first_rank FROM ("
+        f"SELECT q.user_id, i.business_id, coalesce(s.ip, 0) AS ip, round(coalesce(s.ip, 0), 6) AS similarity, "
+        f"round({KM}, 6) AS distance_km FROM ({spots}) q JOIN prose i ON {BOX} AND {KM} <= 5 "
+        "LEFT JOIN (SELECT a.key AS user_id, d.key AS business_id, sum(a.weight * d.weight) AS ip FROM asked_weights a "
+        "JOIN doc_weights d USING (bucket) GROUP BY 1, 2) s ON s.user_id = q.user_id "
+        "AND s.business_id = i.business_id)) WHERE first_rank <= 5) WHERE rank <= 1",
+        ("asked_weights", asked),
+        ("doc_weights", docs),
+    )
 
 
 def oracle_sql() -> dict[str, str]:
@@ -276,13 +303,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "search_kb": w(KB),
         "search_followup": w(
-            "SELECT s.query_id, CAST(s.rank AS INT) AS rank, s.business_id, round(s.distance_km, 2) AS distance_km, "
-            "round(s.similarity, 4) AS similarity, b.name, b.categories FROM (SELECT *, row_number() OVER "
-            "(PARTITION BY query_id ORDER BY similarity DESC, business_id) AS rank FROM (SELECT p.query_id, "
-            f"p.business_id, p.distance_km, {COS} AS similarity FROM ({CLI}) p JOIN follow_up_queries q "
-            "ON q.query_id = p.query_id JOIN items i ON i.business_id = p.business_id)) s JOIN business b "
-            "USING (business_id) WHERE s.rank <= 5 AND s.similarity >= 0.1"
+            f"SELECT s.*, b.name, b.categories FROM ({_follow_up(5)}) s JOIN business b USING (business_id)"
         ),
+        "followup_best": w(_follow_up(1)),
         "search_text": _search_text(),
         "search_presented": w(PRESENTED),
         "prompt_table": w(
@@ -298,6 +321,7 @@ def oracle_sql() -> dict[str, str]:
             + _two_stage("located_users", "unit_items", 5, 1, order="similarity DESC, distance_km, business_id")
             + ") s JOIN business b USING (business_id)"
         ),
+        "prefs_text_recommend": _prefs_text(),
         "user_preferences": w(
             "SELECT user_id, name, string_agg(DISTINCT token, ', ' ORDER BY token) AS preferences FROM (SELECT "
             "user_id, name, lower(trim(unnest(string_split(categories, ',')))) AS token FROM usr) "
@@ -359,6 +383,9 @@ def oracle_sql() -> dict[str, str]:
             "SELECT d.business_id AS id, d.document, m.metadata, 384 AS dim FROM kb_doc d "
             "JOIN kb_meta m USING (business_id)"
         ),
+        "embedding_table": w(
+            "SELECT business_id, name, city, state, latitude, longitude, categories, combined_text, 384 AS dim FROM prose"
+        ),
         "append_write": w(
             "SELECT business_id, attributes FROM engineered UNION ALL SELECT business_id, attributes FROM engineered"
         ),

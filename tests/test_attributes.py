@@ -208,7 +208,7 @@ def test_prose_leaves_out_price_range(spark):
 
 def test_kb_document_defaults(spark):
     rows = engineered(spark, {"a": "True", "b": None, "n": "4"}, name=None, categories=None, hours=None, city=None)
-    assert documents.kb_document_v2(rows).first()["document"] == (
+    assert documents.kb_v2(rows).first()["document"] == (
         "Business Name: Unknown Business\nAddress: A, , PA 1\nCategories: \n"
         "Rating: 3.0 stars (4 reviews)\nAttributes: a=True, n=4\nHours: \n"
     )
@@ -216,10 +216,10 @@ def test_kb_document_defaults(spark):
 
 def test_metadata_overlay(spark):
     rows = engineered(spark, {"city": "other", "Bike": "True", "n": "4", "f": "2.5", "t": "u'x'"})
-    meta = json.loads(documents.kb_metadata_v2(rows).first()["metadata"])
+    meta = json.loads(documents.kb_v2(rows).first()["metadata"])
     assert meta == {
         "name": "N", "city": "other", "state": "PA", "stars": 3.0, "review_count": 4, "latitude": 1.0,
         "longitude": 2.0, "categories": "x, ,y,x", "Bike": True, "n": 4, "f": 2.5, "t": "u'x",
     }
-    v1 = json.loads(documents.kb_metadata_v1(rows.select("business_id", "categories", "attributes")).first()["metadata"])
+    v1 = json.loads(documents.kb_v1(rows.select("business_id", "categories", "attributes")).first()["metadata"])
     assert v1["attribute_text"].startswith("city=other, Bike=True") and v1["Bike"] is True

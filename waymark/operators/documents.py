@@ -15,8 +15,9 @@ UNNAMED = "Unknown Business"
 def prose(engineered: DataFrame, fix_minutes: bool = False) -> DataFrame:
     """Adds ``attribute_text``, ``hours_text`` and ``combined_text``.
 
-    Businesses whose attribute text still names a price range are left out,
-    and fully equal rows are folded into one.
+    Businesses whose attribute text still names a price range are left out.
+    Rows that agree in everything the text is made from, and in the postal
+    code, are folded into one.
     """
     attribute_text = F.coalesce(T.attribute_prose(F.col("attributes")), F.lit(""))
     hours_text = T.hours_prose(S.hours_object(F.col("hours")), fix_minutes)
@@ -49,8 +50,11 @@ def prose(engineered: DataFrame, fix_minutes: bool = False) -> DataFrame:
             "attribute_text",
             "hours_text",
             T.single_line(F.col("combined_text")).alias("combined_text"),
+            "postal_code",
+            F.to_json("attributes").alias("attributes"),
         )
         .dropDuplicates()
+        .drop("postal_code", "attributes")
     )
 
 
@@ -81,69 +85,47 @@ def _typed_text(entries: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(e["name"], F.lit("="), e["value"])), ", ")
 
 
-def kb_document_v1(category_attributes: DataFrame) -> DataFrame:
+def document_v1() -> Column:
     """Three lines: id, categories, attributes."""
-    attrs = _typed_text(typed_entries(F.col("attributes")))
-    return category_attributes.select(
-        "business_id",
-        F.concat(
-            F.lit("Business ID: "), "business_id",
-            F.lit("\nCategories: "), "categories",
-            F.lit("\nAttributes: "), attrs,
-            F.lit("\n"),
-        ).alias("document"),
+    return F.concat(
+        F.lit("Business ID: "), "business_id",
+        F.lit("\nCategories: "), "categories",
+        F.lit("\nAttributes: "), _typed_text(F.col("entries")),
+        F.lit("\n"),
     )
 
 
-def kb_document_v2(engineered: DataFrame) -> DataFrame:
+def document_v2() -> Column:
     """Six lines: name, address, categories, rating, attributes, hours."""
     blank = lambda c: T.default_text(F.col(c))
-    return engineered.select(
-        "business_id",
-        F.concat(
-            F.lit("Business Name: "), T.default_text(F.col("name"), UNNAMED),
-            F.lit("\nAddress: "), blank("address"), F.lit(", "), blank("city"),
-            F.lit(", "), blank("state"), F.lit(" "), blank("postal_code"),
-            F.lit("\nCategories: "), blank("categories"),
-            F.lit("\nRating: "), F.coalesce(number_text(F.col("stars")), F.lit("None")),
-            F.lit(" stars ("), F.coalesce(F.col("review_count").cast("string"), F.lit("None")),
-            F.lit(" reviews)"),
-            F.lit("\nAttributes: "), _typed_text(typed_entries(F.col("attributes"))),
-            F.lit("\nHours: "), T.pairs_text(S.hours_object(F.col("hours")), ": "),
-            F.lit("\n"),
-        ).alias("document"),
+    return F.concat(
+        F.lit("Business Name: "), T.default_text(F.col("name"), UNNAMED),
+        F.lit("\nAddress: "), blank("address"), F.lit(", "), blank("city"),
+        F.lit(", "), blank("state"), F.lit(" "), blank("postal_code"),
+        F.lit("\nCategories: "), blank("categories"),
+        F.lit("\nRating: "), F.coalesce(number_text(F.col("stars")), F.lit("None")),
+        F.lit(" stars ("), F.coalesce(F.col("review_count").cast("string"), F.lit("None")),
+        F.lit(" reviews)"),
+        F.lit("\nAttributes: "), _typed_text(F.col("entries")),
+        F.lit("\nHours: "), T.pairs_text(S.hours_object(F.col("hours")), ": "),
+        F.lit("\n"),
     )
 
 
-def _merged_json(rows: DataFrame, base: Column) -> DataFrame:
-    """(business_id, metadata): the base map with the typed attributes laid
-    over fields of the same name, as JSON text with sorted keys.
-
-    Each step is a column that the next one mentions twice, which keeps the
-    optimizer from folding it into a lambda.
-    """
-    over = F.map_from_entries(
-        F.transform("entries", lambda e: F.struct(e["name"], typed_variant(e["kind"], e["value"])))
-    )
-    taken = F.transform("entries", lambda e: e["name"])
-    free = F.array_except(F.map_keys("base"), taken)
-    kept = F.map_filter("base", lambda k, v: F.array_contains(F.col("free"), k) & v.isNotNull())
-    merged = (
-        rows.select("business_id", "entries", base.alias("base"))
-        .select("business_id", "base", over.alias("over"), free.alias("free"))
-        .select("business_id", F.map_concat(kept, F.col("over")).alias("merged"))
-    )
-    keys = F.array_sort(F.map_keys("merged"))
-    pairs = F.transform(keys, lambda k: F.struct(k, F.col("merged")[k]))
-    return merged.select("business_id", F.to_json(F.map_from_entries(pairs)).alias("metadata"))
-
-
 def _variant(col: Column) -> Column:
     return col.cast("variant")
 
 
-def kb_metadata_v2(engineered: DataFrame) -> DataFrame:
-    """Eight business fields with the typed attributes laid over them, as JSON."""
+def base_v1() -> Column:
+    """Categories and attribute text."""
+    return F.create_map(
+        F.lit("categories"), _variant(F.col("categories")),
+        F.lit("attribute_text"), _variant(_typed_text(F.col("entries"))),
+    )
+
+
+def base_v2() -> Column:
+    """Eight business fields."""
     values = {
         "name": T.default_text(F.col("name"), UNNAMED),
         "city": T.default_text(F.col("city")),
@@ -154,15 +136,40 @@ def kb_metadata_v2(engineered: DataFrame) -> DataFrame:
         "longitude": F.col("longitude"),
         "categories": T.default_text(F.col("categories")),
     }
-    base = F.create_map(*[part for k, v in values.items() for part in (F.lit(k), _variant(v))])
-    return _merged_json(engineered.withColumn("entries", typed_entries(F.col("attributes"))), base)
+    return F.create_map(*[part for k, v in values.items() for part in (F.lit(k), _variant(v))])
 
 
-def kb_metadata_v1(category_attributes: DataFrame) -> DataFrame:
-    """Categories and attribute text with the typed attributes laid over them."""
-    base = F.create_map(
-        F.lit("categories"), _variant(F.col("categories")),
-        F.lit("attribute_text"), _variant(_typed_text(F.col("entries"))),
+def _kb_rows(rows: DataFrame, document: Column, base: Column) -> DataFrame:
+    """(business_id, document, metadata) in one pass over the rows.
+
+    Metadata is the base map with the typed attributes laid over fields of
+    the same name, as JSON text with sorted keys. Each step is a column that
+    the next one mentions twice, which keeps the optimizer from folding it
+    into a lambda.
+    """
+    over = F.map_from_entries(
+        F.transform("entries", lambda e: F.struct(e["name"], typed_variant(e["kind"], e["value"])))
+    )
+    taken = F.transform("entries", lambda e: e["name"])
+    free = F.array_except(F.map_keys("base"), taken)
+    kept = F.map_filter("base", lambda k, v: F.array_contains(F.col("free"), k) & v.isNotNull())
+    keep = ("business_id", "document")
+    merged = (
+        rows.withColumn("entries", typed_entries(F.col("attributes")))
+        .select("business_id", document.alias("document"), "entries", base.alias("base"))
+        .select(*keep, "base", over.alias("over"), free.alias("free"))
+        .select(*keep, F.map_concat(kept, F.col("over")).alias("merged"))
     )
-    rows = category_attributes.withColumn("entries", typed_entries(F.col("attributes")))
-    return _merged_json(rows, base)
+    keys = F.array_sort(F.map_keys("merged"))
+    pairs = F.transform(keys, lambda k: F.struct(k, F.col("merged")[k]))
+    return merged.select(*keep, F.to_json(F.map_from_entries(pairs)).alias("metadata"))
+
+
+def kb_v1(category_attributes: DataFrame) -> DataFrame:
+    """Knowledge-base rows from categories and attributes alone."""
+    return _kb_rows(category_attributes, document_v1(), base_v1())
+
+
+def kb_v2(engineered: DataFrame) -> DataFrame:
+    """Knowledge-base rows from the engineered businesses."""
+    return _kb_rows(engineered, document_v2(), base_v2())

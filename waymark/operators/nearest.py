@@ -336,20 +336,21 @@ def nearest_lsh(
     queries: DataFrame,
     items: DataFrame,
     k: int,
-    dim: int,
     tables: int = 8,
     bits: int = 4,
     seed: int = 7,
 ) -> DataFrame:
     """Approximate top-k by cosine: only items that share one of ``tables``
     hash buckets with the query are scored, exactly. Each bucket number is
-    the sign pattern of ``bits`` random projections."""
+    the sign pattern of ``bits`` random projections; with more items, more
+    bits keep the buckets small. A crowded bucket is split like any cell."""
     @F.pandas_udf("array<int>")
     def buckets(vectors: pd.Series) -> pd.Series:
         import numpy as np
 
-        planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
-        signs = (np.stack(vectors.to_list()) @ planes > 0).reshape(len(vectors), tables, bits)
+        x = np.stack(vectors.to_list())
+        planes = np.random.default_rng(seed).standard_normal((x.shape[1], tables * bits))
+        signs = (x @ planes > 0).reshape(len(vectors), tables, bits)
         return pd.Series(list((signs * (1 << np.arange(bits))).sum(axis=2).astype("int32")))
 
     def spread(df: DataFrame) -> DataFrame:

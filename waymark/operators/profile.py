@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 QUARTILES = (0.25, 0.5, 0.75)
 LINEAR_STEPS = 65_536
-LOG_STEPS = 64
+LOG_STEPS = 64  # per e-fold
 
 
 def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -23,9 +23,10 @@ def numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum.
 
     Spark's exact ``percentile`` keeps every distinct value of a column in
-    one buffer. Here the values are counted in monotone buckets first, only
-    the buckets that hold a wanted rank are opened, and equal values are
-    folded before they are ranked. Quartiles interpolate linearly.
+    one buffer. Here the wanted ranks are closed in on: values are counted in
+    steps that rise with the value, only the steps that hold a wanted rank
+    are opened and counted in finer ones, and what is left is folded by value
+    and ranked. Quartiles interpolate linearly.
     """
     values = _long(df, columns)
     stats = values.groupBy("column_name").agg(
@@ -35,46 +36,34 @@ def numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.min("v").alias("min"),
         F.max("v").alias("max"),
     )
-    # Halves keep the span finite; both bucket numbers rise with v, so their
-    # pair does too. One row of stats per profiled column.
-    span = F.col("max") / 2 - F.col("min") / 2
-    share = F.when(span > 0, (F.col("v") / 2 - F.col("min") / 2) / span).otherwise(F.lit(0.0))
-    bucketed = values.join(F.broadcast(stats.select("column_name", "min", "max")), "column_name").select(
-        "column_name",
-        "v",
-        (F.signum("v") * F.floor(F.log1p(F.abs("v")) * LOG_STEPS)).cast("long").alias("log_step"),
-        F.floor(share * LINEAR_STEPS).cast("long").alias("linear_step"),
-    )
-    bucket = ("column_name", "log_step", "linear_step")
-
-    upto = Window.partitionBy("column_name").orderBy("log_step", "linear_step")
-    counts = bucketed.groupBy(*bucket).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("before", F.sum("n").over(upto) - F.col("n"))
-
-    targets = stats.select(
-        "column_name",
-        F.explode(F.array(*[F.lit(q) for q in QUARTILES])).alias("q"),
-        "count",
-    ).withColumn("position", F.col("q") * (F.col("count") - 1))
-    targets = targets.select(
-        "column_name",
-        "q",
-        "position",
-        F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))).alias("rank"),
-    )
+    position = F.col("q") * (F.col("count") - 1)
+    # One row per column, quartile and neighbouring rank, here and in every
+    # frame made from it: at most six times the number of profiled columns.
     wanted = (
-        counts.join(F.broadcast(targets), "column_name")
-        .filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
-        .drop("n")
-    )
-    opened = bucketed.join(F.broadcast(wanted.select(*bucket).distinct()), list(bucket))
-    inside = Window.partitionBy(*bucket).orderBy("v")
-    folded = opened.groupBy(*bucket, "v").agg(F.count("*").alias("n"))
-    folded = folded.withColumn("inside", F.sum("n").over(inside) - F.col("n"))
-    found = folded.join(F.broadcast(wanted), list(bucket)).filter(
-        (F.col("before") + F.col("inside") <= F.col("rank"))
-        & (F.col("rank") < F.col("before") + F.col("inside") + F.col("n"))
+        stats.select("column_name", "count", F.explode(F.array(*[F.lit(q) for q in QUARTILES])).alias("q"))
+        .withColumn("position", position)
+        .select(
+            "column_name",
+            "q",
+            "position",
+            F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))).alias("rank"),
+        )
+        .withColumn("before", F.lit(0).cast("long"))
     )
+    log_step = F.signum("v") * F.floor(F.log1p(F.abs("v")) * LOG_STEPS)
+    # halves, because the whole span may be more than a double holds
+    span = F.col("high") / 2 - F.col("low") / 2
+    share = F.when(span > 0, (F.col("v") / 2 - F.col("low") / 2) / span).otherwise(F.lit(0.0))
+
+    keys = ["column_name"]
+    for level, step in (("log_step", log_step), ("fine_step", F.floor(share * LINEAR_STEPS))):
+        values = values.withColumn(level, step.cast("long"))
+        wanted = _close_in(values, wanted, keys, level)
+        keys.append(level)
+        opened = wanted.select(*keys, "low", "high").distinct()
+        values = values.drop("low", "high").join(F.broadcast(opened), keys)
+    found = _close_in(values, wanted.drop("low", "high"), keys, "v")
+
     share_up = F.max("position") - F.floor(F.max("position"))
     quartile = found.groupBy("column_name", "q").agg(
         (F.min("v") + (F.max("v") - F.min("v")) * share_up).alias("value")
@@ -90,6 +79,26 @@ def numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _close_in(values: DataFrame, wanted: DataFrame, keys: list[str], level: str) -> DataFrame:
+    """The wanted ranks with the step of ``level`` that holds each of them.
+
+    ``before`` counts the values below the step. The window runs over one row
+    per step, not per value.
+    """
+    steps = values.groupBy(*keys, level).agg(
+        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+    )
+    upto = Window.partitionBy(*keys).orderBy(level)
+    steps = steps.withColumn("inside", F.sum("n").over(upto) - F.col("n"))
+    start = F.col("before") + F.col("inside")
+    return (
+        steps.join(F.broadcast(wanted.drop("low", "high")), keys)
+        .filter((start <= F.col("rank")) & (F.col("rank") < start + F.col("n")))
+        .withColumn("before", start)
+        .drop("n", "inside")
+    )
+
+
 def _per_column(df: DataFrame, counter, name: str, columns: Sequence[str] | None) -> DataFrame:
     columns = list(columns or df.columns)
     one_row = df.agg(*[counter(c).alias(c) for c in columns])

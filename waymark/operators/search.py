@@ -108,10 +108,15 @@ def kb_search(queries: DataFrame, items: DataFrame, results: int = KB_RESULTS) -
     )
 
 
-def follow_up(follow_ups: DataFrame, previous: DataFrame, items: DataFrame) -> DataFrame:
+def follow_up(
+    follow_ups: DataFrame,
+    previous: DataFrame,
+    items: DataFrame,
+    results: int = FOLLOW_UP_RESULTS,
+) -> DataFrame:
     """A follow-up ranks only the hits of the search before it.
 
-    ``previous``: query_id, business_id, distance_km. The first five by
+    ``previous``: query_id, business_id, distance_km. The first ``results`` by
     cosine are taken, then those under the threshold are dropped; distance
     and score are rounded for display. A query has at most as many pairs as
     the earlier search had hits.
@@ -127,7 +132,7 @@ def follow_up(follow_ups: DataFrame, previous: DataFrame, items: DataFrame) -> D
         "distance_km",
         F.round(V.cosine(F.col("q_vector"), F.col("vector")), 6).alias("similarity"),
     )
-    top = rerank(scored, FOLLOW_UP_RESULTS, F.desc("similarity"))
+    top = rerank(scored, results, F.desc("similarity"))
     return top.filter(F.col("similarity") >= FOLLOW_UP_MIN_COSINE).select(
         "query_id",
         "rank",

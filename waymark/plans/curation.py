@@ -62,10 +62,13 @@ def filtered_attributes(v: SampleViews) -> DataFrame:
 
 
 def engineered(v: SampleViews) -> DataFrame:
-    """Filtered businesses with their attribute map (a map, not text)."""
-    filtered = scope.filtered(v.business())
-    objects = cohort.filtered_attributes(A.attribute_objects(v.business()), filtered)
-    return cohort.engineered(filtered, objects)
+    """Filtered businesses with their attribute map (a map, not text).
+
+    The star filter comes before the flattening, so attributes of businesses
+    that the join would drop are never shuffled.
+    """
+    rows = v.business().filter(F.col("stars") >= scope.MIN_STARS)
+    return cohort.engineered(scope.filtered(rows), A.attribute_objects(rows))
 
 
 def engineered_businesses(v: SampleViews) -> DataFrame:
@@ -73,9 +76,9 @@ def engineered_businesses(v: SampleViews) -> DataFrame:
 
 
 def category_attributes(v: SampleViews) -> DataFrame:
-    filtered = scope.filtered(v.business())
+    rows = v.business().filter(F.col("stars") >= scope.MIN_STARS)
     return cohort.category_attributes(
-        cohort.filtered_categories(filtered), A.attribute_objects(v.business())
+        cohort.filtered_categories(scope.filtered(rows)), A.attribute_objects(rows)
     )
 
 

@@ -37,26 +37,32 @@ def combined_text(v: SampleViews) -> DataFrame:
 
 
 def kb_doc_v1(v: SampleViews) -> DataFrame:
-    return documents.kb_document_v1(category_attributes(v))
+    return documents.kb_v1(category_attributes(v)).select("business_id", "document")
 
 
 def kb_doc_v2(v: SampleViews) -> DataFrame:
-    return documents.kb_document_v2(engineered(v))
+    return documents.kb_v2(engineered(v)).select("business_id", "document")
 
 
 def kb_metadata(v: SampleViews) -> DataFrame:
-    return documents.kb_metadata_v2(engineered(v))
+    return documents.kb_v2(engineered(v)).select("business_id", "metadata")
 
 
 def kb_metadata_v1(v: SampleViews) -> DataFrame:
-    return documents.kb_metadata_v1(category_attributes(v))
+    return documents.kb_v1(category_attributes(v)).select("business_id", "metadata")
 
 
 def knowledge_base(v: SampleViews) -> DataFrame:
     """id, document, metadata and vector, one row per business."""
     rows = dedupe.keep_first(engineered(v), "business_id", F.asc("id"))
-    docs = documents.kb_document_v2(rows).join(documents.kb_metadata_v2(rows), "business_id")
-    return embed.embed_words(docs.withColumnRenamed("business_id", "id"), "document")
+    docs = documents.kb_v2(rows).withColumnRenamed("business_id", "id")
+    return embed.embed_words(docs, "document")
+
+
+def embedding_rows(v: SampleViews) -> DataFrame:
+    """The embedding table: business fields, combined text, vector as text."""
+    rows = embed.embed_words(_prose(v).drop("attribute_text", "hours_text"), "combined_text", "embedding")
+    return rows.withColumn("embedding", S.vector_to_text(F.col("embedding")))
 
 
 def _weights(vectors: DataFrame, key: str) -> DataFrame:
@@ -80,10 +86,11 @@ def business_embed(v: SampleViews) -> DataFrame:
 
 def vector_text(v: SampleViews) -> DataFrame:
     """Stored vectors to text and back, value by value."""
+    stored = v.table("embeddings")
+    dim = stored.select(F.size("embedding").alias("dim")).first()["dim"]
     text = S.vector_to_text(F.col("embedding"))
-    dim = 64
     return (
-        v.table("embeddings")
+        stored
         .select("vec_id", S.text_to_vector(text, dim).alias("vector"))
         .select("vec_id", F.posexplode("vector").alias("position", "value"))
         .withColumn("value", F.round(F.col("value").cast("double"), 6))

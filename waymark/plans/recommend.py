@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators import embed, geo_join, nearest, preferences, prompts, search
-from waymark.plans.knowledge import combined_text
+from waymark.plans.knowledge import _prose, combined_text
 from waymark.sources.sample_views import SampleViews
 
 KNN = 10
-LSH_DIM = 64
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -67,7 +66,7 @@ def knn_cosine(v: SampleViews) -> DataFrame:
 
 
 def knn_lsh(v: SampleViews) -> DataFrame:
-    found = nearest.nearest_lsh(_vector_queries(v), _items(v), KNN, LSH_DIM)
+    found = nearest.nearest_lsh(_vector_queries(v), _items(v), KNN)
     return found.select("query_id", "rank", F.col("item_id").alias("business_id"), F.round("cosine", 6).alias("cosine"))
 
 
@@ -102,6 +101,12 @@ def search_followup(v: SampleViews) -> DataFrame:
     return hits.join(names, "business_id")
 
 
+def followup_best(v: SampleViews) -> DataFrame:
+    """The one best hit of every follow-up, if it is similar enough."""
+    before = search.cli_search(_located(v), _items(v))
+    return search.follow_up(v.follow_up_queries(), before, _items(v), 1)
+
+
 def search_text(v: SampleViews) -> DataFrame:
     """Message text against business texts, both through the same encoder."""
     docs = embed.embed_words(combined_text(v), "combined_text").select(
@@ -136,6 +141,15 @@ def prefs_recommend(v: SampleViews) -> DataFrame:
     return found.withColumnRenamed("query_id", "user_id").join(names, "business_id")
 
 
+def prefs_text_recommend(v: SampleViews) -> DataFrame:
+    """Best business near each user for the user's preference text."""
+    asked = v.user().select(F.col("user_id").alias("query_id"), "city", "state", "categories")
+    queries = geo_join.locate(embed.embed_words(asked, "categories"), geo_join.gazetteer(v.business()))
+    texts = embed.embed_words(_prose(v), "combined_text")
+    found = search.preference_search(queries, search.as_items(texts))
+    return found.withColumnRenamed("query_id", "user_id")
+
+
 def user_preferences(v: SampleViews) -> DataFrame:
     sets = preferences.preference_sets(v.user())
     return sets.withColumn("preferences", F.array_join("preferences", ", "))

@@ -61,10 +61,12 @@ PLANS: tuple[Callable[[SampleViews], DataFrame], ...] = (
     recommend.search_global,
     recommend.search_kb,
     recommend.search_followup,
+    recommend.followup_best,
     recommend.search_text,
     recommend.search_presented,
     recommend.prompt_table,
     recommend.prefs_recommend,
+    recommend.prefs_text_recommend,
     recommend.user_preferences,
     recommend.preference_lookup,
     dialogue.feedback_class,
@@ -84,6 +86,7 @@ PLANS: tuple[Callable[[SampleViews], DataFrame], ...] = (
     storage.json_normalize,
     storage.file_manifest,
     storage.kb_write,
+    storage.embedding_table,
     storage.append_write,
     storage.report_csv,
     storage.stream_ingest,

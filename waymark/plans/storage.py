@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions.semistructured import text_to_vector
 from waymark.operators import conversation as C
+from waymark.operators.embed import DIM
 from waymark.plans import recommend
 from waymark.plans.curation import engineered
-from waymark.plans.knowledge import knowledge_base
+from waymark.plans.knowledge import embedding_rows, knowledge_base
 from waymark.session import work_dir
 from waymark.sources import readers, writers
 from waymark.sources.sample_views import CHAT, SampleViews, _project
@@ -65,6 +67,17 @@ def kb_write(v: SampleViews) -> DataFrame:
     )
 
 
+def embedding_table(v: SampleViews) -> DataFrame:
+    """The embedding table refreshed twice, vectors parsed back from text."""
+    path = work_dir(v.spark, "embeddings")
+    for _ in range(2):
+        writers.replace_table(embedding_rows(v), path)
+    vector = text_to_vector(F.col("embedding"), DIM)
+    return writers.read_table(v.spark, path).withColumn("embedding", F.size(vector)).withColumnRenamed(
+        "embedding", "dim"
+    )
+
+
 def append_write(v: SampleViews) -> DataFrame:
     """Attribute objects appended twice: rows repeat."""
     path = work_dir(v.spark, "append")
