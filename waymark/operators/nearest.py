@@ -108,6 +108,11 @@ def make_scorer(
         if geo_needed:
             lat, lon = numbers(items, "latitude"), numbers(items, "longitude")
             q_lat, q_lon = numbers(queries, "latitude"), numbers(queries, "longitude")
+            # queries from one place side by side: its distances are worked out once
+            order = np.lexsort((q_lon, q_lat))
+            queries, q_lat, q_lon = queries.take(pa.array(order)), q_lat[order], q_lon[order]
+            if use_vectors:
+                q_all, qq_all = q_all[order], qq_all[order]
         step = max(1, cells // n)
         parts = []
         for start in range(0, queries.num_rows, step):
@@ -126,12 +131,14 @@ def make_scorer(
                         size = np.sqrt(qq)[:, None] * np.sqrt(xx)[None, :]
                         np.divide(raw, size, out=raw, where=size > 0)
             if geo_needed:
-                r, c, km = close_pairs(q_lat[start:stop], q_lon[start:stop], lat, lon)
-                far = np.full((stop - start, n), np.inf)
-                far[r, c] = km if metric == "distance" else raw[r, c]
-                raw = far
-                distance = np.full((stop - start, n), np.nan)
+                spots, spot = np.unique(q_lat[start:stop] + 1j * q_lon[start:stop], return_inverse=True)
+                distance = np.full((len(spots), n), np.inf)
+                r, c, km = close_pairs(spots.real, spots.imag, lat, lon)
                 distance[r, c] = km
+                if metric == "distance":
+                    raw = distance[spot]
+                else:
+                    np.putmask(raw, np.isinf(distance)[spot], np.inf)
             if n > k:
                 # a hair more than the k-th score, so no tie at six decimals is lost
                 edge = np.partition(raw, k - 1, axis=1)[:, k - 1] + 2e-6
@@ -152,7 +159,7 @@ def make_scorer(
                 l2 = np.maximum(qq[rows] + xx[cols] - 2 * ip, 0.0)
                 size = np.sqrt(qq[rows]) * np.sqrt(xx[cols])
                 cosine = np.divide(ip, size, out=np.zeros_like(ip), where=size > 0)
-            values = [ranked, l2, ip, cosine, distance[rows, cols] if geo_needed else none]
+            values = [ranked, l2, ip, cosine, distance[spot[rows], cols] if geo_needed else none]
             parts.append(
                 pa.table(
                     [
