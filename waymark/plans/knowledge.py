@@ -66,11 +66,11 @@ def embedding_rows(v: SampleViews) -> DataFrame:
 
 
 def _weights(vectors: DataFrame, key: str) -> DataFrame:
-    return (
-        vectors.select(key, F.posexplode("vector").alias("bucket", "weight"))
-        .filter(F.col("weight") != 0)
-        .withColumn("weight", F.round("weight", 6))
+    """Non-zero weights as rows; zeros are dropped before they become rows."""
+    numbered = F.transform(
+        "vector", lambda w, i: F.struct(i.alias("bucket"), F.round(w, 6).alias("weight"))
     )
+    return vectors.select(key, F.inline(F.filter(numbered, lambda e: e["weight"] != 0)))
 
 
 def hash_embed(v: SampleViews) -> DataFrame:
