@@ -61,30 +61,29 @@ def cursor(messages: DataFrame, results: DataFrame) -> DataFrame:
     told = classify(messages).join(n_results, ["conv_id", "turn"], "left")
     told = told.withColumn("n_results", F.coalesce("n_results", F.lit(0)))
 
+    # A negative message never starts a list, so the first message that can
+    # start one does: until then every positive message runs as a search.
     can_start = F.col("feedback").isin("search", "positive") & (F.col("n_results") > 0)
-    first = told.groupBy("conv_id").agg(F.min(F.when(can_start, F.col("turn"))).alias("first_hit"))
-    told = told.join(first, "conv_id")
-    as_search = (F.col("feedback") == "search") | (
-        (F.col("feedback") == "positive")
-        & (F.col("first_hit").isNull() | (F.col("turn") <= F.col("first_hit")))
+    is_search = (F.col("feedback") == "search") | (
+        (F.col("feedback") == "positive") & (F.col("seen") - can_start.cast("int") == 0)
     )
-    told = told.withColumn("is_search", as_search)
-    starts = F.col("is_search") & (F.col("n_results") > 0)
-    is_no = (~F.col("is_search")) & (F.col("feedback") == "negative")
-    told = told.withColumns({"starts": starts, "is_no": is_no})
-
+    starts = is_search & (F.col("n_results") > 0)
     told = running(
         told,
         ["conv_id"],
         "turn",
-        sums={"noes": F.when(F.col("is_no"), 1).otherwise(0)},
+        sums={
+            "seen": can_start.cast("int"),
+            "noes": (F.col("feedback") == "negative").cast("int"),
+        },
         lasts={
             "list": F.when(
-                F.col("starts"),
-                F.struct(F.col("turn"), F.col("n_results").alias("size"), F.col("noes")),
+                starts, F.struct(F.col("turn"), F.col("n_results").alias("size"), F.col("noes"))
             )
         },
     )
+    told = told.withColumns({"is_search": is_search, "starts": starts})
+    is_no = F.col("feedback") == "negative"
     used = F.col("noes") - F.col("list.noes")
     size = F.col("list.size")
     has_list = F.col("list").isNotNull()
@@ -96,7 +95,7 @@ def cursor(messages: DataFrame, results: DataFrame) -> DataFrame:
         .otherwise("no_more")
     )
     reacts = has_list & ~F.col("is_search")
-    before = F.least(F.when(F.col("is_no"), used).otherwise(used + 1), size)
+    before = F.least(F.when(is_no, used).otherwise(used + 1), size)
     return told.select(
         *messages.columns,
         "feedback",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,7 +64,7 @@ def _scan(
     earlier = Window.partitionBy(*group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
     heads = summary.select(
-        *keys,
+        *[F.col(k).alias(f"__k_{k}") for k in keys],
         *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__s_{n}") for n in sums],
         *[F.last(f"__l_{n}", ignorenulls=True).over(earlier).alias(f"__l_{n}") for n in lasts],
         *[F.sum(f"__s_{n}").over(whole).alias(f"{n}_total") for n in totals],
@@ -78,10 +80,14 @@ def _scan(
         *[F.sum(expr).over(here).alias(name) for name, expr in sums.items()],
         *[F.last(expr, ignorenulls=True).over(here).alias(name) for name, expr in lasts.items()],
     )
-    joined = inner.join(heads, keys).withColumns(
+    # null-safe, so that rows without a group stay
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    joined = inner.join(heads, same).withColumns(
         {
             **{n: F.coalesce(F.col(n), F.lit(0)) + F.col(f"__s_{n}") for n in sums},
             **{n: F.coalesce(F.col(n), F.col(f"__l_{n}")) for n in lasts},
         }
     )
-    return joined.drop(*[f"__s_{n}" for n in sums], *[f"__l_{n}" for n in lasts])
+    return joined.drop(
+        *[f"__k_{k}" for k in keys], *[f"__s_{n}" for n in sums], *[f"__l_{n}" for n in lasts]
+    )

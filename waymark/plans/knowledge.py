@@ -67,10 +67,9 @@ def embedding_rows(v: SampleViews) -> DataFrame:
 
 def _weights(vectors: DataFrame, key: str) -> DataFrame:
     """Non-zero weights as rows; zeros are dropped before they become rows."""
-    numbered = F.transform(
-        "vector", lambda w, i: F.struct(i.alias("bucket"), F.round(w, 6).alias("weight"))
-    )
-    return vectors.select(key, F.inline(F.filter(numbered, lambda e: e["weight"] != 0)))
+    numbered = F.transform("vector", lambda w, i: F.struct(i.alias("bucket"), w.alias("weight")))
+    rows = vectors.select(key, F.inline(F.filter(numbered, lambda e: e["weight"] != 0)))
+    return rows.withColumn("weight", F.round("weight", 6))
 
 
 def hash_embed(v: SampleViews) -> DataFrame:
