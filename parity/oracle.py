@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parity.base import STATES, geodesic, short_km, with_ctes
+from parity.base import geodesic, short_km, with_ctes
 from waymark.operators.prompts import INSTRUCTION
 from waymark.operators.scope import PROFILE_COLUMNS, WEEKDAYS
 from waymark.plans.curation import NUMERIC, REVIEW_CUTOFF

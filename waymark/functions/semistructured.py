@@ -30,6 +30,7 @@ def repair_literal(col: Column, keep_words: bool = False) -> Column:
     it. ``keep_words`` touches the ``u`` and ``None`` only where a token
     starts. Both lower the bare truth words, which Spark's parser rejects.
     """
+    # The replacements and their order.
     if keep_words:
         text = F.regexp_replace(col, r"(?<=[{\[,:]\s{0,4})u(?=['\"])", "")
         text = F.replace(text, F.lit("'"), F.lit('"'))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How a closed day is written, and, in the two prose functions,
+# the words around keys and values.
 CLOSED_ALL_DAY = "0:0-0:0"
 
 

@@ -84,6 +84,9 @@ def final(eav: DataFrame, strict: bool = True, keep_words: bool = False) -> Data
     )
 
 
+# Fixed values here and in truthful(): the texts that mean "nothing said".
+
+
 def truthful(eav: DataFrame) -> DataFrame:
     """Attributes that say something: no false, none, no, empty dict, price range."""
     value, name = F.upper("attribute_value"), F.lower("attribute_name")

@@ -9,6 +9,8 @@ from waymark.functions import semistructured as S
 from waymark.functions import text as T
 from waymark.functions.typed import bare_text, number_text, printed_value, typed_variant, value_kind
 
+# The name of a nameless business, and, in the functions below,
+# the labels of document lines and the names of metadata fields.
 UNNAMED = "Unknown Business"
 
 

@@ -3,11 +3,12 @@
 Both ways split the work into bounded blocks, score a block with one matrix
 product and let only the k best per query leave the task; pairs never become
 rows. Scores are ranked to six decimals, ties go to the smaller id, so the
-result does not depend on how the data was split.
+result does not depend on how the data was split. Ids are unique on each side.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -23,6 +24,8 @@ QUERY_BLOCK = 20_000
 # Queries are shipped to every task only below this size.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
+MIN_LSH_BITS = 4
+
 RESULT = "query_id string, item_id string, score double, l2 double, ip double, cosine double, distance_km double"
 
 
@@ -205,7 +208,8 @@ def _blocked(queries: DataFrame, items: DataFrame, cell: Sequence[str], score) -
 
     A cell with more rows than a block holds on either side is split by id
     hash; the other side is repeated once per split. Cells that only one side
-    has are dropped by the joins.
+    has are dropped by the joins. Repeating a vector for one more block costs
+    far less than scoring it there, so blocks are as large as a task can hold.
     """
     left, right = split_blocks(queries, items, block_grid(queries, items, cell), cell)
     return (
@@ -344,13 +348,20 @@ def nearest_lsh(
     items: DataFrame,
     k: int,
     tables: int = 8,
-    bits: int = 4,
+    bits: int | None = None,
     seed: int = 7,
 ) -> DataFrame:
     """Approximate top-k by cosine: only items that share one of ``tables``
-    hash buckets with the query are scored, exactly. Each bucket number is
-    the sign pattern of ``bits`` random projections; with more items, more
-    bits keep the buckets small. A crowded bucket is split like any cell."""
+    hash buckets with the query are scored, exactly.
+
+    Each bucket number is the sign pattern of ``bits`` random projections, by
+    default as many as spread the items evenly over buckets of one block, and
+    no fewer than ``MIN_LSH_BITS``. More tables find more, more bits score
+    less. A crowded bucket is split like any cell.
+    """
+    if bits is None:
+        bits = max(MIN_LSH_BITS, math.ceil(math.log2(max(1, items.count() / ITEM_BLOCK))))
+
     @F.pandas_udf("array<int>")
     def buckets(vectors: pd.Series) -> pd.Series:
         import numpy as np

@@ -110,7 +110,12 @@ def stream_liked(v: SampleViews) -> DataFrame:
     """Liked and disliked categories kept up to date by a message stream."""
     base = work_dir(v.spark, "liked")
     arriving = ingest.file_stream(
-        v.spark, v.folder, v.table("conversations").schema, "parquet", "conversations.parquet"
+        v.spark,
+        v.folder,
+        v.table("conversations").schema,
+        "parquet",
+        "conversations.parquet",
+        bytes_per_trigger=feedback.BATCH_BYTES,
     )
     reacted = feedback.reactions(_project(arriving, CHAT), v.results())
     feedback.keep_reactions(reacted, f"{base}/table", f"{base}/checkpoint")

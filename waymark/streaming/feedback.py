@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from waymark.operators.conversation import classify
 
+# One task holds a conversation's share of a micro-batch, so the stream below
+# should be bounded in bytes.
+BATCH_BYTES = 1024 * 1024 * 1024
+
 STATE = "list array<string>, place int"
 OUTPUT = "conv_id long, turn long, user_id string, feedback string, business_id string"
 
@@ -54,8 +58,13 @@ def make_follow():
 
 
 def reactions(messages: DataFrame, results: DataFrame) -> DataFrame:
-    """Items reacted to, as a stream. Messages of a conversation must arrive
-    in order across batches; within one they are sorted here."""
+    """Items reacted to, as a stream.
+
+    Messages of a conversation must arrive in order across batches; within
+    one they are sorted here. State is one short list per conversation, in
+    Spark's state store. The text stays behind: a message reaches Python as
+    its class and the ids it finds.
+    """
     told = with_results(classify(messages), results)
     return (
         told.select("conv_id", "turn", "user_id", "feedback", "found")

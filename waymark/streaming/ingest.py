@@ -13,15 +13,23 @@ def file_stream(
     fmt: str = "json",
     pattern: str = "*",
     files_per_trigger: int = 1000,
+    bytes_per_trigger: int | None = None,
     **options: str,
 ) -> DataFrame:
-    """Newly arriving files of a folder as a stream of rows."""
+    """Newly arriving files of a folder as a stream of rows.
+
+    A micro-batch is bounded in files or, if given, in bytes.
+    """
+    bound = (
+        {"maxBytesPerTrigger": str(bytes_per_trigger)}
+        if bytes_per_trigger
+        else {"maxFilesPerTrigger": str(files_per_trigger)}
+    )
     return (
         spark.readStream.schema(schema)
         .format(fmt)
-        .options(**options)
+        .options(**options, **bound)
         .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_trigger)
         .load(path)
     )
 
