@@ -98,17 +98,18 @@ def test_running(spark, chunk):
     df = spark.createDataFrame(rows, "g string, o long, v int").repartition(5)
     got = ordered.running(
         df, ["g"], "o", sums={"s": F.coalesce("v", F.lit(0))}, lasts={"l": F.col("v"), "at": F.when(F.col("v") == 5, F.col("s"))},
-        totals=["s"], chunk=chunk,
+        befores={"p": F.col("v")}, totals=["s"], chunk=chunk,
     ).collect()
     for g in ("a", "b", None):
-        total, last, at = 0, None, None
+        total, last, at, before = 0, None, None, None
         mine = sorted((r for r in got if r["g"] == g), key=lambda r: r["o"])
         assert len(mine) == 30
         for r in mine:
             total += r["v"] or 0
             last = r["v"] if r["v"] is not None else last
             at = total if r["v"] == 5 else at
-            assert (r["s"], r["l"], r["at"]) == (total, last, at)
+            assert (r["s"], r["l"], r["at"], r["p"]) == (total, last, at, before)
+            before = last
         assert {r["s_total"] for r in mine} == {total}
 
 

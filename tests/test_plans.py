@@ -45,3 +45,22 @@ def test_attribute_chain_reads_its_table_once(spark, small):
 def test_text_operators_do_not_shuffle(spark, small):
     assert "Exchange" not in plan(spark, small, "hash_embed")
     assert "Exchange" not in plan(spark, small, "attribute_final")
+
+
+@pytest.mark.parametrize("name", ["chat_history", "feedback_status", "place_mentions"])
+def test_conversations_are_spread_over_stretches(spark, small, name):
+    text = plan(spark, small, name)
+    windows = [x for x in text.splitlines() if "Window [" in x and "specifiedwindowframe" in x]
+    assert "hashpartitioning(__key" in text and windows
+
+
+@pytest.mark.parametrize("name", ["search_cli", "prefs_recommend", "geo_nearest", "knn_lsh"])
+def test_searches_meet_in_blocks(spark, small, name):
+    text = plan(spark, small, name)
+    assert "FlatMapCoGroupsInArrow [block" in text and "hashpartitioning(block" in text
+
+
+def test_few_queries_leave_the_vectors_in_place(spark, small):
+    text = plan(spark, small, "knn_l2")
+    scan = text.index("MapInArrow")
+    assert "Exchange hashpartitioning(item_id" not in text and "block" not in text[scan:]

@@ -203,14 +203,9 @@ def itinerary(selections: DataFrame) -> DataFrame:
     ``visit`` counts from 1; the first leg has no length.
     """
     here = F.struct("business_id", "latitude", "longitude")
-    chosen = running(
-        selections.withColumn("here", here), ["conv_id"], "turn", sums={"visit": F.lit(1)}
+    legs = running(
+        selections, ["conv_id"], "turn", sums={"visit": F.lit(1)}, befores={"from_place": here}
     )
-    # The place before visit n is visit n - 1: an equi join, not a window.
-    before = chosen.select(
-        "conv_id", (F.col("visit") + 1).alias("visit"), F.col("here").alias("from_place")
-    )
-    legs = chosen.join(before, ["conv_id", "visit"], "left")
     km = geo.geodesic_km(
         F.col("from_place.latitude"), F.col("from_place.longitude"), F.col("latitude"), F.col("longitude")
     )

@@ -284,15 +284,14 @@ def best(found: DataFrame, k: int) -> DataFrame:
 def _small_table(queries: DataFrame, limit: int) -> pa.Table | None:
     """The queries as one Arrow table if they fit the limit, else None.
 
-    The vector width of one row gives the number of rows that fit; no more
-    than that, and one to tell that there are more, are ever fetched.
+    Counted first, without computing their vectors; only a table known to be
+    small is fetched. The width comes from one row.
     """
-    one = queries.select(F.size("vector").alias("dim")).filter("dim > 0").first()
-    if one is None:
+    rows = queries.select("query_id").count()
+    one = queries.select(F.size("vector").alias("dim")).filter("dim > 0").first() if rows else None
+    if one is None or rows * (one["dim"] * 8 + 64) > limit:
         return None
-    fits = limit // (one["dim"] * 8 + 64)
-    table = queries.limit(fits + 1).toArrow()
-    return table if table.num_rows <= fits else None
+    return queries.toArrow()
 
 
 def nearest(

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,31 +16,36 @@ def running(
     order: str,
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
+    befores: Mapping[str, Column] | None = None,
     totals: Sequence[str] = (),
-    chunk: int = CHUNK,
+    chunk: int | None = None,
 ) -> DataFrame:
-    """Adds running sums and carried-forward values, the current row included.
+    """Adds running sums and carried-forward values along each group.
 
     ``sums`` maps a new column to the expression it adds up, ``lasts`` to the
-    expression whose latest non-NULL value it carries. ``totals`` names sums
+    expression whose latest non-NULL value it carries, both with the current
+    row; ``befores`` is like ``lasts`` without it. ``totals`` names sums
     whose group total is added as ``<name>_total``. ``order`` is an integer
     position, unique within a group.
 
-    A ``lasts`` expression may use the new sums.
+    The expressions of ``lasts`` and ``befores`` may use the new sums.
 
     A plain window would put a whole group in one task. Here each group is cut
     into stretches of ``chunk`` positions: stretches are scanned separately,
     and what a stretch starts with comes from one summary row per stretch.
+
+    A stretch is keyed by one struct on purpose. Rows that an earlier join
+    left together by group alone would satisfy a window over several columns,
+    and a long group would stay in one task; and two structs with a NULL
+    group are equal, so such rows stay.
     """
-    keys = [*group, "__chunk"]
-    # Explicit: rows that an earlier join left together by group alone would
-    # satisfy the windows below, and a long group would stay in one task.
-    spread = df.withColumn("__chunk", F.floor(F.col(order) / chunk).cast("long")).repartition(*keys)
+    stretch = F.struct(*group, F.floor(F.col(order) / (chunk or CHUNK)).cast("long").alias("__chunk"))
+    keyed = df.withColumn("__key", stretch)
     if sums:
-        spread = _scan(spread, list(group), order, sums, {}, totals)
-    if lasts:
-        spread = _scan(spread, list(group), order, {}, lasts, ())
-    return spread.drop("__chunk")
+        keyed = _scan(keyed, list(group), order, sums, {}, {}, totals)
+    if lasts or befores:
+        keyed = _scan(keyed, list(group), order, {}, lasts or {}, befores or {}, ())
+    return keyed.drop("__key")
 
 
 def _scan(
@@ -51,43 +54,39 @@ def _scan(
     order: str,
     sums: Mapping[str, Column],
     lasts: Mapping[str, Column],
+    befores: Mapping[str, Column],
     totals: Sequence[str],
 ) -> DataFrame:
-    keys = [*group, "__chunk"]
-    summary = df.groupBy(*keys).agg(
+    carried = {**lasts, **befores}
+    summary = df.groupBy("__key").agg(
         *[F.sum(expr).alias(f"__s_{name}") for name, expr in sums.items()],
         *[
             F.max_by(expr, F.when(expr.isNotNull(), F.col(order))).alias(f"__l_{name}")
-            for name, expr in lasts.items()
+            for name, expr in carried.items()
         ],
     )
-    earlier = Window.partitionBy(*group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
+    whole = Window.partitionBy(*[F.col("__key")[g] for g in group])
+    earlier = whole.orderBy("__key.__chunk").rowsBetween(Window.unboundedPreceding, -1)
     heads = summary.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
+        "__key",
         *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__s_{n}") for n in sums],
-        *[F.last(f"__l_{n}", ignorenulls=True).over(earlier).alias(f"__l_{n}") for n in lasts],
+        *[F.last(f"__l_{n}", ignorenulls=True).over(earlier).alias(f"__l_{n}") for n in carried],
         *[F.sum(f"__s_{n}").over(whole).alias(f"{n}_total") for n in totals],
     )
 
-    here = (
-        Window.partitionBy(*keys)
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    stretch = Window.partitionBy("__key").orderBy(order)
+    here = stretch.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    until = stretch.rowsBetween(Window.unboundedPreceding, -1)
     inner = df.select(
         "*",
         *[F.sum(expr).over(here).alias(name) for name, expr in sums.items()],
         *[F.last(expr, ignorenulls=True).over(here).alias(name) for name, expr in lasts.items()],
+        *[F.last(expr, ignorenulls=True).over(until).alias(name) for name, expr in befores.items()],
     )
-    # null-safe, so that rows without a group stay
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
-    joined = inner.join(heads, same).withColumns(
+    joined = inner.join(heads, "__key").withColumns(
         {
             **{n: F.coalesce(F.col(n), F.lit(0)) + F.col(f"__s_{n}") for n in sums},
-            **{n: F.coalesce(F.col(n), F.col(f"__l_{n}")) for n in lasts},
+            **{n: F.coalesce(F.col(n), F.col(f"__l_{n}")) for n in carried},
         }
     )
-    return joined.drop(
-        *[f"__k_{k}" for k in keys], *[f"__s_{n}" for n in sums], *[f"__l_{n}" for n in lasts]
-    )
+    return joined.drop(*[f"__s_{n}" for n in sums], *[f"__l_{n}" for n in carried])
