@@ -162,6 +162,20 @@ def _search_text() -> str:
     )
 
 
+def _search_kb_text() -> str:
+    """Both sides have length one, so the squared distance is 2 - 2 ip."""
+    return with_ctes(
+        "SELECT query_id, CAST(rank AS INT) AS rank, business_id, round(l2, 4) AS similarity_score FROM (SELECT *, "
+        "row_number() OVER (PARTITION BY query_id ORDER BY l2, business_id) AS rank FROM (SELECT q.query_id, "
+        "p.business_id, round(2 - 2 * coalesce(s.ip, 0), 6) AS l2 FROM (SELECT DISTINCT key AS query_id FROM "
+        "asked_weights) q, kb_doc p LEFT JOIN (SELECT a.key AS query_id, d.key AS business_id, sum(a.weight * d.weight) "
+        "AS ip FROM asked_weights a JOIN doc_weights d USING (bucket) GROUP BY 1, 2) s ON s.query_id = q.query_id "
+        "AND s.business_id = p.business_id)) WHERE rank <= 5",
+        ("asked_weights", _weights("asked", "query_id", "wish")),
+        ("doc_weights", _weights("kb_doc", "business_id", "document")),
+    )
+
+
 def _follow_up(results: int) -> str:
     return (
         "SELECT query_id, CAST(rank AS INT) AS rank, business_id, round(distance_km, 2) AS distance_km, "
@@ -307,6 +321,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "followup_best": w(_follow_up(1)),
         "search_text": _search_text(),
+        "search_kb_text": _search_kb_text(),
         "search_presented": w(PRESENTED),
         "prompt_table": w(
             f"SELECT p.query_id, count(*) AS n_hits, '{INSTRUCTION}' || chr(10) || chr(10) || 'Question: ' || "

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators import embed, geo_join, nearest, preferences, prompts, search
-from waymark.plans.knowledge import _prose, combined_text
+from waymark.plans.knowledge import _prose, combined_text, knowledge_base
 from waymark.sources.sample_views import SampleViews
 
 KNN = 10
@@ -118,6 +118,15 @@ def search_text(v: SampleViews) -> DataFrame:
     return search.global_search(embed.embed_words(asked, "wish"), docs, search.KB_RESULTS)
 
 
+def search_kb_text(v: SampleViews) -> DataFrame:
+    """Message text against the knowledge-base documents, by squared distance."""
+    docs = knowledge_base(v).select(F.col("id").alias("item_id"), "vector")
+    asked = v.chat().filter("role = 'user'").select(
+        F.expr("conv_id || '-' || turn").alias("query_id"), "wish"
+    )
+    return search.kb_search(embed.embed_words(asked, "wish"), docs)
+
+
 def _presented(v: SampleViews) -> DataFrame:
     asked = _located(v).select(
         "query_id", F.col("latitude").alias("origin_lat"), F.col("longitude").alias("origin_lon")

@@ -63,6 +63,7 @@ PLANS: tuple[Callable[[SampleViews], DataFrame], ...] = (
     recommend.search_followup,
     recommend.followup_best,
     recommend.search_text,
+    recommend.search_kb_text,
     recommend.search_presented,
     recommend.prompt_table,
     recommend.prefs_recommend,
