@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as entry_points
 from parity.check import compare, connect
+from parity.oracle import oracle_sql
+from waymark.plans.registry import queries
 
 NO_TWIN = {"knn_lsh", "file_manifest"}
 
@@ -14,11 +16,11 @@ def con(small):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == NO_TWIN
-    assert not set(entry_points.oracle_sql()) - set(entry_points.queries())
+    assert set(queries()) - set(oracle_sql()) == NO_TWIN
+    assert not set(oracle_sql()) - set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - NO_TWIN))
+@pytest.mark.parametrize("name", sorted(set(queries()) - NO_TWIN))
 def test_equal_to_sql(spark, con, small, name):
     assert compare(spark, con, small, name) is None
 
