@@ -1,5 +1,7 @@
 """The queries as DuckDB SQL, written from their contracts."""
 
+from waymark.llm.licenses import TEMPLATES
+
 MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -74,4 +76,40 @@ SELECT conv_id, count(*) AS n_turns,
 FROM placed GROUP BY conv_id
 """
 
-SQL = {"op3_mixing": MIXING, "op10_chat_format": CHAT}
+# The templates are input of the scan (label, text), not part of its logic.
+_TEMPLATES = ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES)
+
+LICENSES = rf"""
+WITH templates AS (
+  SELECT label, list_distinct(string_split(text, ' ')) AS words FROM (VALUES {_TEMPLATES}) AS t(label, text)
+), numbered AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), phrases AS (
+  SELECT * FROM (VALUES (['under', 'the', 'mit', 'license'], 'mit'), (['apache', 'license', 'version', '2'], 'apache-2'),
+    (['cc', 'by', 'nc'], 'cc-by-nc')) AS p(phrase, label)
+), places AS (
+  SELECT n, label, unnest(list_filter(range(0, len(words)), lambda i: words[i + 1 : i + len(phrase)] = phrase)) AS place
+  FROM numbered, phrases
+), blocks AS (
+  SELECT n, list_distinct(words[s + 1 : s + 64]) AS words
+  FROM (SELECT n, words, unnest(range(0, greatest(len(words) - 64, 0) + 32, 32)) AS s FROM numbered)
+), found AS (
+  SELECT n, label, len(list_intersect(b.words, t.words)) / CAST(len(t.words) AS DOUBLE) AS share
+  FROM blocks b, templates t WHERE len(list_intersect(b.words, t.words)) >= ceil(0.9 * len(t.words) - 1e-9)
+), based AS (
+  SELECT n, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places GROUP BY n
+), labelled AS (
+  SELECT n, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT n, label FROM places UNION SELECT n, label FROM found) GROUP BY n
+), best AS (SELECT n, max(share) AS share FROM found GROUP BY n)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM numbered LEFT JOIN based USING (n) LEFT JOIN labelled USING (n) LEFT JOIN best USING (n)
+"""
+
+SQL = {"op1_license_scan": LICENSES, "op3_mixing": MIXING, "op10_chat_format": CHAT}
