@@ -383,6 +383,17 @@ def score_documents(docs: DataFrame, machine: Machine, text: str = "text", keep:
     return rows.mapInArrow(rate, f"{schema}, margin double, score double, predicted int")
 
 
+def accepted(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose score is below 0.5."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = batch.column(batch.schema.get_field_index(text))
+            yield batch.filter(pa.array([machine.score(body.as_py() or "") < 0.5 for body in bodies], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row, by a machine trained
     on the labels. Repeated rows stay, an empty table gives no rows; nothing
