@@ -8,36 +8,42 @@ from waymark.operators.scope import PROFILE_COLUMNS, WEEKDAYS
 from waymark.plans.curation import NUMERIC, REVIEW_CUTOFF
 from waymark.sources.sample_views import BUSINESS
 
-L2 = "round(pow(list_distance(q.vector, i.vector), 2), 6)"
-IP = "round(list_inner_product(q.vector, i.vector), 6)"
+L2 = "pow(list_distance(q.vector, i.vector), 2)"
+IP = "list_inner_product(q.vector, i.vector)"
 COS = (
     "round(list_inner_product(q.vector, i.vector) / (sqrt(list_inner_product(q.vector, q.vector)) * "
-    "sqrt(list_inner_product(i.vector, i.vector))), 6)"
+    "sqrt(list_inner_product(i.vector, i.vector))), 12)"
 )
 KM = short_km("q.latitude", "q.longitude", "i.latitude", "i.longitude")
 BOX = "abs(q.latitude - i.latitude) < 0.0453 AND abs(q.longitude - i.longitude) < 0.06"
 
 
+def _digits(value: str) -> str:
+    """Twelve significant digits: what a score is ranked by."""
+    return f"CASE WHEN abs({value}) <= 1e-280 THEN 0 ELSE round({value}, CAST(11 - floor(log10(abs({value}))) AS INT)) END"
+
+
 def _knn(score: str, name: str, order: str) -> str:
     return with_ctes(
-        f"SELECT query_id, CAST(rank AS INT) AS rank, business_id, {name} FROM (SELECT *, row_number() OVER "
-        f"(PARTITION BY query_id ORDER BY {name} {order}, business_id) AS rank FROM (SELECT CAST(q.vec_id AS VARCHAR) "
+        f"SELECT query_id, CAST(rank AS INT) AS rank, business_id, round({name}, 6) AS {name} FROM (SELECT *, row_number() OVER "
+        f"(PARTITION BY query_id ORDER BY {_digits(name)} {order}, business_id) AS rank FROM (SELECT CAST(q.vec_id AS VARCHAR) "
         f"AS query_id, i.business_id, {score} AS {name} FROM vectors q, items i)) WHERE rank <= 10"
     )
 
 
 def _near(queries: str, items: str) -> str:
     return (
-        f"SELECT q.query_id, i.business_id, {L2} AS l2, {COS} AS similarity, round({KM}, 6) AS distance_km "
+        f"SELECT q.query_id, i.business_id, {L2} AS l2, {COS} AS similarity, round({KM}, 9) AS distance_km "
         f"FROM {queries} q, {items} i WHERE {BOX} AND {KM} <= 5"
     )
 
 
 def _two_stage(queries, items, candidates, results, keep="TRUE", order="similarity DESC, business_id") -> str:
     return (
-        "SELECT query_id, CAST(rank AS INT) AS rank, business_id, similarity, distance_km FROM ("
+        "SELECT query_id, CAST(rank AS INT) AS rank, business_id, round(similarity, 6) AS similarity, "
+        f"round(distance_km, 6) AS distance_km FROM ("
         f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank FROM ("
-        "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY l2, business_id) AS first_rank "
+        f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_digits('l2')}, business_id) AS first_rank "
         f"FROM ({_near(queries, items)})) WHERE first_rank <= {candidates} AND {keep}) WHERE rank <= {results}"
     )
 
@@ -45,8 +51,8 @@ def _two_stage(queries, items, candidates, results, keep="TRUE", order="similari
 CLI = _two_stage("located", "items", 25, 5, "similarity >= 0")
 
 KB = (
-    "SELECT query_id, CAST(rank AS INT) AS rank, business_id, round(l2, 4) AS similarity_score FROM ("
-    "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY l2, business_id) AS rank FROM ("
+    "SELECT query_id, CAST(rank AS INT) AS rank, business_id, round(round(l2, 6), 4) AS similarity_score FROM ("
+    f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_digits('l2')}, business_id) AS rank FROM ("
     f"SELECT q.query_id, i.business_id, {L2} AS l2 FROM message_queries q, items i)) WHERE rank <= 5"
 )
 
@@ -151,9 +157,9 @@ def _search_text() -> str:
     docs = _weights("prose", "business_id", "combined_text")
     asked = _weights("asked", "query_id", "wish")
     return with_ctes(
-        "SELECT query_id, CAST(rank AS INT) AS rank, business_id, similarity FROM (SELECT *, row_number() OVER "
-        "(PARTITION BY query_id ORDER BY similarity DESC, business_id) AS rank FROM ("
-        "SELECT q.query_id, p.business_id, round(coalesce(s.ip, 0), 6) AS similarity "
+        "SELECT query_id, CAST(rank AS INT) AS rank, business_id, round(similarity, 6) AS similarity FROM (SELECT *, "
+        "row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, business_id) AS rank FROM ("
+        "SELECT q.query_id, p.business_id, round(coalesce(s.ip, 0), 12) AS similarity "
         "FROM (SELECT DISTINCT key AS query_id FROM asked_weights) q, prose p LEFT JOIN (SELECT a.key AS query_id, "
         "d.key AS business_id, sum(a.weight * d.weight) AS ip FROM asked_weights a JOIN doc_weights d USING (bucket) "
         "GROUP BY 1, 2) s ON s.query_id = q.query_id AND s.business_id = p.business_id)) WHERE rank <= 5",
@@ -165,9 +171,9 @@ def _search_text() -> str:
 def _search_kb_text() -> str:
     """Both sides have length one, so the squared distance is 2 - 2 ip."""
     return with_ctes(
-        "SELECT query_id, CAST(rank AS INT) AS rank, business_id, round(l2, 4) AS similarity_score FROM (SELECT *, "
-        "row_number() OVER (PARTITION BY query_id ORDER BY l2, business_id) AS rank FROM (SELECT q.query_id, "
-        "p.business_id, round(2 - 2 * coalesce(s.ip, 0), 6) AS l2 FROM (SELECT DISTINCT key AS query_id FROM "
+        "SELECT query_id, CAST(rank AS INT) AS rank, business_id, round(round(l2, 6), 4) AS similarity_score FROM (SELECT *, "
+        f"row_number() OVER (PARTITION BY query_id ORDER BY {_digits('l2')}, business_id) AS rank FROM (SELECT q.query_id, "
+        "p.business_id, 2 - 2 * coalesce(s.ip, 0) AS l2 FROM (SELECT DISTINCT key AS query_id FROM "
         "asked_weights) q, kb_doc p LEFT JOIN (SELECT a.key AS query_id, d.key AS business_id, sum(a.weight * d.weight) "
         "AS ip FROM asked_weights a JOIN doc_weights d USING (bucket) GROUP BY 1, 2) s ON s.query_id = q.query_id "
         "AND s.business_id = p.business_id)) WHERE rank <= 5",
@@ -194,11 +200,12 @@ def _prefs_text() -> str:
         "ON lower(u.city) = g.city AND u.state = g.state"
     )
     return with_ctes(
-        "SELECT user_id, CAST(rank AS INT) AS rank, business_id, similarity, distance_km FROM (SELECT *, row_number() "
+        "SELECT user_id, CAST(rank AS INT) AS rank, business_id, round(similarity, 6) AS similarity, "
+        "round(distance_km, 6) AS distance_km FROM (SELECT *, row_number() "
         "OVER (PARTITION BY user_id ORDER BY similarity DESC, distance_km, business_id) AS rank FROM (SELECT *, "
-        "row_number() OVER (PARTITION BY user_id ORDER BY round(2 - 2 * ip, 6), business_id) AS first_rank FROM ("
-        f"SELECT q.user_id, i.business_id, coalesce(s.ip, 0) AS ip, round(coalesce(s.ip, 0), 6) AS similarity, "
-        f"round({KM}, 6) AS distance_km FROM ({spots}) q JOIN prose i ON {BOX} AND {KM} <= 5 "
+        f"row_number() OVER (PARTITION BY user_id ORDER BY {_digits('(2 - 2 * ip)')}, business_id) AS first_rank FROM ("
+        f"SELECT q.user_id, i.business_id, coalesce(s.ip, 0) AS ip, round(coalesce(s.ip, 0), 12) AS similarity, "
+        f"round({KM}, 9) AS distance_km FROM ({spots}) q JOIN prose i ON {BOX} AND {KM} <= 5 "
         "LEFT JOIN (SELECT a.key AS user_id, d.key AS business_id, sum(a.weight * d.weight) AS ip FROM asked_weights a "
         "JOIN doc_weights d USING (bucket) GROUP BY 1, 2) s ON s.user_id = q.user_id "
         "AND s.business_id = i.business_id)) WHERE first_rank <= 5) WHERE rank <= 1",
@@ -297,22 +304,47 @@ def oracle_sql() -> dict[str, str]:
             f"FROM gazetteer q, business i WHERE {BOX} AND {KM} <= 5"
         ),
         "geo_nearest": w(
-            "SELECT place, business_id, distance_km, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER "
+            "SELECT place, business_id, round(distance_km, 6) AS distance_km, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER "
             "(PARTITION BY place ORDER BY distance_km, business_id) AS rank FROM (SELECT q.city || '/' || q.state "
-            f"AS place, i.business_id, round({KM}, 6) AS distance_km FROM gazetteer q, business i WHERE {BOX} AND "
+            f"AS place, i.business_id, round({KM}, 9) AS distance_km FROM gazetteer q, business i WHERE {BOX} AND "
             f"{KM} <= 5)) WHERE rank <= 10"
         ),
         "knn_l2": _knn(L2, "l2", "ASC"),
         "knn_ip": _knn(IP, "ip", "DESC"),
         "knn_cosine": _knn(COS, "cosine", "DESC"),
+        "knn_lsh": w(
+            "SELECT query_id, CAST(rank AS INT) AS rank, business_id, round(cosine, 6) AS cosine FROM (SELECT *, "
+            "row_number() OVER (PARTITION BY query_id ORDER BY "
+            + _digits("cosine")
+            + " DESC, business_id) AS rank FROM (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, i.business_id, "
+            f"{COS.removeprefix('round(').removesuffix(', 12)')} AS cosine FROM (SELECT DISTINCT a.id, b.id AS business_id "
+            "FROM query_buckets a JOIN item_buckets b USING (t, bucket)) c JOIN vectors q ON q.vec_id = c.id "
+            "JOIN items i ON i.business_id = c.business_id)) WHERE rank <= 10",
+            (
+                "planes",
+                "SELECT t, b, list(CASE WHEN substr(md5(t || ':' || b || ':' || d), 1, 1) IN ('1', '3', '5', '7', '9', "
+                "'b', 'd', 'f') THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY d) AS plane FROM (SELECT unnest(range(8)) AS t), "
+                "(SELECT unnest(range(4)) AS b), (SELECT unnest(range(64)) AS d) GROUP BY 1, 2",
+            ),
+            (
+                "query_buckets",
+                "SELECT vec_id AS id, t, sum(CASE WHEN list_inner_product(vector, plane) > 0 THEN pow(2, b) ELSE 0 END) "
+                "AS bucket FROM vectors, planes GROUP BY 1, 2",
+            ),
+            (
+                "item_buckets",
+                "SELECT business_id AS id, t, sum(CASE WHEN list_inner_product(vector, plane) > 0 THEN pow(2, b) ELSE 0 END) "
+                "AS bucket FROM items, planes GROUP BY 1, 2",
+            ),
+        ),
         "search_cli": w(CLI),
         "search_form": w(_two_stage("located", "items", 20, 3)),
         "search_near": w(
             _two_stage("located", "unit_items", 5, 2, order="similarity DESC, distance_km, business_id")
         ),
         "search_global": w(
-            "SELECT query_id, CAST(rank AS INT) AS rank, business_id, similarity FROM (SELECT *, row_number() OVER "
-            "(PARTITION BY query_id ORDER BY similarity DESC, business_id) AS rank FROM (SELECT q.query_id, "
+            "SELECT query_id, CAST(rank AS INT) AS rank, business_id, round(similarity, 6) AS similarity FROM (SELECT *, "
+            "row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, business_id) AS rank FROM (SELECT q.query_id, "
             f"i.business_id, {COS} AS similarity FROM message_queries q, items i)) WHERE rank <= 10"
         ),
         "search_kb": w(KB),

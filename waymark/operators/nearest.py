@@ -1,14 +1,17 @@
 """Exact top-k search of many queries against many vectors.
 
-Both ways split the work into bounded blocks, score a block with one matrix
-product and let only the k best per query leave the task; pairs never become
-rows. Scores are ranked to six decimals, ties go to the smaller id, so the
-result does not depend on how the data was split. Ids are unique on each side.
+The work is split into bounded blocks. A block is scored with one matrix
+product, the few candidates are scored again from their components, and only
+the k best per query leave the task; pairs never become rows. Scores are ranked
+to twelve significant digits - beyond them the order of additions decides -
+distances to a micrometre, and ties go to the smaller id, so the result does not depend on how the data was
+split. Ids are unique on each side. Plans are lazy: nothing runs before the
+result is asked for, and no plan depends on the size of the data.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Sequence
 
 import pandas as pd
@@ -21,10 +24,7 @@ from waymark.functions import geo
 # Rows of one side in a block; with 384 doubles a block is some 60 MB.
 ITEM_BLOCK = 20_000
 QUERY_BLOCK = 20_000
-# Queries are shipped to every task only below this size.
-BROADCAST_BYTES = 32 * 1024 * 1024
-
-MIN_LSH_BITS = 4
+LSH_TABLES, LSH_BITS = 8, 4
 
 RESULT = "query_id string, item_id string, score double, l2 double, ip double, cosine double, distance_km double"
 
@@ -95,6 +95,38 @@ def make_scorer(
         near = km <= radius_km
         return r[near], c[near], km[near]
 
+    def lost(metric, qq, xx):
+        """More than the matrix product can be off by."""
+        import numpy as np
+
+        if metric == "cosine":
+            return np.full(len(qq), 1e-9)
+        return 1e-9 * (qq + xx.max() if metric == "l2" else np.sqrt(qq * xx.max()))
+
+    def exact(q, qq, x, xx, rows, cols):
+        """Squared distance, inner product and cosine of the given pairs."""
+        import numpy as np
+
+        l2, ip = np.empty(len(rows)), np.empty(len(rows))
+        step = max(1, cells // max(1, x.shape[1]))
+        for start in range(0, len(rows), step):
+            part = slice(start, start + step)
+            a, b = q[rows[part]], x[cols[part]]
+            ip[part] = np.einsum("ij,ij->i", a, b)
+            l2[part] = np.einsum("ij,ij->i", a - b, a - b)
+        size = np.sqrt(qq[rows]) * np.sqrt(xx[cols])
+        return l2, ip, np.divide(ip, size, out=np.zeros_like(ip), where=size > 0)
+
+    def significant(values):
+        """Rounded to twelve significant digits; zero stays zero."""
+        import numpy as np
+
+        out = np.zeros_like(values)
+        some = np.abs(values) > 1e-280
+        scale = 10.0 ** (11 - np.floor(np.log10(np.abs(values[some]))))
+        out[some] = np.round(values[some] * scale) / scale
+        return out
+
     def score(queries, items):
         import numpy as np
 
@@ -143,26 +175,24 @@ def make_scorer(
                 else:
                     np.putmask(raw, np.isinf(distance)[spot], np.inf)
             if n > k:
-                # a hair more than the k-th score, so no tie at six decimals is lost
-                edge = np.partition(raw, k - 1, axis=1)[:, k - 1] + 2e-6
-                rows, cols = np.nonzero((raw <= edge[:, None]) & np.isfinite(raw))
+                # The product loses digits that the scores from the components keep: a little beyond the k-th.
+                edge = np.partition(raw, k - 1, axis=1)[:, k - 1]
+                slack = np.abs(edge) * 1e-9 if not use_vectors or metric == "distance" else lost(metric, qq, xx)
+                rows, cols = np.nonzero((raw <= (edge + slack)[:, None]) & np.isfinite(raw))
             else:
                 rows, cols = np.nonzero(np.isfinite(raw))
-            ranked = np.round(raw[rows, cols], 6)
-            # items are in id order, so the column number breaks ties by id
-            order = np.lexsort((cols, ranked, rows))
-            rows, cols, ranked = rows[order], cols[order], ranked[order]
-            first = np.searchsorted(rows, rows, side="left")
-            keep = np.arange(len(rows)) - first < k
-            rows, cols, ranked = rows[keep], cols[keep], ranked[keep]
             none = np.full(len(rows), np.nan)
             l2 = ip = cosine = none
             if use_vectors:
-                ip = np.einsum("ij,ij->i", q[rows], x[cols])
-                l2 = np.maximum(qq[rows] + xx[cols] - 2 * ip, 0.0)
-                size = np.sqrt(qq[rows]) * np.sqrt(xx[cols])
-                cosine = np.divide(ip, size, out=np.zeros_like(ip), where=size > 0)
-            values = [ranked, l2, ip, cosine, distance[spot[rows], cols] if geo_needed else none]
+                l2, ip, cosine = exact(q, qq, x, xx, rows, cols)
+            km = distance[spot[rows], cols] if geo_needed else none
+            ranked = np.round(km, 9) if metric == "distance" else significant({"l2": l2, "ip": -ip, "cosine": -cosine}[metric])
+            # items are in id order, so the column number breaks ties by id
+            order = np.lexsort((cols, ranked, rows))
+            first = np.searchsorted(rows[order], rows[order], side="left")
+            keep = order[np.arange(len(order)) - first < k]
+            rows, cols, ranked = rows[keep], cols[keep], ranked[keep]
+            values = [ranked, l2[keep], ip[keep], cosine[keep], km[keep]]
             parts.append(
                 pa.table(
                     [
@@ -178,22 +208,6 @@ def make_scorer(
     return score
 
 
-def make_folder(k: int):
-    """Builds ``fold(tables) -> best k per query over all of them``."""
-
-    def fold(tables):
-        import numpy as np
-
-        merged = pa.concat_tables(tables).sort_by(
-            [("query_id", "ascending"), ("score", "ascending"), ("item_id", "ascending")]
-        )
-        ids = merged.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy()
-        first = np.searchsorted(ids, ids, side="left")
-        return merged.take(pa.array(np.nonzero(np.arange(len(ids)) - first < k)[0]))
-
-    return fold
-
-
 def _columns(df: DataFrame, id_name: str, metric: str, radius_km: float | None) -> list[str]:
     wanted = [id_name]
     if metric != "distance":
@@ -204,14 +218,18 @@ def _columns(df: DataFrame, id_name: str, metric: str, radius_km: float | None)
 
 
 def _blocked(queries: DataFrame, items: DataFrame, cell: Sequence[str], score) -> DataFrame:
-    """Scores every block of items against every block of queries per cell.
+    """Scores every block of items against every block of queries per cell,
+    or, without cells, of all rows.
 
-    A cell with more rows than a block holds on either side is split by id
-    hash; the other side is repeated once per split. Cells that only one side
-    has are dropped by the joins. Repeating a vector for one more block costs
-    far less than scoring it there, so blocks are as large as a task can hold.
+    More rows than a block holds, on either side, are split by id hash; the
+    other side is repeated once per split. Repeating a vector for one more
+    block costs far less than scoring it there, so blocks are as large as a
+    task can hold.
     """
-    left, right = split_blocks(queries, items, block_grid(queries, items, cell), cell)
+    if cell:
+        left, right = split_blocks(queries, items, block_grid(queries, items, cell), cell)
+    else:
+        left, right = split_all(queries, items)
     return (
         left.groupBy("block")
         .cogroup(right.groupBy("block"))
@@ -219,11 +237,34 @@ def _blocked(queries: DataFrame, items: DataFrame, cell: Sequence[str], score) -
     )
 
 
+def split_all(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``block`` key; the number of blocks per side comes
+    from a count inside the plan."""
+
+    def blocks(df: DataFrame, most: int):
+        return df.select(F.greatest(F.ceil(F.count("*") / most), F.lit(1)).cast("int").alias("n")).scalar()
+
+    query_blocks, item_blocks = blocks(queries, QUERY_BLOCK), blocks(items, ITEM_BLOCK)
+
+    def placed(df: DataFrame, key: str, own, other, form) -> DataFrame:
+        mine = F.pmod(F.xxhash64(key), own).cast("int")
+        spread = df.select("*", mine.alias("__mine"), F.explode(F.sequence(F.lit(0), other - 1)).alias("__other"))
+        return spread.select(*df.columns, F.concat_ws(":", *form).alias("block"))
+
+    return (
+        placed(queries, "query_id", query_blocks, item_blocks, ("__mine", "__other")),
+        placed(items, "item_id", item_blocks, query_blocks, ("__other", "__mine")),
+    )
+
+
 def block_grid(queries: DataFrame, items: DataFrame, cell: Sequence[str]) -> DataFrame:
-    """Number of blocks per cell and side: cell, query_blocks, item_blocks."""
+    """The crowded cells, those with more rows than a block on either side:
+    cell, query_blocks, item_blocks. All others are one block."""
     n_queries = queries.groupBy(*cell).agg(F.count("*").alias("n_queries"))
     n_items = items.groupBy(*cell).agg(F.count("*").alias("n_items"))
-    return n_items.join(n_queries, list(cell)).select(
+    return n_items.join(n_queries, list(cell)).where(
+        (F.col("n_queries") > QUERY_BLOCK) | (F.col("n_items") > ITEM_BLOCK)
+    ).select(
         *cell,
         F.ceil(F.col("n_queries") / QUERY_BLOCK).cast("int").alias("query_blocks"),
         F.ceil(F.col("n_items") / ITEM_BLOCK).cast("int").alias("item_blocks"),
@@ -242,9 +283,10 @@ def split_blocks(
     """
 
     def placed(df: DataFrame, key: str, mine: str, other: str) -> DataFrame:
-        own = F.pmod(F.xxhash64(key), F.col(mine)).cast("int")
-        spread = df.join(grid, list(cell)).withColumns(
-            {mine[:-1]: own, other[:-1]: F.explode(F.sequence(F.lit(0), F.col(other) - 1))}
+        one = F.lit(1)
+        own = F.pmod(F.xxhash64(key), F.coalesce(mine, one)).cast("int")
+        spread = df.join(grid, list(cell), "left").withColumns(
+            {mine[:-1]: own, other[:-1]: F.explode(F.sequence(F.lit(0), F.coalesce(other, one) - 1))}
         )
         block = F.concat_ws(":", *cell, "query_block", "item_block")
         return spread.select(*[c for c in df.columns if c not in cell], block.alias("block"))
@@ -255,45 +297,12 @@ def split_blocks(
     )
 
 
-def _shipped(queries: DataFrame, items: DataFrame, score, fold, small: pa.Table) -> DataFrame:
-    """Scans the items in place; the checked, small query table goes along."""
-    sent = items.sparkSession.sparkContext.broadcast(small)
-
-    def scan(batches):
-        kept, waiting, rows = [], [], 0
-        for batch in batches:
-            waiting.append(batch)
-            rows += batch.num_rows
-            if rows >= ITEM_BLOCK:
-                kept = [fold([*kept, score(sent.value, pa.Table.from_batches(waiting))])]
-                waiting, rows = [], 0
-        if waiting:
-            kept = [fold([*kept, score(sent.value, pa.Table.from_batches(waiting))])]
-        for table in kept:
-            yield from table.to_batches()
-
-    return items.mapInArrow(scan, RESULT)
-
-
 def best(found: DataFrame, k: int) -> DataFrame:
     """The k best of all block winners, numbered from 1."""
     order = Window.partitionBy("query_id").orderBy("score", "item_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _small_table(queries: DataFrame, limit: int) -> pa.Table | None:
-    """The queries as one Arrow table if they fit the limit, else None.
-
-    Counted first, without computing their vectors; only a table known to be
-    small is fetched. The width comes from one row.
-    """
-    rows = queries.select("query_id").count()
-    one = queries.select(F.size("vector").alias("dim")).filter("dim > 0").first() if rows else None
-    if one is None or rows * (one["dim"] * 8 + 64) > limit:
-        return None
-    return queries.toArrow()
-
-
 def nearest(
     queries: DataFrame,
     items: DataFrame,
@@ -302,17 +311,15 @@ def nearest(
     radius_km: float | None = None,
     unit_queries: bool = False,
     unit_items: bool = False,
-    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The k items closest to each query, exactly.
 
     ``queries``: query_id, vector [, latitude, longitude]; ``items``: item_id,
     vector [, latitude, longitude]. ``metric`` is ``l2`` (squared), ``ip``,
     ``cosine`` or ``distance``. With a radius, only items within it count, and
-    both sides meet in grid cells no smaller than the radius. Without one,
-    queries below ``broadcast_bytes`` travel to the items, which then do not
-    move at all; more queries meet the items in blocks. ``unit_queries`` and
-    ``unit_items`` scale a side to length one first.
+    both sides meet in grid cells no smaller than the radius; without one,
+    all queries meet all items in blocks. ``unit_queries`` and ``unit_items``
+    scale a side to length one first. ``score`` is what ranks: smaller is better.
     """
     queries = queries.select(*_columns(queries, "query_id", metric, radius_km))
     items = items.select(*_columns(items, "item_id", metric, radius_km))
@@ -320,12 +327,7 @@ def nearest(
     if radius_km is not None:
         found = _blocked(*to_cells(queries, items, radius_km), ("band", "cell"), score)
     else:
-        small = _small_table(queries, broadcast_bytes) if broadcast_bytes > 0 else None
-        if small is not None:
-            found = _shipped(queries, items, score, make_folder(k), small)
-        else:
-            one = F.lit(0).alias("cell")
-            found = _blocked(queries.select("*", one), items.select("*", one), ("cell",), score)
+        found = _blocked(queries, items, (), score)
     return best(found, k)
 
 
@@ -342,31 +344,38 @@ def to_cells(queries: DataFrame, items: DataFrame, radius_km: float) -> tuple[Da
     return spread, placed.filter(F.col("band").isNotNull() & F.col("cell").isNotNull())
 
 
+def plane_sign(table: int, bit: int, dimension: int) -> int:
+    """+1 or -1: the component of a hash plane, from the md5 of its place, so
+    that anyone can draw the same planes."""
+    digest = hashlib.md5(f"{table}:{bit}:{dimension}".encode()).hexdigest()
+    return 1 if int(digest[0], 16) % 2 else -1
+
+
 def nearest_lsh(
     queries: DataFrame,
     items: DataFrame,
     k: int,
-    tables: int = 8,
-    bits: int | None = None,
-    seed: int = 7,
+    tables: int = LSH_TABLES,
+    bits: int = LSH_BITS,
 ) -> DataFrame:
     """Approximate top-k by cosine: only items that share one of ``tables``
-    hash buckets with the query are scored, exactly.
+    hash buckets with the query are scored, exactly. A query whose buckets
+    hold fewer than k items has fewer hits.
 
-    Each bucket number is the sign pattern of ``bits`` random projections, by
-    default as many as spread the items evenly over buckets of one block, and
-    no fewer than ``MIN_LSH_BITS``. More tables find more, more bits score
-    less. A crowded bucket is split like any cell.
+    Each bucket number is the sign pattern of ``bits`` projections on planes
+    of +1 and -1 components. More tables find more, more bits score less: to
+    keep buckets of one size, add a bit each time the items double. A crowded
+    bucket is split like any cell.
     """
-    if bits is None:
-        bits = max(MIN_LSH_BITS, math.ceil(math.log2(max(1, items.count() / ITEM_BLOCK))))
 
     @F.pandas_udf("array<int>")
     def buckets(vectors: pd.Series) -> pd.Series:
         import numpy as np
 
-        x = np.stack(vectors.to_list())
-        planes = np.random.default_rng(seed).standard_normal((x.shape[1], tables * bits))
+        x = np.stack(vectors.to_list()).astype(float)
+        planes = np.array(
+            [[plane_sign(t, b, d) for t in range(tables) for b in range(bits)] for d in range(x.shape[1])], float
+        )
         signs = (x @ planes > 0).reshape(len(vectors), tables, bits)
         return pd.Series(list((signs * (1 << np.arange(bits))).sum(axis=2).astype("int32")))
 

@@ -36,18 +36,25 @@ def rerank(hits: DataFrame, results: int, *order: Column) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= results)
 
 
+# Digits that count when hits are ordered, and digits shown.
+RANKED, SHOWN = 12, 6
+
+
 def _hits(found: DataFrame) -> DataFrame:
     return found.select(
         "query_id",
         F.col("item_id").alias("business_id"),
-        F.round("l2", 6).alias("l2"),
-        F.round("ip", 6).alias("ip"),
-        F.round("cosine", 6).alias("similarity"),
-        F.round("distance_km", 6).alias("distance_km"),
+        F.round("l2", RANKED).alias("l2"),
+        F.round("cosine", RANKED).alias("similarity"),
+        F.round("distance_km", 9).alias("distance_km"),
         "rank",
     )
 
 
+def _shown(*names: str) -> list[Column]:
+    return [F.round(name, SHOWN).alias(name) for name in names]
+
+
 def two_stage(
     queries: DataFrame,
     items: DataFrame,
@@ -69,7 +76,7 @@ def two_stage(
         hits = hits.filter(F.col("similarity") >= min_cosine)
     order = [F.desc("similarity")] + ([F.asc("distance_km")] if nearer_first else [])
     return rerank(hits, results, *order).select(
-        "query_id", "rank", "business_id", "similarity", "distance_km"
+        "query_id", "rank", "business_id", *_shown("similarity", "distance_km")
     )
 
 
@@ -95,7 +102,7 @@ def global_search(queries: DataFrame, items: DataFrame, results: int = GLOBAL_RE
     found = nearest(queries, items, results, "ip", unit_queries=True, unit_items=True)
     hits = _hits(found)
     return rerank(hits, results, F.desc("similarity")).select(
-        "query_id", "rank", "business_id", "similarity"
+        "query_id", "rank", "business_id", *_shown("similarity")
     )
 
 
@@ -104,7 +111,7 @@ def kb_search(queries: DataFrame, items: DataFrame, results: int = KB_RESULTS) -
     lower is better in spite of its name."""
     found = _hits(nearest(queries, items, results, "l2"))
     return found.select(
-        "query_id", "rank", "business_id", F.round("l2", 4).alias("similarity_score")
+        "query_id", "rank", "business_id", F.round(F.round("l2", SHOWN), 4).alias("similarity_score")
     )
 
 
@@ -130,7 +137,7 @@ def follow_up(
         "query_id",
         "business_id",
         "distance_km",
-        F.round(V.cosine(F.col("q_vector"), F.col("vector")), 6).alias("similarity"),
+        F.round(V.cosine(F.col("q_vector"), F.col("vector")), RANKED).alias("similarity"),
     )
     top = rerank(scored, results, F.desc("similarity"))
     return top.filter(F.col("similarity") >= FOLLOW_UP_MIN_COSINE).select(
