@@ -305,8 +305,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "geo_nearest": w(
             "SELECT place, business_id, round(distance_km, 6) AS distance_km, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER "
-            "(PARTITION BY place ORDER BY distance_km, business_id) AS rank FROM (SELECT q.city || '/' || q.state "
-            f"AS place, i.business_id, round({KM}, 9) AS distance_km FROM gazetteer q, business i WHERE {BOX} AND "
+            "(PARTITION BY place ORDER BY round(distance_km, 9), business_id) AS rank FROM (SELECT q.city || '/' || q.state "
+            f"AS place, i.business_id, {KM} AS distance_km FROM gazetteer q, business i WHERE {BOX} AND "
             f"{KM} <= 5)) WHERE rank <= 10"
         ),
         "knn_l2": _knn(L2, "l2", "ASC"),
