@@ -157,6 +157,42 @@ def test_selections_and_itinerary(spark):
     assert modes[(1, 0)] == ("search", None) and modes[(1, 6)] == ("planning", "b3") and modes[(1, 10)] == ("planning", "b1")
 
 
+def walk_choices(messages, shown, names):
+    """Place selections turn by turn, as a live session makes them."""
+    out, current = [], {}
+    for conv, turn, text in sorted(messages):
+        listed = shown.get((conv, current.get(conv)), [])
+        picked = next((b for b in listed if names[b] and names[b].lower() in text.lower()), None)
+        if picked:
+            out.append((conv, turn, current[conv], picked))
+        elif (conv, turn) in shown:
+            current[conv] = turn
+    return out
+
+
+def test_naming_comes_before_searching(spark):
+    draw = random.Random(8)
+    names = {"b1": "Red Door", "b2": "Gym", "b3": "The Red Door", "b4": "", "b5": "Cafe"}
+    rows = [(b, n, "c", "FL", 1.0, 2.0, 3.0, "x") for b, n in names.items()]
+    business = spark.createDataFrame(
+        rows, "business_id string, name string, city string, state string, latitude double, longitude double, stars double, categories string"
+    )
+    messages, shown = [], {}
+    for conv in range(12):
+        for turn in range(0, 30, 2):
+            messages.append((conv, turn, draw.choice(["go to gym", "RED DOOR", "cafe then", "hello", "the red door, gym"])))
+            if draw.random() < 0.7:
+                shown[(conv, turn)] = draw.sample(sorted(names), draw.randint(1, 3))
+    results = [(c, t, r, b) for (c, t), found in shown.items() for r, b in enumerate(found, 1)]
+    chosen = C.place_selections(
+        spark.createDataFrame(messages, "conv_id long, turn long, text string"),
+        spark.createDataFrame(results, "conv_id long, turn long, rank int, business_id string"),
+        business,
+    )
+    got = sorted((r["conv_id"], r["turn"], r["list_turn"], r["business_id"]) for r in chosen.collect())
+    assert got == walk_choices(messages, shown, names)
+
+
 def test_category_sets_and_upsert(spark):
     reacted = spark.createDataFrame(
         [("u1", "positive", "b1"), ("u1", "positive", "b1"), ("u1", "negative", "b2"), ("u3", "positive", "b2")],

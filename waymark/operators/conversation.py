@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.operators.ordered import running
+from waymark.session import work_dir
 
 # Phrases that mark a message as positive or negative.
 POSITIVE = ("i like", "liked it", "great", "perfect", "this works", "i love it")
@@ -165,36 +166,49 @@ def history(messages: DataFrame) -> DataFrame:
     )
 
 
+def _named(messages: DataFrame, lists: DataFrame, results: DataFrame, places: DataFrame) -> DataFrame:
+    """Messages that name a place of the list current before them, the first
+    such place by rank. ``lists``: the (conv_id, turn) whose results are shown."""
+    marked = lists.withColumn("listed", F.lit(True))
+    told = messages.join(marked, ["conv_id", "turn"], "left")
+    told = running(told, ["conv_id"], "turn", befores={"list_turn": F.when(F.col("listed"), F.col("turn"))})
+    asking = told.filter(F.col("list_turn").isNotNull())
+    shown = results.withColumnRenamed("turn", "list_turn").join(places, "business_id")
+    named = asking.join(shown, ["conv_id", "list_turn"]).filter(F.lower("text").contains(F.lower("name")))
+    first = Window.partitionBy("conv_id", "turn").orderBy("rank")
+    return named.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1")
+
+
 def place_selections(messages: DataFrame, results: DataFrame, business: DataFrame) -> DataFrame:
     """Messages that name a place of the list shown last before them.
 
-    The first such place by rank counts. A list stays current until a later
-    message has one of its own; places without a name never match.
+    Naming comes first: such a message is a choice and not a search, whatever
+    it would have found, so its own results are not shown and the list stays.
+    Any other message with results starts a new list. The first place by rank
+    counts; places without a name never match.
+
+    Whether a message with results is a choice depends on the list before it,
+    and so on the choices before that. The choices are worked out in rounds:
+    each takes those of the round before as given, and is right at least up to
+    the next such message of every conversation. When a round changes nothing
+    it is the result. Few conversations need more than two.
     """
-    listing = results.select("conv_id", "turn").distinct().withColumn("lists", F.lit(True))
-    told = messages.join(listing, ["conv_id", "turn"], "left")
-    told = running(
-        told, ["conv_id"], "turn", lasts={"list_turn": F.when(F.col("lists"), F.col("turn"))}
-    )
-    # A message that has results of its own was a search, not a choice.
-    asking = told.filter(F.col("lists").isNull() & F.col("list_turn").isNotNull())
-    places = results.withColumnRenamed("turn", "list_turn").join(
-        business.filter(F.length("name") > 0).select(
-            "business_id", "name", "city", "state", "latitude", "longitude"
-        ),
-        "business_id",
-    )
-    named = asking.join(places, ["conv_id", "list_turn"]).filter(
-        F.lower("text").contains(F.lower("name"))
-    )
-    first = Window.partitionBy("conv_id", "turn").orderBy("rank")
-    return (
-        named.withColumn("__nth", F.row_number().over(first))
-        .filter("__nth = 1")
-        .select(
+    spark = messages.sparkSession
+    places = business.filter(F.length("name") > 0).select("business_id", "name", "latitude", "longitude")
+    lists = results.select("conv_id", "turn").distinct()
+    told, before = lists, None
+    while True:
+        path = work_dir(spark, "choices")
+        _named(messages, told, results, places).select(
             "conv_id", "turn", "list_turn", "rank", "business_id", "name", "latitude", "longitude"
-        )
-    )
+        ).write.parquet(path)
+        chosen = spark.read.parquet(path)
+        searches = chosen.join(lists, ["conv_id", "turn"], "left_semi").select("conv_id", "turn")
+        state = searches.agg(F.count("*"), F.sum(F.xxhash64("conv_id", "turn").cast("decimal(38,0)"))).first()
+        if state == before or (before is None and state[0] == 0):
+            return chosen
+        before = state
+        told = lists.join(searches, ["conv_id", "turn"], "left_anti")
 
 
 def itinerary(selections: DataFrame) -> DataFrame:

@@ -77,8 +77,10 @@ def itinerary_totals(v: SampleViews) -> DataFrame:
 
 def planning_search(v: SampleViews) -> DataFrame:
     """Hits of every message with the distance from the place chosen last."""
-    origins = C.search_origins(v.place_messages(), _selections(v))
-    hits = v.results().join(origins, ["conv_id", "turn"])
+    chosen = _selections(v)
+    origins = C.search_origins(v.place_messages(), chosen)
+    # A message that chose a place was no search.
+    hits = v.results().join(chosen, ["conv_id", "turn"], "left_anti").join(origins, ["conv_id", "turn"])
     shown = search.present(hits, v.business())
     return shown.select("conv_id", "turn", "rank", "mode", "origin_id", "business_id", "name", "stars", "distance_km")
 

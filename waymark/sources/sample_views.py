@@ -157,8 +157,8 @@ class SampleViews:
         )
 
     def place_messages(self) -> DataFrame:
-        """User messages; every fourth one names the second place of the list
-        shown two turns before."""
+        """User messages; every second one names the second place found two
+        turns before, half of these with results of their own."""
         shown = (
             self.results()
             .filter("rank = 2")
@@ -166,7 +166,7 @@ class SampleViews:
             .select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("name").alias("shown_name"))
         )
         talk = self.table("conversations").filter("role = 'user'")
-        named = F.expr("(conv_id + turn) % 4 = 2") & F.col("shown_name").isNotNull()
+        named = F.expr("(conv_id + turn) % 2 = 0") & F.col("shown_name").isNotNull()
         return talk.join(shown, ["conv_id", "turn"], "left").select(
             "conv_id",
             "turn",
