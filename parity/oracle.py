@@ -82,6 +82,14 @@ def _weights(source: str, key: str, body: str) -> str:
     )
 
 
+def _weights_text(source: str, key: str, body: str) -> str:
+    """The weights in thousandths as text, place:weight, zeros left out."""
+    return (
+        "SELECT key, string_agg(bucket || ':' || CAST(round(weight * 1000) AS INT), ' ' ORDER BY bucket) AS weights "
+        f"FROM ({_weights(source, key, body)}) WHERE round(weight * 1000) <> 0 GROUP BY 1"
+    )
+
+
 def _embedding(source: str, key: str, body: str) -> str:
     return with_ctes(
         f"SELECT key AS {key}, bucket, round(weight, 6) AS weight FROM ({_weights(source, key, body)}) WHERE weight <> 0"
@@ -218,7 +226,7 @@ def oracle_sql() -> dict[str, str]:
     days = ", ".join(f"json_extract_string(hours, '$.{d}') AS {d.lower()}" for d in WEEKDAYS)
     w = with_ctes
     return {
-        "business_scope": w("SELECT * EXCLUDE (attributes, hours, is_open) FROM scoped"),
+        "business_scope": w("SELECT * EXCLUDE (is_open) FROM scoped"),
         "business_model": w(f"SELECT {', '.join(PROFILE_COLUMNS)}, {days} FROM filtered"),
         "category_model": w("SELECT * FROM category_rows"),
         "category_vocab": w(
@@ -254,7 +262,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT business_id, name, review_count FROM (SELECT *, row_number() OVER (PARTITION BY business_id "
             f"ORDER BY id, review_count DESC, name) AS nth FROM ({TWICE})) WHERE nth = 1"
         ),
-        "row_dedupe": w(f"SELECT DISTINCT business_id, name, stars, review_count, categories FROM ({TWICE})"),
+        "row_dedupe": w(f"SELECT DISTINCT * FROM ({TWICE})"),
         "profile_numeric": _profile(),
         "profile_nulls": _per_column("count(*) FILTER ({c} IS NULL)", "null_count"),
         "profile_counts": _per_column("count({c})", "value_count"),
@@ -407,7 +415,8 @@ def oracle_sql() -> dict[str, str]:
             + geodesic(
                 "SELECT r.conv_id, r.turn, r.rank, r.business_id, o.origin_id, b.name, b.stars, o.lat1, o.lon1, "
                 "b.latitude AS lat2, b.longitude AS lon2 FROM results r JOIN origins o ON o.conv_id = r.conv_id "
-                "AND o.turn = r.turn JOIN business b ON b.business_id = r.business_id"
+                "AND o.turn = r.turn JOIN business b ON b.business_id = r.business_id "
+                "WHERE NOT EXISTS (SELECT 1 FROM selections s WHERE s.conv_id = r.conv_id AND s.turn = r.turn)"
             )
             + ") k"
         ),
@@ -418,25 +427,42 @@ def oracle_sql() -> dict[str, str]:
             "row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, "
             "row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS from_last FROM conversations"
         ),
-        "csv_roundtrip": w("SELECT * FROM business"),
+        "csv_roundtrip": w(
+            "SELECT * REPLACE (CASE id % 6 WHEN 0 THEN '  lead and trail  ' WHEN 1 THEN '' WHEN 2 THEN NULL "
+            "WHEN 3 THEN 'a \"quoted\", cell' WHEN 4 THEN 'two' || chr(10) || 'lines' ELSE address END AS address) FROM business"
+        ),
+        "file_manifest": (
+            "SELECT 'events' AS table_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(1 AS BIGINT) AS n_files FROM events "
+            "UNION ALL SELECT 'orders', count(*), 1 FROM orders"
+        ),
+        "declared_tests": w(
+            "SELECT 'curated_business' AS model, 'business_id' AS column_name, 'unique' AS test, "
+            "(SELECT count(*) FROM (SELECT business_id FROM filtered GROUP BY 1 HAVING count(*) > 1)) AS failing_rows "
+            "UNION ALL SELECT 'curated_business', 'business_id', 'not_null', (SELECT count(*) FROM filtered WHERE business_id IS NULL) "
+            "UNION ALL SELECT 'categories', 'business_id', 'not_null', (SELECT count(*) FROM category_rows WHERE business_id IS NULL) "
+            "UNION ALL SELECT 'attributes', 'business_id', 'not_null', (SELECT count(*) FROM attr_model WHERE business_id IS NULL)"
+        ),
         "raw_variant_load": w(
-            "SELECT business_id, name, stars, review_count, is_open, categories FROM business"
+            "SELECT * FROM business"
         ),
         "json_normalize": (
-            "SELECT event_id, user_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS props_k "
+            "SELECT event_id, ts, user_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS props_k "
             "FROM events"
         ),
         "kb_write": w(
-            "SELECT d.business_id AS id, d.document, m.metadata, 384 AS dim FROM kb_doc d "
-            "JOIN kb_meta m USING (business_id)"
+            "SELECT d.business_id AS id, d.document, m.metadata, coalesce(v.weights, '') AS weights FROM kb_doc d "
+            f"JOIN kb_meta m USING (business_id) LEFT JOIN ({_weights_text('kb_doc', 'business_id', 'document')}) v "
+            "ON v.key = d.business_id"
         ),
         "embedding_table": w(
-            "SELECT business_id, name, city, state, latitude, longitude, categories, combined_text, 384 AS dim FROM prose"
+            "SELECT business_id, name, city, state, latitude, longitude, categories, combined_text, "
+            "coalesce(v.weights, '') AS weights FROM prose LEFT JOIN "
+            f"({_weights_text('prose', 'business_id', 'combined_text')}) v ON v.key = business_id"
         ),
         "append_write": w(
             "SELECT business_id, attributes FROM engineered UNION ALL SELECT business_id, attributes FROM engineered"
         ),
         "report_csv": w(CLI),
-        "stream_ingest": "SELECT event_id, user_id, event_type, value, props FROM events",
+        "stream_ingest": "SELECT * FROM events",
         "stream_liked": w("SELECT * FROM liked"),
     }

@@ -122,7 +122,10 @@ def test_widen(spark):
         ],
         "business_id string, attributes string, hours string",
     )
-    wide = A.widen(rows)
+    names = {}
+    for row in A.wide_names(rows).collect():
+        names.setdefault(row["suffix"], []).append(row["name"])
+    wide = A.widen(rows, names)
     got = {r["business_id"]: r.asDict() for r in wide.collect()}
     assert set(wide.columns) == {
         "business_id", "WiFi_Attr", "Ambience_Attr", "Music_Attr", "BikeParking_Attr", "Monday_Hour",

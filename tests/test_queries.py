@@ -7,7 +7,7 @@ from parity.check import compare, connect
 from parity.oracle import oracle_sql
 from waymark.plans.registry import queries
 
-NO_TWIN = {"file_manifest"}
+NO_TWIN: set[str] = set()
 
 
 @pytest.fixture(scope="module")

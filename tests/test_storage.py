@@ -23,8 +23,30 @@ def test_csv_malformed_row_ends_the_load(spark, tmp_path):
     schema = spark.createDataFrame([], SCHEMA).schema
     with pytest.raises(Exception, match="(?i)malformed"):
         readers.read_csv(spark, str(tmp_path), schema).collect()
-    # collected: a bare count reads no column, so it has nothing to reject
-    assert len(readers.read_csv(spark, str(tmp_path), schema, "DROPMALFORMED").collect()) == 1
+    for asked in (lambda df: df.count(), lambda df: df.select("text").collect()):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            asked(readers.read_csv(spark, str(tmp_path), schema))
+    assert readers.read_csv(spark, str(tmp_path), schema, "DROPMALFORMED").count() == 1
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    texts = ["  lead and trail  ", "", None, 'a "quoted", cell', "two\nlines", " ", ","]
+    rows = spark.createDataFrame([(n, text, None) for n, text in enumerate(texts)], SCHEMA)
+    writers.write_report_csv(rows, f"{tmp_path}/c")
+    back = readers.read_csv(spark, f"{tmp_path}/c", rows.schema, multi_line=True)
+    assert sorted(back.collect()) == sorted(rows.collect())
+
+
+def test_failed_refresh_leaves_the_table(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "id int, v string")
+    writers.replace_table(rows, f"{tmp_path}/t")
+    broken = rows.select("id", F.raise_error(F.lit("no")).cast("string").alias("v"))
+    with pytest.raises(Exception, match="no"):
+        writers.replace_table(broken, f"{tmp_path}/t")
+    assert [tuple(r) for r in writers.read_table(spark, f"{tmp_path}/t").collect()] == [(1, "a")]
+    # a table may be replaced by what was read from it
+    writers.replace_table(writers.read_table(spark, f"{tmp_path}/t").union(rows), f"{tmp_path}/t")
+    assert writers.read_table(spark, f"{tmp_path}/t").count() == 2
 
 
 def test_json_normalize(spark, tmp_path):
@@ -52,11 +74,12 @@ def test_replace_append_upsert(spark, tmp_path):
         assert writers.read_table(spark, path).count() == count
     changes = spark.createDataFrame([(2, None), (3, "c")], "id int, v string")
     assert sorted(tuple(r) for r in writers.upsert(rows, changes, "id").collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    assert sorted(tuple(r) for r in writers.upsert(rows, changes, "id", insert=False).collect()) == [(1, "a"), (2, "b")]
 
 
 def test_kb_files_are_split(spark, tmp_path):
     writers.write_kb(spark.range(10).coalesce(1), f"{tmp_path}/kb", file_rows=4)
-    assert readers.list_files(spark, f"{tmp_path}/kb", "*.parquet").count() == 3
+    assert readers.list_files(spark, f"{tmp_path}/kb/versions", "*.parquet").count() == 3
 
 
 def test_shared_folder_follows_the_session(spark, monkeypatch):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,6 @@ from waymark.operators.scope import STATES, in_scope
 
 EAV = ("business_id", "attribute_name", "attribute_value")
 
-# Columns a wide table may have. The key set is metadata, checked here before
-# it is used to build columns.
-MAX_WIDE_KEYS = 5_000
-
 
 def _members(text: Column, strict: bool) -> Column:
     """Members of a JSON object as an array of (key, value text).
@@ -128,12 +126,8 @@ NESTED_SUFFIX = {
 }
 
 
-def widen(business: DataFrame) -> DataFrame:
-    """Attributes, opening hours and nested attributes as columns.
-
-    One distributed pass finds the names per family, a second one projects
-    them; there is no join. Hours columns come from the hours.
-    """
+def _families(business: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """business_id and one map column per family of wide columns, by suffix."""
     parsed = business.select(
         "business_id",
         S.literal_object(F.col("attributes")).alias("m__Attr"),
@@ -143,24 +137,32 @@ def widen(business: DataFrame) -> DataFrame:
     for name, suffix in NESTED_SUFFIX.items():
         families[suffix] = f"m_{suffix}"
         parsed = parsed.withColumn(f"m_{suffix}", S.literal_object(F.col("m__Attr")[name]))
+    return parsed, families
+
+
+def wide_names(business: DataFrame) -> DataFrame:
+    """(suffix, name) of every column the rows could fill, as a table: what to
+    declare for :func:`widen` is looked up here."""
+    parsed, families = _families(business)
 
     def tag(suffix: str):
-        return lambda key: F.struct(F.lit(suffix).alias("s"), key.alias("k"))
+        return lambda key: F.struct(F.lit(suffix).alias("suffix"), key.alias("name"))
 
     tagged = F.flatten(
         F.array(*[F.transform(F.map_keys(column), tag(suffix)) for suffix, column in families.items()])
     )
-    names = (
-        parsed.select(F.explode(tagged).alias("t"))
-        .select("t.s", "t.k")
-        .distinct()
-        .limit(MAX_WIDE_KEYS + 1)
-        .collect()
-    )
-    if len(names) > MAX_WIDE_KEYS:
-        raise ValueError(f"more than {MAX_WIDE_KEYS} attribute names; keep the long form")
+    return parsed.select(F.inline(tagged)).distinct()
+
+
+def widen(business: DataFrame, names: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Attributes, opening hours and nested attributes as columns.
+
+    ``names``: the declared names per suffix (``_Attr``, ``_Hour`` and those
+    of NESTED_SUFFIX). One pass, no job before it; a declared name that a row
+    lacks is NULL, undeclared ones stay in the long form (:func:`flatten`).
+    """
+    parsed, families = _families(business)
     columns = [
-        F.col(families[r["s"]])[r["k"]].alias(r["k"] + r["s"])
-        for r in sorted(names, key=lambda r: (r["s"], r["k"]))
+        F.col(families[suffix])[name].alias(name + suffix) for suffix in sorted(names) for name in sorted(names[suffix])
     ]
     return parsed.select("business_id", *columns)

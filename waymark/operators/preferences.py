@@ -21,10 +21,11 @@ def look_up(users: DataFrame, wanted: DataFrame) -> DataFrame:
     return users.join(wanted.select("user_id").distinct(), "user_id", "left_semi")
 
 
-def store_liked(users: DataFrame, sets: DataFrame) -> DataFrame:
+def store_liked(users: DataFrame, sets: DataFrame, add_users: bool = False) -> DataFrame:
     """The preference table with the liked categories in place of the old list.
 
-    A user who liked nothing keeps the old list; a new user is added.
+    A user who liked nothing keeps the old list. An unknown user is left out,
+    or added without a name with ``add_users`` (a registration).
     """
     liked = sets.filter(F.col("liked") != "").select("user_id", F.col("liked").alias("categories"))
-    return upsert(users.select("user_id", "name", "categories"), liked, "user_id")
+    return upsert(users.select("user_id", "name", "categories"), liked, "user_id", insert=add_users)

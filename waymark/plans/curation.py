@@ -11,11 +11,17 @@ from waymark.operators import cohort, dedupe, profile, quality, scope
 from waymark.sources.sample_views import SampleViews
 
 REVIEW_CUTOFF = "1998-01-01"
+# Declared columns of the wide attribute table.
+WIDE = {
+    "_Attr": ["WiFi", "BikeParking", "RestaurantsPriceRange2", "Ambience"],
+    "_Hour": ["Monday", "Sunday"],
+    "_Ambience": ["romantic", "casual", "hipster"],
+}
 NUMERIC = ["id", "latitude", "longitude", "stars", "review_count"]
 
 
 def business_scope(v: SampleViews) -> DataFrame:
-    return scope.in_scope(v.business()).drop("attributes", "hours", "is_open")
+    return scope.in_scope(v.business()).drop("is_open")
 
 
 def business_model(v: SampleViews) -> DataFrame:
@@ -51,7 +57,7 @@ def attribute_map(v: SampleViews) -> DataFrame:
 
 
 def attribute_wide(v: SampleViews) -> DataFrame:
-    return A.widen(v.business())
+    return A.widen(v.business(), WIDE)
 
 
 def filtered_attributes(v: SampleViews) -> DataFrame:
@@ -124,8 +130,25 @@ def kb_dedupe(v: SampleViews) -> DataFrame:
 
 
 def row_dedupe(v: SampleViews) -> DataFrame:
-    rows = _loaded_twice(v).select("business_id", "name", "stars", "review_count", "categories")
-    return dedupe.whole_rows(rows)
+    return dedupe.whole_rows(_loaded_twice(v))
+
+
+def declared_tests(v: SampleViews) -> DataFrame:
+    """The data tests declared for the models, with their failing rows."""
+    models = {
+        "curated_business": scope.curated(v.business()),
+        "categories": cohort.categories(v.business()),
+        "attributes": A.flatten(v.business()),
+    }
+    return quality.run_declared(
+        models,
+        [
+            ("curated_business", "business_id", "unique"),
+            ("curated_business", "business_id", "not_null"),
+            ("categories", "business_id", "not_null"),
+            ("attributes", "business_id", "not_null"),
+        ],
+    )
 
 
 def profile_numeric(v: SampleViews) -> DataFrame:

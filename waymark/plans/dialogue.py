@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from waymark.operators import cohort, preferences, search
 from waymark.operators import conversation as C
 from waymark.operators import intent as I
+from waymark.session import work_dir
+from waymark.sources import writers
 from waymark.sources.sample_views import SampleViews
 
 
@@ -49,7 +51,12 @@ def liked_categories(v: SampleViews) -> DataFrame:
 
 
 def prefs_upsert(v: SampleViews) -> DataFrame:
-    return preferences.store_liked(v.user(), _liked(v))
+    """The stored preference table, laid over with what was liked, read back."""
+    path = work_dir(v.spark, "preferences")
+    writers.replace_table(v.user().select("user_id", "name", "categories"), path)
+    stored = writers.read_table(v.spark, path)
+    writers.replace_table(preferences.store_liked(stored, _liked(v), add_users=True), path)
+    return writers.read_table(v.spark, path)
 
 
 def intent(v: SampleViews) -> DataFrame:

@@ -54,7 +54,10 @@ def kb_metadata_v1(v: SampleViews) -> DataFrame:
 
 def knowledge_base(v: SampleViews) -> DataFrame:
     """id, document, metadata and vector, one row per business."""
-    rows = dedupe.keep_first(engineered(v), "business_id", F.asc("id"))
+    # Every column decides in the end, so that copies of an id do not tie.
+    whole = engineered(v)
+    rest = F.xxhash64(*(F.to_json(c) if t.startswith(("map", "struct", "array")) else F.col(c) for c, t in whole.dtypes))
+    rows = dedupe.keep_first(whole, "business_id", F.asc("id"), rest.asc())
     docs = documents.kb_v2(rows).withColumnRenamed("business_id", "id")
     return embed.embed_words(docs, "document")
 

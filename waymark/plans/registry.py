@@ -29,6 +29,7 @@ PLANS: tuple[Callable[[SampleViews], DataFrame], ...] = (
     curation.relevant_users,
     curation.kb_dedupe,
     curation.row_dedupe,
+    curation.declared_tests,
     curation.profile_numeric,
     curation.profile_nulls,
     curation.profile_counts,

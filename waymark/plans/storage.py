@@ -17,12 +17,20 @@ from waymark.sources.sample_views import CHAT, SampleViews, _project
 from waymark.streaming import feedback, ingest
 
 
+ODD_ADDRESS = (
+    "CASE id % 6 WHEN 0 THEN '  lead and trail  ' WHEN 1 THEN '' WHEN 2 THEN NULL "
+    "WHEN 3 THEN 'a \"quoted\", cell' WHEN 4 THEN concat('two', chr(10), 'lines') ELSE address END"
+)
+
+
 def csv_roundtrip(v: SampleViews) -> DataFrame:
-    """Business rows, JSON cells and all, through quoted CSV."""
+    """Business rows, JSON cells and all, through quoted CSV. Addresses hold
+    what a cell may hold: edge blanks, nothing, NULL, quotes, line breaks."""
     path = work_dir(v.spark, "csv")
     columns = [f.name for f in readers.BUSINESS_SCHEMA.fields]
-    writers.write_report_csv(v.business().select(*columns), path)
-    return readers.read_csv(v.spark, path, readers.BUSINESS_SCHEMA)
+    rows = v.business().withColumn("address", F.expr(ODD_ADDRESS)).select(*columns)
+    writers.write_report_csv(rows, path)
+    return readers.read_csv(v.spark, path, readers.BUSINESS_SCHEMA, multi_line=True)
 
 
 def raw_variant_load(v: SampleViews) -> DataFrame:
@@ -31,30 +39,38 @@ def raw_variant_load(v: SampleViews) -> DataFrame:
     v.business().write.json(path)
     raw = readers.read_raw_json(v.spark, path)
     get = lambda name, kind: F.variant_get("raw", f"$.{name}", kind).alias(name)
-    return raw.select(
-        get("business_id", "string"), get("name", "string"), get("stars", "double"),
-        get("review_count", "int"), get("is_open", "boolean"), get("categories", "string"),
-    )
+    return raw.select(*(get(f.name, f.dataType.simpleString()) for f in v.business().schema))
 
 
 def json_normalize(v: SampleViews) -> DataFrame:
     """Nested event records to flat columns; the schema comes from the data."""
     path = work_dir(v.spark, "events-json")
     events = v.table("events").select(
-        "event_id", "user_id", "event_type", "value", F.from_json("props", "k int").alias("props")
+        "event_id", F.col("ts").cast("string").alias("ts"), "user_id", "event_type", "value",
+        F.parse_json("props").alias("props"),
     )
     events.write.json(path)
     raw = readers.read_raw_json(v.spark, path)
     flat = readers.normalize_json(raw, readers.infer_variant_schema(raw))
     return flat.select(
-        "event_id", "user_id", "event_type", F.col("value").cast("double").alias("value"),
+        "event_id", F.col("ts").cast(v.table("events").schema["ts"].dataType).alias("ts"), "user_id", "event_type",
+        F.col("value").cast("double").alias("value"),
         F.col("`props.k`").alias("props_k"),
     )
 
 
 def file_manifest(v: SampleViews) -> DataFrame:
-    files = readers.list_files(v.spark, v.folder, "*.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "bytes")
+    """Rows per file of the event and order tables, from the scans themselves."""
+    tables = [v.table(name).select(F.lit(name).alias("table_name"), "_metadata.file_path") for name in ("events", "orders")]
+    files = tables[0].unionByName(tables[1]).groupBy("table_name", "file_path").agg(F.count("*").alias("n_rows"))
+    return files.groupBy("table_name").agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_files"))
+
+
+def _weights_text(vector: str):
+    """The non-zero weights of a vector, rounded to thousandths: place:weight."""
+    numbered = F.transform(vector, lambda w, i: F.struct(i.alias("i"), F.round(w * 1000).cast("int").alias("w")))
+    told = F.transform(F.filter(numbered, lambda e: e["w"] != 0), lambda e: F.concat_ws(":", e["i"], e["w"]))
+    return F.array_join(told, " ").alias("weights")
 
 
 def kb_write(v: SampleViews) -> DataFrame:
@@ -63,7 +79,7 @@ def kb_write(v: SampleViews) -> DataFrame:
     for _ in range(2):
         writers.write_kb(knowledge_base(v), path)
     return writers.read_table(v.spark, path).select(
-        "id", "document", "metadata", F.size("vector").alias("dim")
+        "id", "document", "metadata", _weights_text("vector")
     )
 
 
@@ -73,9 +89,9 @@ def embedding_table(v: SampleViews) -> DataFrame:
     for _ in range(2):
         writers.replace_table(embedding_rows(v), path)
     vector = text_to_vector(F.col("embedding"), DIM)
-    return writers.read_table(v.spark, path).withColumn("embedding", F.size(vector)).withColumnRenamed(
-        "embedding", "dim"
-    )
+    return writers.read_table(v.spark, path).withColumn("embedding", vector).select(
+        "*", _weights_text("embedding")
+    ).drop("embedding")
 
 
 def append_write(v: SampleViews) -> DataFrame:
@@ -101,9 +117,7 @@ def stream_ingest(v: SampleViews) -> DataFrame:
     schema = v.table("events").schema
     arriving = ingest.file_stream(v.spark, v.folder, schema, "parquet", "events.parquet")
     ingest.land(arriving, f"{base}/table", f"{base}/checkpoint")
-    return writers.read_table(v.spark, f"{base}/table").select(
-        "event_id", "user_id", "event_type", "value", "props"
-    )
+    return writers.read_table(v.spark, f"{base}/table").select(*v.table("events").columns)
 
 
 def stream_liked(v: SampleViews) -> DataFrame:

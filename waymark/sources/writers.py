@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +13,35 @@ from waymark.sources.readers import CSV_OPTIONS
 KB_FILE_ROWS = 1_000_000
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write the result as the table's new content. The commit is atomic per
-    job: a failed run leaves no half-filled table behind."""
-    df.write.mode("overwrite").parquet(path)
+def replace_table(df: DataFrame, path: str, file_rows: int = 0) -> None:
+    """Write the result as the table's new content.
+
+    The rows go to a folder of their own; only when they are all there, one
+    row in the table's list of versions makes it the current one. A run that
+    fails before that leaves the table as it was. Old versions stay until the
+    storage's own rules remove them. Files split after ``file_rows`` rows.
+    """
+    spark = df.sparkSession
+    version = f"{path}/versions/{uuid.uuid4().hex}"
+    df.write.option("maxRecordsPerFile", file_rows).parquet(version)
+    number = (_versions(spark, path) or (0, ""))[0] + 1
+    row = spark.createDataFrame([(number, version)], _VERSION)
+    row.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+
+_VERSION = "number long, folder string"
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """Number and folder of the current version, None before the first one."""
+    try:
+        commits = spark.read.schema(_VERSION).parquet(f"{path}/commits")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    last = commits.agg(F.max(F.struct("number", "folder")).alias("last")).first()["last"]
+    return (last["number"], last["folder"]) if last else None
 
 
 def append_table(df: DataFrame, path: str) -> None:
@@ -32,18 +60,19 @@ def write_kb(documents: DataFrame, path: str, file_rows: int = KB_FILE_ROWS) ->
     Ids are expected to be unique (see ``dedupe.keep_first``). Each task
     writes its own files, split after ``file_rows`` rows.
     """
-    documents.write.mode("overwrite").option("maxRecordsPerFile", file_rows).parquet(path)
+    replace_table(documents, path, file_rows)
 
 
-def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """``current`` with the rows of ``changes`` inserted or laid over it.
+def upsert(current: DataFrame, changes: DataFrame, key: str, insert: bool = True) -> DataFrame:
+    """``current`` with the rows of ``changes`` laid over it and, with
+    ``insert``, those of new keys added.
 
     A column that ``changes`` lacks, or holds NULL in, keeps its value. Both
-    sides hold one row per key. Write the result to a new path: a job must
-    not overwrite the table it reads.
+    sides hold one row per key. ``replace_table`` may write the result over
+    the table it was read from: every version has a folder of its own.
     """
     new = changes.select(key, *[F.col(c).alias(f"__{c}") for c in changes.columns if c != key])
-    merged = current.join(new, key, "full_outer")
+    merged = current.join(new, key, "full_outer" if insert else "left")
     return merged.select(
         *[
             F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c)
@@ -55,4 +84,6 @@ def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The rows appended to a table, or the current version of a replaced one."""
+    current = _versions(spark, path)
+    return spark.read.parquet(current[1] if current else path)
