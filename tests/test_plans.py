@@ -2,7 +2,10 @@
 
 import pytest
 
+from waymark.operators import conversation
+from waymark.plans import curation, recommend
 from waymark.plans.registry import queries
+from waymark.sources.sample_views import SampleViews
 
 # Joins without an equi key. The sample views divide ids by a table's row
 # count through scalar subqueries, so no query needs one.
@@ -25,7 +28,7 @@ def test_cohorts_are_semi_joins(spark, small, name):
     assert "LeftSemi" in plan(spark, small, name)
 
 
-@pytest.mark.parametrize("name", ["kb_dedupe", "search_cli", "search_near", "prefs_recommend", "geo_nearest", "place_mentions"])
+@pytest.mark.parametrize("name", ["kb_dedupe", "search_cli", "search_near", "prefs_recommend", "geo_nearest"])
 def test_top_rows_are_cut_before_the_shuffle(spark, small, name):
     assert "WindowGroupLimit" in plan(spark, small, name)
 
@@ -47,13 +50,39 @@ def test_text_operators_do_not_shuffle(spark, small):
     assert "Exchange" not in plan(spark, small, "attribute_final")
 
 
-@pytest.mark.parametrize("name", ["chat_history", "feedback_status", "place_mentions"])
+@pytest.mark.parametrize("name", ["chat_history", "feedback_status"])
 def test_conversations_are_spread_over_stretches(spark, small, name):
     text = plan(spark, small, name)
     windows = [x for x in text.splitlines() if "Window [" in x and "specifiedwindowframe" in x]
     assert "hashpartitioning(__key" in text and windows
 
 
+def test_choices_are_worked_out_in_stretches(spark, small):
+    v = SampleViews(spark, small)
+    results = v.results()
+    named = conversation._named(
+        v.place_messages(),
+        results.select("conv_id", "turn").distinct(),
+        results,
+        v.business().select("business_id", "name", "latitude", "longitude"),
+    )
+    text = named._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__key" in text and "WindowGroupLimit" in text
+
+
+@pytest.mark.parametrize("build", [curation.attribute_wide, recommend.knn_l2, recommend.knn_lsh, recommend.search_global])
+def test_planning_runs_no_job(spark, small, build):
+    v = SampleViews(spark, small)
+    for name in ("part", "embeddings", "conversations"):
+        v.table(name)  # finding a table's schema is a job of its own
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", build.__name__)
+    before = len(tracker.getJobIdsForGroup("planning"))
+    build(v)
+    assert len(tracker.getJobIdsForGroup("planning")) == before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 @pytest.mark.parametrize("name", ["search_cli", "prefs_recommend", "geo_nearest", "knn_lsh"])
 def test_searches_meet_in_blocks(spark, small, name):
     text = plan(spark, small, name)
