@@ -143,7 +143,7 @@ TWICE = (
 CLEAN = "regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g')"
 
 
-def _intent() -> str:
+def _intent_rows() -> str:
     vocabulary = (
         f"SELECT DISTINCT kind, trim(regexp_replace({CLEAN.format(c='term')}, '\\s+', ' ', 'g')) AS phrase FROM ("
         "SELECT 'city' AS kind, lower(city) AS term FROM business UNION SELECT 'category', "
@@ -156,9 +156,11 @@ def _intent() -> str:
         f"{CLEAN.format(c='wish')}, '\\s+', ' ', 'g') || ' ' AS body FROM asked) m LEFT JOIN ({vocabulary}) v "
         "ON v.phrase <> '' AND contains(m.body, ' ' || v.phrase || ' ') GROUP BY 1, 2"
     )
-    return with_ctes(
-        f"SELECT *, location IS NOT NULL AND category IS NOT NULL AS is_complete FROM ({best})"
-    )
+    return best
+
+
+def _intent() -> str:
+    return with_ctes(f"SELECT *, location IS NOT NULL AND category IS NOT NULL AS is_complete FROM ({_intent_rows()})")
 
 
 def _search_text() -> str:
@@ -200,6 +202,39 @@ def _follow_up(results: int) -> str:
     )
 
 
+def _text_near() -> tuple[str, tuple[tuple[str, str], ...]]:
+    """Place and vector from the message text; the tables it needs."""
+    spots = (
+        "SELECT a.query_id, a.conv_id, a.turn, p.latitude, p.longitude FROM asked a JOIN "
+        f"({_intent_rows()}) t USING (conv_id, turn) JOIN places p ON t.location IS NOT DISTINCT FROM p.city AND "
+        "nullif(regexp_extract(a.wish, '\\b(PA|FL|TN|IN|MO)\\b', 1), '') IS NOT DISTINCT FROM p.state"
+    )
+    mean = "round(sum({c} * n_business) / sum(n_business), 6) AS {c}"
+    both = f"{mean.format(c='latitude')}, {mean.format(c='longitude')}"
+    return (
+        "SELECT conv_id, turn, CAST(rank AS INT) AS rank, business_id, round(similarity, 6) AS similarity, "
+        "round(distance_km, 6) AS distance_km FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY "
+        "similarity DESC, distance_km, business_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id "
+        f"ORDER BY {_digits('(2 - 2 * ip)')}, business_id) AS first_rank FROM (SELECT q.query_id, q.conv_id, q.turn, "
+        "i.business_id, coalesce(s.ip, 0) AS ip, round(coalesce(s.ip, 0), 12) AS similarity, "
+        f"round({KM}, 9) AS distance_km FROM spots q JOIN prose i ON {BOX} AND {KM} <= 5 LEFT JOIN (SELECT a.key AS "
+        "query_id, d.key AS business_id, sum(a.weight * d.weight) AS ip FROM asked_weights a JOIN doc_weights d "
+        "USING (bucket) GROUP BY 1, 2) s ON s.query_id = q.query_id AND s.business_id = i.business_id)) "
+        "WHERE first_rank <= 5) WHERE rank <= 2",
+        (
+            (
+                "places",
+                "SELECT city, state, latitude, longitude FROM gazetteer UNION ALL "
+                f"SELECT city, NULL, {both} FROM gazetteer GROUP BY city UNION ALL "
+                f"SELECT NULL, state, {both} FROM gazetteer GROUP BY state",
+            ),
+            ("spots", spots),
+            ("asked_weights", _weights("asked", "query_id", "wish")),
+            ("doc_weights", _weights("prose", "business_id", "combined_text")),
+        ),
+    )
+
+
 def _prefs_text() -> str:
     docs = _weights("prose", "business_id", "combined_text")
     asked = _weights("usr", "user_id", "categories")
@@ -361,6 +396,12 @@ def oracle_sql() -> dict[str, str]:
         ),
         "followup_best": w(_follow_up(1)),
         "search_text": _search_text(),
+        "search_text_near": with_ctes(_text_near()[0], *_text_near()[1]),
+        "liked_from_search": with_ctes(
+            "SELECT * FROM liked",
+            ("results", f"SELECT conv_id, turn, rank, business_id FROM ({_text_near()[0]})"),
+            *_text_near()[1],
+        ),
         "search_kb_text": _search_kb_text(),
         "search_presented": w(PRESENTED),
         "prompt_table": w(

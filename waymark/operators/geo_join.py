@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.operators import nearest as N
+from waymark.operators.scope import STATES
 
 RADIUS_KM = 5.0
 
@@ -39,6 +40,34 @@ def locate(queries: DataFrame, places: DataFrame) -> DataFrame:
     return queries.join(spots, known).drop("__city", "__state")
 
 
+def locate_text(queries: DataFrame, named: DataFrame, places: DataFrame) -> DataFrame:
+    """Adds the position of the place that a message itself names.
+
+    ``queries``: conv_id, turn, text; ``named``: conv_id, turn, location, the
+    city found in it (:func:`waymark.operators.intent.intent`). A state counts
+    where its code stands in capitals ("Tampa, FL"). City and state mean that
+    place, a city alone or a state alone the middle of all businesses there. A
+    message that names no known place drops out.
+    """
+    n = F.col("n_business")
+
+    def middle(*keys: str) -> DataFrame:
+        spots = [F.round(F.sum(F.col(c) * n) / F.sum(n), 6).alias(c) for c in ("latitude", "longitude")]
+        return places.groupBy(*keys).agg(*spots)
+
+    none = F.lit(None).cast("string")
+    known = (
+        places.select("city", "state", "latitude", "longitude")
+        .unionByName(middle("city").withColumn("state", none))
+        .unionByName(middle("state").withColumn("city", none))
+        .select(F.col("city").alias("__city"), F.col("state").alias("__state"), "latitude", "longitude")
+    )
+    said = F.nullif(F.regexp_extract("text", rf"\b({'|'.join(STATES)})\b", 1), F.lit(""))
+    told = queries.join(named.select("conv_id", "turn", "location"), ["conv_id", "turn"]).withColumn("__said", said)
+    same = F.col("location").eqNullSafe(F.col("__city")) & F.col("__said").eqNullSafe(F.col("__state"))
+    return told.join(known, same).drop("location", "__said", "__city", "__state")
+
+
 def within_radius(points: DataFrame, items: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
     """All (query_id, item_id, distance_km) with distance at most the radius.
 

@@ -9,6 +9,7 @@ from waymark.operators import cohort, preferences, search
 from waymark.operators import conversation as C
 from waymark.operators import intent as I
 from waymark.session import work_dir
+from waymark.plans import recommend
 from waymark.sources import writers
 from waymark.sources.sample_views import SampleViews
 
@@ -50,6 +51,15 @@ def liked_categories(v: SampleViews) -> DataFrame:
     return _liked(v)
 
 
+def liked_from_search(v: SampleViews) -> DataFrame:
+    """From message to preference: each message is searched for by its own
+    text and place, and the reactions are to what that search showed."""
+    results = recommend.text_search(v).select("conv_id", "turn", "rank", "business_id")
+    messages = v.chat().select("conv_id", "turn", "role", "user_id", "text")
+    reacted = C.last_item(C.cursor(messages, results), results)
+    return C.category_sets(C.category_feedback(reacted, v.business()))
+
+
 def prefs_upsert(v: SampleViews) -> DataFrame:
     """The stored preference table, laid over with what was liked, read back."""
     path = work_dir(v.spark, "preferences")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.operators import embed, geo_join, nearest, preferences, prompts, search
+from waymark.operators import cohort, embed, geo_join, intent, nearest, preferences, prompts, search
 from waymark.plans.knowledge import _prose, combined_text, knowledge_base
 from waymark.sources.sample_views import SampleViews
 
@@ -159,6 +159,23 @@ def prefs_text_recommend(v: SampleViews) -> DataFrame:
     return found.withColumnRenamed("query_id", "user_id")
 
 
+def text_search(v: SampleViews) -> DataFrame:
+    """Businesses near the place that a message names, for what it says:
+    place, query vector and hits all come from the text."""
+    asked = v.chat().filter("role = 'user'").select(
+        F.expr("conv_id || '-' || turn").alias("query_id"), "conv_id", "turn", F.col("wish").alias("text")
+    )
+    named = intent.intent(asked.select("conv_id", "turn", "text"), cohort.vocabulary(v.business()))
+    placed = geo_join.locate_text(asked, named, geo_join.gazetteer(v.business()))
+    texts = embed.embed_words(_prose(v), "combined_text")
+    found = search.near_search(embed.embed_words(placed, "text"), search.as_items(texts))
+    return found.join(asked.select("query_id", "conv_id", "turn"), "query_id")
+
+
+def search_text_near(v: SampleViews) -> DataFrame:
+    return text_search(v).drop("query_id")
+
+
 def user_preferences(v: SampleViews) -> DataFrame:
     sets = preferences.preference_sets(v.user())
     return sets.withColumn("preferences", F.array_join("preferences", ", "))

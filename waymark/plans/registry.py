@@ -64,6 +64,7 @@ PLANS: tuple[Callable[[SampleViews], DataFrame], ...] = (
     recommend.search_followup,
     recommend.followup_best,
     recommend.search_text,
+    recommend.search_text_near,
     recommend.search_kb_text,
     recommend.search_presented,
     recommend.prompt_table,
@@ -76,6 +77,7 @@ PLANS: tuple[Callable[[SampleViews], DataFrame], ...] = (
     dialogue.last_item,
     dialogue.next_suggestion,
     dialogue.liked_categories,
+    dialogue.liked_from_search,
     dialogue.prefs_upsert,
     dialogue.intent,
     dialogue.place_mentions,
