@@ -10,10 +10,11 @@ from waymark.sources.sample_views import BUSINESS
 
 L2 = "pow(list_distance(q.vector, i.vector), 2)"
 IP = "list_inner_product(q.vector, i.vector)"
-COS = (
-    "round(list_inner_product(q.vector, i.vector) / (sqrt(list_inner_product(q.vector, q.vector)) * "
-    "sqrt(list_inner_product(i.vector, i.vector))), 12)"
+COS_FULL = (
+    "list_inner_product(q.vector, i.vector) / (sqrt(list_inner_product(q.vector, q.vector)) * "
+    "sqrt(list_inner_product(i.vector, i.vector)))"
 )
+COS = f"round({COS_FULL}, 12)"
 KM = short_km("q.latitude", "q.longitude", "i.latitude", "i.longitude")
 BOX = "abs(q.latitude - i.latitude) < 0.0453 AND abs(q.longitude - i.longitude) < 0.06"
 
@@ -354,13 +355,13 @@ def oracle_sql() -> dict[str, str]:
         ),
         "knn_l2": _knn(L2, "l2", "ASC"),
         "knn_ip": _knn(IP, "ip", "DESC"),
-        "knn_cosine": _knn(COS, "cosine", "DESC"),
+        "knn_cosine": _knn(COS_FULL, "cosine", "DESC"),
         "knn_lsh": w(
             "SELECT query_id, CAST(rank AS INT) AS rank, business_id, round(cosine, 6) AS cosine FROM (SELECT *, "
             "row_number() OVER (PARTITION BY query_id ORDER BY "
             + _digits("cosine")
             + " DESC, business_id) AS rank FROM (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, i.business_id, "
-            f"{COS.removeprefix('round(').removesuffix(', 12)')} AS cosine FROM (SELECT DISTINCT a.id, b.id AS business_id "
+            f"{COS_FULL} AS cosine FROM (SELECT DISTINCT a.id, b.id AS business_id "
             "FROM query_buckets a JOIN item_buckets b USING (t, bucket)) c JOIN vectors q ON q.vec_id = c.id "
             "JOIN items i ON i.business_id = c.business_id)) WHERE rank <= 10",
             (

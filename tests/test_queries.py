@@ -25,11 +25,6 @@ def test_equal_to_sql(spark, con, small, name):
     assert compare(spark, con, small, name) is None
 
 
-@pytest.mark.parametrize("name", sorted(NO_TWIN))
-def test_runs(spark, small, name):
-    assert entry_points.queries()[name](spark, small).count() > 0
-
-
 def test_entry(spark):
     found = entry_points.entry(spark)
     assert found.columns[0] == "business_id" and found.count() > 0
