@@ -249,8 +249,9 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return int((both[1:] == both[:-1]).sum()) >= least
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a1, a2, b1, b2) that are similar."""
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a1, a2, b1, b2) that are similar. Only sets that stand in a
+    pair are shuffled."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,12 +262,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns[:4], names=["a1", "a2", "b1", "b2"])
 
+    first = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2"))
+    keys = materialize(first.union(pairs.select("b1", "b2")).distinct(), "ngram-keys")
+    sets = materialize(_sets(texts, size, keys), "ngram-sets")
     left = sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("grams").alias("grams_a"))
     right = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("grams").alias("grams_b"))
     joined = pairs.join(right, ["b1", "b2"]).join(left, ["a1", "a2"])
-    return joined.select("a1", "a2", "b1", "b2", "grams_a", "grams_b").mapInArrow(
+    found = joined.select("a1", "a2", "b1", "b2", "grams_a", "grams_b").mapInArrow(
         check, "a1 long, a2 long, b1 long, b2 long"
     )
+    return materialize(found, "ngram-edges")
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -334,9 +339,7 @@ def similar_documents(
     members = shared.alias("m").where(other & _possible("m", "m.hub", num, den))
     stars = materialize(members.select(*_pair("m", "m.hub")).distinct(), "ngram-stars")
 
-    keys = shared.select("k1", "k2").distinct()
-    sets = materialize(_sets(texts, size, keys), "ngram-sets")
-    edges = materialize(_verified(stars, sets, num, den), "ngram-edges")
+    edges = _verified(stars, texts, size, num, den)
     labels = _labelled(edges, classes)
 
     # What still lies in different components and shares a prefix n-gram.
@@ -377,7 +380,7 @@ def similar_documents(
     )
     pairs = x.join(y, meets).select(*_pair("x", "y")).distinct()
     pairs = materialize(pairs.join(stars, ["a1", "a2", "b1", "b2"], "left_anti"), "ngram-pairs")
-    more = materialize(_verified(pairs, sets, num, den), "ngram-more")
+    more = _verified(pairs, texts, size, num, den)
     if not more.isEmpty():
         labels = _labelled(edges.union(more), classes)
     by_class = classes.join(labels, ["k1", "k2"], "left").select("k1", "k2", label.alias("component_id"))
