@@ -323,9 +323,11 @@ def similar_documents(
         F.min("doc_id").alias("rep")
     )
 
-    # Prefix n-grams that two classes or more share, with the hub of each: its smallest set.
+    # Prefix n-grams that two classes or more share, with the hub of each: the
+    # set that has the n-gram earliest, so the fewest rarer ones. In a group of
+    # near copies it is the text they were made from, or next to it.
     same = Window.partitionBy("gram")
-    hub = F.min(F.struct("n", "pos", "k1", "k2")).over(same)
+    hub = F.min(F.struct("pos", "n", "k1", "k2")).over(same)
     shared = (
         _prefixes(texts, size, num, den, counts)
         .withColumn("several", (F.min("k1").over(same) != F.max("k1").over(same)) | (F.min("k2").over(same) != F.max("k2").over(same)))
