@@ -187,6 +187,12 @@ def _possible(x: str, y: str, num: int, den: int) -> Column:
     )
 
 
+def _indexed(n: Column, pos: Column, num: int, den: int) -> Column:
+    """Whether a gram lies in the indexing prefix of a set: the first n-gram a
+    set shares with a similar one of its size or larger always does."""
+    return pos <= n - F.ceil(2 * num * n / F.lit(num + den))
+
+
 def _member_bits(keys: DataFrame) -> np.ndarray:
     """A table of MEMBER_BITS bits with those of the given keys set."""
 
@@ -332,8 +338,11 @@ def similar_documents(
         _prefixes(texts, size, num, den, counts)
         .withColumn("several", (F.min("k1").over(same) != F.max("k1").over(same)) | (F.min("k2").over(same) != F.max("k2").over(same)))
         .withColumn("hub", hub)
-        .where("several")
-        .drop("several")
+        # A set whose indexing prefix ends before can only meet a smaller one that has the n-gram in its own.
+        .withColumn("indexed", _indexed(F.col("n"), F.col("pos"), num, den))
+        .withColumn("least", F.min(F.when(F.col("indexed"), F.col("n"))).over(same))
+        .where(F.col("several") & (F.col("indexed") | (F.col("n") > F.col("least"))))
+        .drop("several", "indexed", "least")
         .distinct()
     )
     shared = materialize(shared, "ngram-shared")
@@ -368,8 +377,7 @@ def similar_documents(
     x, y = rows.where("not is_main").alias("x"), rows.alias("y")
 
     def indexed(row: str) -> Column:
-        n = F.col(f"{row}.n")
-        return F.col(f"{row}.pos") <= n - F.ceil(2 * num * n / F.lit(num + den))
+        return _indexed(F.col(f"{row}.n"), F.col(f"{row}.pos"), num, den)
 
     once = F.col("y.is_main") | (F.struct("x.k1", "x.k2") < F.struct("y.k1", "y.k2"))
     smaller = F.when(F.col("x.n") < F.col("y.n"), indexed("x")).when(F.col("x.n") > F.col("y.n"), indexed("y"))
@@ -378,7 +386,7 @@ def similar_documents(
         & (F.col("x.label") != F.col("y.label"))
         & once
         & _possible("x", "y", num, den)
-        & smaller.otherwise(indexed("x") | indexed("y"))
+        & smaller.otherwise(indexed("x") & indexed("y"))
     )
     pairs = x.join(y, meets).select(*_pair("x", "y")).distinct()
     pairs = materialize(pairs.join(stars, ["a1", "a2", "b1", "b2"], "left_anti"), "ngram-pairs")
