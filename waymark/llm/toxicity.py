@@ -236,8 +236,9 @@ def training_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_DOCS,
     An id labelled more than once is toxic if any label says so."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    chosen = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
+    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    first, second = (known.where(F.col("toxic") == flag).orderBy(order, "doc_id").limit(most) for flag in (0, 1))
+    chosen = first.union(second)
     rows = only(docs, doc_id=id, text=text)
     # At most 2 * `most` ids.
     return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
