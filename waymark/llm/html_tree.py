@@ -29,6 +29,7 @@ from waymark.llm.shared import materialize, only
 
 THRESHOLD = 0.25
 CONTENT_SHARE = 0.9
+BROADCAST_CHARS = 16_000_000  # cut paths sent to all tasks at most; more are joined by host
 MIN_PAGES = 3  # on fewer pages of a host, repetition says nothing
 
 # Elements that start a new block, never hold text of their own, or have no end tag.
@@ -265,6 +266,12 @@ def extract(
         # As many paths as the site has different layouts.
         .agg(F.collect_set("path").alias("cut"))
     )
+    # The pages need not move if the list of all cut paths is small, which is checked.
+    cut = materialize(cut, "pages-cut")
+    chars = F.length("host") + F.aggregate("cut", F.lit(0), lambda total, path: total + F.length(path) + 16)
+    size = cut.agg(F.coalesce(F.sum(chars), F.lit(0))).first()[0]
+    if size <= BROADCAST_CHARS:
+        cut = F.broadcast(cut)
 
     def kept(block):
         return ~F.exists(F.col("cut"), lambda path: (block["path"] == path) | block["path"].startswith(F.concat(path, F.lit("/"))))
