@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 
 from tests.llm.conftest import documents
 from waymark.llm import pii
+from waymark.llm.shared import table
 
 FEISTEL = pii.Feistel(b"test key")
 VALUES = {
@@ -67,6 +68,41 @@ def test_dates_round_trip(day):
         assert kinds == ["date"] and pii.pseudonymise_text(new, FEISTEL, back=True)[0] == text
 
 
+def test_any_digits_are_a_phone_number_and_any_octets_an_address():
+    for kind, value in (
+        ("phone", "+1 (017) 555-7713"),
+        ("phone", "+1 (736) 155-2678"),
+        ("phone", "000-000-0000"),
+        ("ip", "240.56.125.154"),
+        ("ip", "0.0.0.0"),
+        ("ip", "255.255.255.255"),
+        ("date", "25/12/2020"),
+        ("date", "31/01/1999"),
+    ):
+        new, kinds = pii.pseudonymise_text(f"x {value}, y", FEISTEL)
+        assert kinds == [kind] and value not in new
+        assert pii.pseudonymise_text(new, FEISTEL, back=True) == (f"x {value}, y", [kind])
+
+
+@given(st.dates(date(1900, 1, 1), date(2099, 12, 31)).filter(lambda day: day.day > 12))
+@settings(max_examples=100, deadline=None)
+def test_dates_with_the_day_first_stay_so(day):
+    text = f"{day.day:02d}/{day.month:02d}/{day.year}"
+    new, _ = pii.pseudonymise_text(text, FEISTEL)
+    assert int(new[:2]) > 12 and 1 <= int(new[3:5]) <= 12
+    assert pii.pseudonymise_text(new, FEISTEL, back=True)[0] == text
+
+
+def test_no_planted_value_of_the_documents_survives(spark, small):
+    forms = (r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w.])", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
+    docs = [r.text for r in table(spark, small, "documents").select("text").collect() if r.text]
+    for form in forms:
+        values = [(text, value) for text in docs for value in re.findall(form, text)]
+        assert values
+        for text, value in values:
+            assert value not in re.findall(form, pii.pseudonymise_text(text, FEISTEL)[0])
+
+
 def test_rows_keep_all_columns(spark, odd, none):
     done = pii.pseudonymise(odd, b"k")
     assert done.columns == odd.columns

@@ -179,8 +179,7 @@ def _card(feistel: Feistel, match: re.Match, back: bool) -> str:
 def _phone(feistel: Feistel, match: re.Match, back: bool) -> str:
     digits = _ints(match[0])
     code, body = digits[:-10], digits[-10:]
-    new = _walk(lambda d: feistel.permute(d, [10] * 10, b"phone", back), body, lambda d: d[0] > 1 and d[3] > 1)
-    return _refill(match[0], [*code, *new])
+    return _refill(match[0], [*code, *feistel.permute(body, [10] * 10, b"phone", back)])
 
 
 def _ssn(feistel: Feistel, match: re.Match, back: bool) -> str:
@@ -195,14 +194,21 @@ def _ssn_digits(d: list[int]) -> bool:
 
 def _ip(feistel: Feistel, match: re.Match, back: bool) -> str:
     octets = [int(part) for part in match[0].split(".")]
-    new = _walk(lambda d: feistel.permute(d, [256] * 4, b"ip", back), octets, lambda d: 0 < d[0] < 224)
-    return ".".join(map(str, new))
+    return ".".join(map(str, feistel.permute(octets, [256] * 4, b"ip", back)))
+
+
+def _day_first(match: re.Match) -> bool:
+    """Whether a date with slashes can only be read day first; others are read month first."""
+    return match["m3"] is not None and int(match["m3"]) > 12
 
 
 def _day(match: re.Match) -> int | None:
     parts = match.groupdict()
+    year, month, day = (int(parts[part] or parts[f"{part}2"] or parts[f"{part}3"]) for part in "ymd")
+    if _day_first(match):
+        month, day = day, month
     try:
-        day = date(int(parts["y"] or parts["y2"] or parts["y3"]), int(parts["m"] or parts["m2"] or parts["m3"]), int(parts["d"] or parts["d2"] or parts["d3"])).toordinal()
+        day = date(year, month, day).toordinal()
     except ValueError:
         return None
     return day if _FIRST_DAY <= day <= _LAST_DAY else None
@@ -212,14 +218,21 @@ def _date(feistel: Feistel, match: re.Match, back: bool) -> str:
     span = _LAST_DAY - _FIRST_DAY + 1
     radices = [-(-span // 256), 256]
     start = _digits(_day(match) - _FIRST_DAY, radices)
-    new = _walk(
-        lambda d: feistel.permute(d, radices, b"date", back), start, lambda d: _number(d, radices)[0] < span
-    )
+    day_first = _day_first(match)
+
+    def valid(digits: list[int]) -> bool:
+        at, _ = _number(digits, radices)
+        # Day first stays day first, or the way back would read it the other way round.
+        return at < span and (not day_first or date.fromordinal(_FIRST_DAY + at).day > 12)
+
+    new = _walk(lambda d: feistel.permute(d, radices, b"date", back), start, valid)
     day = date.fromordinal(_FIRST_DAY + _number(new, radices)[0])
     if match["y"]:
         return f"{day.year:04d}{match['s']}{day.month:02d}{match['s']}{day.day:02d}"
     if match["y2"]:
         return f"{day.day:02d}.{day.month:02d}.{day.year:04d}"
+    if day_first:
+        return f"{day.day:02d}/{day.month:02d}/{day.year:04d}"
     return f"{day.month:02d}/{day.day:02d}/{day.year:04d}"
 
 
@@ -255,7 +268,7 @@ KINDS = (
     ),
     Kind(
         "phone",
-        re.compile(r"(?<![\w+.-])(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![\w-])"),
+        re.compile(r"(?<![\w+.-])(?:\+[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"),
         lambda match: True,
         _phone,
     ),
@@ -263,7 +276,7 @@ KINDS = (
     Kind(
         "ip",
         re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])"),
-        lambda match: all(int(p) < 256 and str(int(p)) == p for p in match[0].split(".")) and 0 < int(match[0].split(".")[0]) < 224,
+        lambda match: all(int(p) < 256 and str(int(p)) == p for p in match[0].split(".")),
         _ip,
     ),
     Kind(
