@@ -70,3 +70,23 @@ def test_odd_pages(spark):
     assert by_id[1] == by_id[2] == by_id[5] == by_id[6] == "" and by_id[None] == "no tags at all x"
     assert by_id[4].endswith("x" * 100_000)
     assert html_tree.extract(pages.limit(0)).count() == 0
+
+
+def test_a_head_left_open_ends_where_the_body_starts():
+    head = "<html><head><title>x</title><meta charset=utf-8><style>p{}</style>"
+    for page in (
+        f"{head}<body><p>Text",
+        f"{head}<p>Text",
+        f"{head}<b>Text</b>",
+        f"{head}\n Text",
+        f"{head}<noscript><link><body><p>Text",
+        f"{head}</head><body><p>Text",
+        f"{head}<script>var p = '<p>no'</script><noscript><p>no</noscript><body><p>Text",
+        "<body><head><title>x</title><p>Text",
+    ):
+        assert [text for _, text in html_tree.parse(page)[0]] == ["Text"], page
+
+
+def test_a_page_without_head_end_keeps_its_text(spark):
+    got = extracted(spark, [(1, "http://d.example/1", "<html><head><title>x</title><body><p>Text")])
+    assert got[1].text == "Text"

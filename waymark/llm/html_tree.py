@@ -42,6 +42,9 @@ SKIP = frozenset(
     "script style noscript template title head select option textarea button iframe object svg math canvas audio video"
     " map datalist".split()
 )
+# What can stand in a head; anything else ends one that was left open.
+HEAD = frozenset("html head title style script noscript noframes template base basefont bgsound link meta".split())
+HEAD_HIDDEN = frozenset("title style script noscript noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 LIST_BOUNDS = frozenset("ul ol dl table article section div nav menu".split())
@@ -92,18 +95,17 @@ class _Page(HTMLParser):
             self._open.pop()
 
     def handle_starttag(self, tag, attrs):
+        if self._skip[:1] == ["head"] and (tag == "body" or len(self._skip) == 1 and tag not in HEAD):
+            self._skip.clear()
         if self._skip:
-            if tag == self._skip[-1] and tag not in VOID:
+            if tag == self._skip[-1] and tag not in VOID or self._skip == ["head"] and tag in HEAD_HIDDEN:
                 self._skip.append(tag)
             return
         if tag in SKIP:
             if tag != "head":
                 self._note(tag)
-            if tag not in ("head", "title") or not any(name == "body" for name, _ in self._open):
-                self._skip.append(tag)
+            self._skip.append(tag)
             return
-        if tag == "body":
-            self._skip.clear()
         self._note(tag)
         role = " ".join(value or "" for name, value in attrs if name in ("class", "id", "role")).lower()
         away = bool(_AWAY_CLASS.search(role))
@@ -147,6 +149,8 @@ class _Page(HTMLParser):
             self._flush()
 
     def handle_data(self, data):
+        if self._skip == ["head"] and data.strip():
+            self._skip.clear()
         if not self._skip:
             self._text.append(data)
 
