@@ -90,3 +90,33 @@ def test_a_head_left_open_ends_where_the_body_starts():
 def test_a_page_without_head_end_keeps_its_text(spark):
     got = extracted(spark, [(1, "http://d.example/1", "<html><head><title>x</title><body><p>Text")])
     assert got[1].text == "Text"
+
+
+def test_a_word_in_the_class_of_a_wrapper_cuts_nothing(spark):
+    aside = "<div class='left-sidebar'><p>side</p></div><div id=site-footer>foot</div><div class='cookie-notice'>We use</div>"
+    wraps = [
+        "<div class='layout has-sidebar'>{}</div>",
+        "<div class='content no-sidebar'><div>{}</div></div>",
+        "<article id='post-search-engines'>{}</article>",
+        "<article class='search'>{}</article>",
+        "<div class='sidebar'><article>{}</article></div>",
+        "<div id=search><div class=banner>{}</div></div>",
+        "<form id=aspnetForm><main>{}</main></form>",
+        "<form>{}</form>",
+        "<div id=part-side-by-side>{}</div>",
+    ]
+    body = "<p>The words of page {} are not those of any other page</p>"
+    rows, wanted = [], {}
+    for n, wrap in enumerate(wraps):
+        for page in range(5):  # on hosts of one page and of five
+            for host in ("one", "five") if page == 0 else ("five",):
+                at = len(rows)
+                rows.append((at, f"http://{host}{n}.example/{page}", f"<body>{wrap.format(body.format(at))}{aside}"))
+                wanted[at] = f"The words of page {at} are not those of any other page"
+    got = extracted(spark, rows)
+    assert {at: got[at].text for at in wanted} == wanted
+
+
+def test_comments_longer_than_the_article_are_cut(spark):
+    page = "<article><p>short</p></article><ol class='comment-list'>" + "<li><article class='comment'>a long reply</article>" * 9
+    assert extracted(spark, [(1, "http://e.example/1", page)])[1].text == "short"

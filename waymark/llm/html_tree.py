@@ -8,7 +8,9 @@ judged by what its pages put there:
 * content: how little its texts repeat from page to page (one minus the
   entropy of each text over the pages, averaged);
 * role: what the element says it is. Menus, footers, adverts and the like
-  weigh a tenth, an article counts twice.
+  weigh a tenth, an article counts twice. A class or id counts only as a whole,
+  and not if the element holds most of what the page is about: most text of its
+  articles, or of the page if it has none.
 
 Branches of low importance are cut from every page of the host, the texts of
 what is left are the page's text. The tree is a table of counts, added up per
@@ -49,41 +51,62 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 LIST_BOUNDS = frozenset("ul ol dl table article section div nav menu".split())
 
-# Roles of elements by tag, and by a word of their class or id.
-AWAY_TAGS = "nav|footer|aside|form|dialog|menu|fieldset"
-AWAY_WORDS = (
+# Roles of elements by tag, and by their class or id. Forms and dialogs may wrap a whole page.
+AWAY_TAGS = "nav|footer|aside|menu"
+AWAY_WRAPS = frozenset("form dialog fieldset".split())
+AWAY_WORDS = frozenset((
     "ad|ads|advert|advertisement|adsense|banner|sponsor|sponsored|promo|promotion|menu|nav|navbar|navigation|breadcrumb|"
     "breadcrumbs|sidebar|side|footer|header|masthead|topbar|cookie|cookies|consent|gdpr|notice|notices|notification|popup|"
     "modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommended|"
     "recommendations|widget|toolbar|pagination|pager|comment|comments|reply|replies|respond|disqus|feedback|copyright|"
     "legal|disclaimer|skip|rating|tags|toc"
+).split("|"))
+# What may stand beside such a word in a class: left-sidebar, social-links; not has-sidebar.
+BESIDE = frozenset(
+    "site main page global primary secondary top bottom left right container wrapper wrap box bar list links link item items"
+    " inner outer area block section button buttons icon icons".split()
 )
 MAIN = "article|main"
-_AWAY_CLASS = re.compile(rf"(?:^|[\s_-])(?:{AWAY_WORDS})(?=$|[\s_-])")
 _NAME = re.compile(r"[^a-z_-]+")
 
 
+def _says_away(role: str) -> bool:
+    """Whether a class, id or role as a whole is that of a menu, an advert or the like."""
+    for name in role.split():
+        parts = [part for part in re.split("[_-]+", name) if part and not part.isdigit()]
+        if any(part in AWAY_WORDS for part in parts) and all(part in AWAY_WORDS or part in BESIDE for part in parts):
+            return True
+    return False
+
+
+class _Element:
+    __slots__ = ("away", "name", "tag")
+
+    def __init__(self, tag: str, words: str, away: bool):
+        self.tag, self.name, self.away = tag, f"{tag}.{words}", away
+
+
+def _path(elements: tuple[_Element, ...]) -> str:
+    return "/".join(element.name + ("!" if element.away else "") for element in elements)
+
+
 class _Page(HTMLParser):
     """The blocks of text of a page with their element paths, and the child
     tags of every element."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, str]] = []
-        self.children: dict[int, list[str]] = {}
-        self.shapes: list[tuple[str, str]] = []
-        self._open: list[tuple[str, str]] = []
+        self.blocks: list[tuple[tuple[_Element, ...], str]] = []
+        self.shapes: list[tuple[tuple[_Element, ...], str]] = []
+        self._open: list[_Element] = []
         self._tags: list[list[str]] = [[]]
         self._skip: list[str] = []
         self._text: list[str] = []
 
-    def _path(self) -> str:
-        return "/".join(name for _, name in self._open)
-
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
-            self.blocks.append((self._path(), text))
+            self.blocks.append((tuple(self._open), text))
         self._text = []
 
     def _close(self, keep: int) -> None:
@@ -91,7 +114,7 @@ class _Page(HTMLParser):
         if len(self._open) > keep:
             self._flush()
         while len(self._open) > keep:
-            self.shapes.append((self._path(), " ".join(self._tags.pop())))
+            self.shapes.append((tuple(self._open), " ".join(self._tags.pop())))
             self._open.pop()
 
     def handle_starttag(self, tag, attrs):
@@ -108,7 +131,7 @@ class _Page(HTMLParser):
             return
         self._note(tag)
         role = " ".join(value or "" for name, value in attrs if name in ("class", "id", "role")).lower()
-        away = bool(_AWAY_CLASS.search(role))
+        away = tag in AWAY_WRAPS or _says_away(role)
         if tag in VOID:
             self._text.append(" ")
             if tag == "hr":
@@ -121,14 +144,14 @@ class _Page(HTMLParser):
             return
         if tag in ENDS:
             for at in reversed(range(len(self._open))):
-                if self._open[at][0] in ENDS[tag]:
+                if self._open[at].tag in ENDS[tag]:
                     self._close(at)
-                elif self._open[at][0] in LIST_BOUNDS:
+                elif self._open[at].tag in LIST_BOUNDS:
                     break
-        elif tag in BLOCK and self._open and self._open[-1][0] == "p":
+        elif tag in BLOCK and self._open and self._open[-1].tag == "p":
             self._close(len(self._open) - 1)
         words = ".".join(sorted(set(_NAME.sub(" ", role).split())))
-        self._open.append((tag, f"{tag}.{words}" + ("!" if away else "")))
+        self._open.append(_Element(tag, words, away))
         self._tags.append([])
 
     def handle_startendtag(self, tag, attrs):
@@ -142,7 +165,7 @@ class _Page(HTMLParser):
                 self._skip.clear()
             return
         for at in reversed(range(len(self._open))):
-            if self._open[at][0] == tag:
+            if self._open[at].tag == tag:
                 self._close(at)
                 return
         if tag in BLOCK:
@@ -162,6 +185,31 @@ class _Page(HTMLParser):
         self.close()
         self._close(0)
         self._flush()
+        self._keep_main()
+
+    def _keep_main(self) -> None:
+        """Elements that hold most of what the page is about are not away,
+        whatever they say: most text of its articles, of those that say they
+        are something else if there are no others, or of the whole page."""
+        if not any(element.away for elements, _ in self.blocks for element in elements):
+            return
+        tags, main = AWAY_TAGS.split("|"), MAIN.split("|")
+
+        def article(elements: tuple[_Element, ...], away: bool) -> bool:
+            return any(e.tag in main and (away or not e.away) for e in elements) and not any(e.tag in tags for e in elements)
+
+        for counts in (lambda e: article(e, False), lambda e: article(e, True), lambda e: True):
+            about = [(elements, len(text)) for elements, text in self.blocks if counts(elements)]
+            if about:
+                break
+        held: dict[_Element, int] = {}
+        for elements, chars in about:
+            for element in elements:
+                held[element] = held.get(element, 0) + chars
+        total = sum(chars for _, chars in about)
+        for element, chars in held.items():
+            if 2 * chars > total:
+                element.away = False
 
 
 def parse(html: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
@@ -170,7 +218,7 @@ def parse(html: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     page = _Page()
     page.feed(html)
     page.finish()
-    return page.blocks, page.shapes
+    return [(_path(elements), text) for elements, text in page.blocks], [(_path(elements), tags) for elements, tags in page.shapes]
 
 
 def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
