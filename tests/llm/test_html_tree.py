@@ -120,3 +120,16 @@ def test_a_word_in_the_class_of_a_wrapper_cuts_nothing(spark):
 def test_comments_longer_than_the_article_are_cut(spark):
     page = "<article><p>short</p></article><ol class='comment-list'>" + "<li><article class='comment'>a long reply</article>" * 9
     assert extracted(spark, [(1, "http://e.example/1", page)])[1].text == "short"
+
+
+def test_copies_of_a_page_keep_their_article(spark):
+    def page(n, advert):
+        return f"<div class=ad>advert {advert}</div><div class=box>Always the same</div><article><h1>T{n}</h1><p>Body {n}</article>"
+
+    rows = [(n, "http://copies.example/x", page(0, 0)) for n in range(5)]
+    rows += [(10 + n, "http://crawled.example/x", page(0, n)) for n in range(5)]
+    rows += [(100 + n, f"http://mirror.example/{n}", page(max(0, n - 56), 0)) for n in range(60)]
+    got = extracted(spark, rows)
+    assert {got[n].text for n in (*range(5), *range(10, 15))} == {"Always the same\nT0\nBody 0"}  # one page says nothing
+    for n in range(60):
+        assert got[100 + n].text == f"T{max(0, n - 56)}\nBody {max(0, n - 56)}"

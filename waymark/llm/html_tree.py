@@ -12,6 +12,9 @@ judged by what its pages put there:
   and not if the element holds most of what the page is about: most text of its
   articles, or of the page if it has none.
 
+Pages of a host with the same blocks, but for menus, adverts and the like,
+are copies and count as one page.
+
 Branches of low importance are cut from every page of the host, the texts of
 what is left are the page's text. The tree is a table of counts, added up per
 task before the shuffle, so a host with a third of all pages is no problem.
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -67,6 +71,8 @@ BESIDE = frozenset(
     " inner outer area block section button buttons icon icons".split()
 )
 MAIN = "article|main"
+_AWAY_PATH = rf"!(/|$)|(^|/)({AWAY_TAGS})\."
+_AWAY = re.compile(_AWAY_PATH)
 _NAME = re.compile(r"[^a-z_-]+")
 
 
@@ -221,11 +227,20 @@ def parse(html: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     return [(_path(elements), text) for elements, text in page.blocks], [(_path(elements), tags) for elements, tags in page.shapes]
 
 
+def _digest(blocks: list[tuple[str, str]]) -> int:
+    digest = blake2b(digest_size=8)
+    for path, text in blocks:
+        if not _AWAY.search(path):
+            digest.update(f"{path}\0{text}\0".encode("utf-8", "surrogatepass"))
+    return int.from_bytes(digest.digest(), "little", signed=True)
+
+
 def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, host, blocks, shapes of every row; a NULL page is empty."""
+    """page_id, url, host, blocks, shapes, copy of every row; a NULL page is
+    empty. Pages with the same blocks, away ones aside, have the same `copy`."""
     schema = (
         "page_id long, url string, blocks array<struct<path:string,text:string>>, "
-        "shapes array<struct<path:string,tags:string>>"
+        "shapes array<struct<path:string,tags:string>>, copy long"
     )
     blocks_type = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
     shapes_type = pa.list_(pa.struct([("path", pa.string()), ("tags", pa.string())]))
@@ -235,9 +250,16 @@ def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
             found = [parse(body.as_py() or "") for body in batch.column(2)]
             blocks = [[{"path": path, "text": text} for path, text in blocks] for blocks, _ in found]
             shapes = [[{"path": path, "tags": tags} for path, tags in dict.fromkeys(shapes)] for _, shapes in found]
+            copies = [_digest(blocks) for blocks, _ in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(blocks, blocks_type), pa.array(shapes, shapes_type)],
-                names=["page_id", "url", "blocks", "shapes"],
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(blocks, blocks_type),
+                    pa.array(shapes, shapes_type),
+                    pa.array(copies, pa.int64()),
+                ],
+                names=["page_id", "url", "blocks", "shapes", "copy"],
             )
 
     rows = only(pages, page_id=page_id, url=url, html=html).select(
@@ -250,26 +272,27 @@ def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
 def _role(path: Column) -> Column:
     """What the element's own words say: a tenth, twice, or nothing."""
     inside = path.rlike(rf"(^|/)({MAIN})[./!]") | path.rlike(rf"(^|/)({MAIN})\.[^/]*$")
-    away = path.rlike(r"!(/|$)") | path.rlike(rf"(^|/)({AWAY_TAGS})\.") | (path.rlike(r"(^|/)header\.") & ~inside)
+    away = path.rlike(_AWAY_PATH) | (path.rlike(r"(^|/)header\.") & ~inside)
     return F.when(away, 0.1).when(inside, 2.0).otherwise(1.0)
 
 
 def importance(read: DataFrame) -> DataFrame:
     """host, path, pages, presentation, content, importance of every node of
-    the style trees. One row per host and distinct element path."""
-    texts = read.select("host", F.explode("blocks").alias("b")).groupBy(
+    the style trees. One row per host and distinct element path. `pages` and
+    the entropies count each text and layout once per distinct page."""
+    texts = read.select("host", "copy", F.explode("blocks").alias("b")).groupBy(
         "host", F.col("b.path").alias("path"), F.xxhash64("b.text").alias("feature")
     )
     leaf = (
-        texts.agg(F.count("*").alias("n"))
+        texts.agg(F.count_distinct("copy").alias("n"))
         .groupBy("host", "path")
         .agg(F.sum("n").alias("texts"), F.sum(F.col("n") * F.log("n")).alias("spread"))
     )
-    shapes = read.select("host", F.explode("shapes").alias("s")).groupBy(
+    shapes = read.select("host", "copy", F.explode("shapes").alias("s")).groupBy(
         "host", F.col("s.path").alias("path"), F.xxhash64("s.tags").alias("shape")
     )
     node = (
-        shapes.agg(F.count("*").alias("n"))
+        shapes.agg(F.count_distinct("copy").alias("n"))
         .groupBy("host", "path")
         .agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("alike"))
     )
