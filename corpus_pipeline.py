@@ -26,7 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document, the one with the smallest id, of each group of documents
     linked by a Jaccard similarity of 0.8 of their five-word n-grams. Of rows
     that repeat an id one stays; rows without an id are kept."""
-    found = ngram_join.similar_documents(docs, size=5, num=4, den=5)
+    found = ngram_join.similar_documents(docs, size=5, num=4, den=5, links=False)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
     rest = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     # Rows without an id are told apart by their text, so that they do not gather in one place.

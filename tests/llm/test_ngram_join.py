@@ -58,6 +58,29 @@ def test_equal_to_all_pairs(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(rows, size, num, den)
 
 
+def test_links_are_those_of_all_pairs(spark, monkeypatch):
+    for seed, (size, num, den), block in ((0, (4, 85, 100), 512), (1, (5, 4, 5), 3), (2, (2, 1, 2), 2)):
+        monkeypatch.setattr(ngram_join, "LINK_CLASSES", block)
+        monkeypatch.setattr(ngram_join, "LINK_COLUMNS", 64)
+        rows = corpus(seed)
+        sets = {i: grams(text, size) for i, text in rows}
+        linked = {
+            i: sum(j != i and den * len(a & b) >= num * len(a | b) for j, b in sets.items()) if a else 0 for i, a in sets.items()
+        }
+        found = ngram_join.similar_documents(documents(spark, [(i, t, "s") for i, t in rows]), size, num, den).collect()
+        assert {r.doc_id: r.n_links for r in found} == linked
+
+
+def test_links_of_a_large_group_and_odd_rows(spark, odd):
+    base = [f"w{k}" for k in range(200)]
+    rows = [(n, " ".join([*base[:20], f"n{n}", *base[21:]]), "s") for n in range(700)]
+    found = ngram_join.similar_documents(documents(spark, rows), 4, 85, 100).collect()
+    assert {r.n_links for r in found} == {699}
+    odd_links = {r.doc_id: r.n_links for r in ngram_join.similar_documents(odd, 4, 85, 100).collect()}
+    assert odd_links == {1: 1, 2: 1, **dict.fromkeys((None, 3, 4, 5, 6, 7, 8), 0)}
+    assert "n_links" not in ngram_join.similar_documents(odd, links=False).columns
+
+
 def test_odd_rows(spark, odd, none):
     rows = {r.doc_id: r for r in ngram_join.similar_documents(odd, 4, 85, 100).collect()}
     assert set(rows) == {None, 1, 2, 3, 4, 5, 6, 7, 8}

@@ -15,6 +15,9 @@ dropped, the rest is verified once per pair: first by a bound on the overlap
   n-gram only, which joins large groups of near copies with a pair or two per
   member. Then classes of different components still sharing a prefix n-gram
   are paired with each other, so no link between components is missed.
+* All links lie within components. To count them, the classes of a component
+  meet in blocks of bounded size, all overlaps of two blocks are one matrix
+  product, and only counts leave the task; pairs never become rows.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ BUCKETS = 1 << 20
 CHUNK = 1 << 12
 MEMBER_BITS = 1 << 22
 ROWS_OUT = 100_000
+# Classes and n-grams of a block where the links of a component are counted, columns of a product at a time.
+LINK_CLASSES, LINK_GRAMS, LINK_COLUMNS = 512, 1_000_000, 8_192
 
 _FACTORS = np.array(
     [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(64)], np.uint64
@@ -255,9 +260,9 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return int((both[1:] == both[:-1]).sum()) >= least
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a1, a2, b1, b2) that are similar. Only sets that stand in a
-    pair are shuffled."""
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a1, a2, b1, b2) that are similar, and the sets of all pairs.
+    Only sets that stand in a pair are shuffled."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +282,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     found = joined.select("a1", "a2", "b1", "b2", "grams_a", "grams_b").mapInArrow(
         check, "a1 long, a2 long, b1 long, b2 long"
     )
-    return materialize(found, "ngram-edges")
+    return materialize(found, "ngram-edges"), sets
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -298,6 +303,61 @@ def _labelled(edges: DataFrame, classes: DataFrame) -> DataFrame:
     return classes.join(found, classes["rep"] == found["node"]).select("k1", "k2", "component")
 
 
+def overlaps(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The number of n-grams that each of the sets `left` shares with each of `right`."""
+    rows = np.repeat(np.arange(len(grams)), [len(one) for one in grams])
+    _, column, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    often = times > 1
+    kept = often[column]
+    rows, column = rows[kept], (np.cumsum(often) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    shared = np.zeros((len(left), len(right)), np.int64)
+    for start in range(0, int(often.sum()), LINK_COLUMNS):
+        begin, end = np.searchsorted(column, [start, start + LINK_COLUMNS])
+        has = np.zeros((len(grams), LINK_COLUMNS), np.float32)
+        has[rows[begin:end], column[begin:end] - start] = 1
+        shared += (has[left] @ has[right].T).astype(np.int64)
+    return shared
+
+
+def _links(sets: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+    """k1, k2, links: the documents of other classes that each class placed
+    in a component is similar to. `sets` may repeat a class."""
+
+    def count(table: pa.Table) -> pa.Table:
+        k1, k2, first = (table.column(name).to_numpy() for name in ("k1", "k2", "block"))
+        _, once = np.unique(np.stack([k1, k2], axis=1), axis=0, return_index=True)
+        k1, k2, first, size = k1[once], k2[once], first[once], table.column("size").to_numpy()[once]
+        packed = table.column("grams")
+        grams = [np.frombuffer(packed[int(at)].as_py(), np.uint64) for at in once]
+        n = np.array([len(one) for one in grams], np.int64)
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        left, right = np.nonzero(first == low)[0], np.nonzero(first == high)[0]
+        linked = overlaps(grams, left, right) * (num + den) >= num * (n[left][:, None] + n[right][None, :])
+        if low == high:
+            np.fill_diagonal(linked, False)
+        links = np.zeros(len(grams), np.int64)
+        links[left] += linked @ size[right]
+        if low != high:
+            links[right] += size[left] @ linked
+        return pa.table({"k1": k1, "k2": k2, "links": links})
+
+    blocks = F.greatest(F.ceil(F.count("*") / LINK_CLASSES), F.ceil(F.sum("n") / LINK_GRAMS)).cast("int")
+    components = placed.groupBy("component").agg(F.count("*").alias("classes"), blocks.alias("blocks"))
+    rows = (
+        placed.join(components.where("classes > 2"), "component")
+        .withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
+        .join(sets, ["k1", "k2"])
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("low", F.least("block", "other"))
+        .withColumn("high", F.greatest("block", "other"))
+        .select("component", "low", "high", "block", "k1", "k2", "size", "grams")
+    )
+    counted = rows.groupBy("component", "low", "high").applyInArrow(count, "k1 long, k2 long, links long")
+    return counted.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
+
+
 def similar_documents(
     docs: DataFrame,
     size: int = 5,
@@ -305,9 +365,12 @@ def similar_documents(
     den: int = 5,
     id: str = "doc_id",
     text: str = "text",
+    links: bool = True,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id of each document; linked are documents
-    with den * |intersection| >= num * |union| of their n-gram sets.
+    """doc_id, n_shingles, component_id, n_links of each document; linked are
+    documents with den * |intersection| >= num * |union| of their n-gram sets,
+    and n_links counts the other documents one is linked with. Without
+    `links` that column is left out, and its work.
 
     One row per id: rows that repeat an id are one document, and if their
     texts differ the one with the largest set key stands for it. NULL and
@@ -326,7 +389,7 @@ def similar_documents(
     )
     documents = materialize(documents, "ngram-documents")
     classes = documents.where("doc_id is not null and k1 is not null").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("rep")
+        F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.max("n").alias("n")
     )
 
     # Prefix n-grams that two classes or more share, with the hub of each: the
@@ -350,14 +413,14 @@ def similar_documents(
     members = shared.alias("m").where(other & _possible("m", "m.hub", num, den))
     stars = materialize(members.select(*_pair("m", "m.hub")).distinct(), "ngram-stars")
 
-    edges = _verified(stars, texts, size, num, den)
+    edges, sets = _verified(stars, texts, size, num, den)
     labels = _labelled(edges, classes)
 
     # What still lies in different components and shares a prefix n-gram.
     label = F.coalesce(F.col("component"), F.col("rep"))
     rows = (
         shared.drop("hub")
-        .join(classes, ["k1", "k2"])
+        .join(classes.drop("size", "n"), ["k1", "k2"])
         .join(labels, ["k1", "k2"], "left")
         .select("gram", "k1", "k2", "n", "pos", label.alias("label"))
     )
@@ -390,12 +453,26 @@ def similar_documents(
     )
     pairs = x.join(y, meets).select(*_pair("x", "y")).distinct()
     pairs = materialize(pairs.join(stars, ["a1", "a2", "b1", "b2"], "left_anti"), "ngram-pairs")
-    more = _verified(pairs, texts, size, num, den)
+    more, more_sets = _verified(pairs, texts, size, num, den)
     if not more.isEmpty():
         labels = _labelled(edges.union(more), classes)
-    by_class = classes.join(labels, ["k1", "k2"], "left").select("k1", "k2", label.alias("component_id"))
-    return documents.join(by_class, ["k1", "k2"], "left").select(
+        sets = sets.union(more_sets)
+    by_class = classes.join(labels, ["k1", "k2"], "left").select("k1", "k2", "size", "n", "component", label.alias("component_id"))
+    result = [
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-    )
+    ]
+    if not links:
+        return documents.join(by_class.select("k1", "k2", "component_id"), ["k1", "k2"], "left").select(*result)
+
+    # Two classes in a component are linked; of more, not all need be.
+    by_class = materialize(by_class, "ngram-classes")
+    placed = by_class.where("component is not null").select("k1", "k2", "size", "n", "component")
+    counted = materialize(_links(sets, placed, num, den), "ngram-links")
+    pairs = placed.groupBy("component").agg(F.count("*").alias("classes"), F.sum("size").alias("docs")).where("classes = 2")
+    by_class = by_class.join(counted, ["k1", "k2"], "left").join(pairs, "component", "left")
+    others = F.coalesce(F.col("links"), F.col("docs") - F.col("size"), F.lit(0))
+    by_class = by_class.select("k1", "k2", "component_id", (F.col("size") - 1 + others).alias("n_links"))
+    n_links = F.when(F.col("doc_id").isNotNull(), F.col("n_links"))
+    return documents.join(by_class, ["k1", "k2"], "left").select(*result, F.coalesce(n_links, F.lit(0)).cast("long").alias("n_links"))
