@@ -8,7 +8,21 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, hnsw, html_tree, licenses, mixing, ngram_join, packing, pii, quality, toxicity
+from waymark.llm import (
+    chat,
+    collocations,
+    hard_negatives,
+    hnsw,
+    html_tree,
+    licenses,
+    mixing,
+    ngram_join,
+    packing,
+    pii,
+    quality,
+    toxicity,
+    urls,
+)
 from waymark.llm.oracle import SQL
 from waymark.llm.shared import table
 
@@ -65,6 +79,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(control)))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", hard_negatives.steps).alias("vector"),
+    )
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plans = {name: plan for name, plan in globals().items() if name.startswith("op")}
     return {**plans, "pipeline": corpus_pipeline.run}
