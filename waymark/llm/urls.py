@@ -96,8 +96,13 @@ def _strings(text: Column, order: int) -> Column:
     """For every character of the text and its end: it and the `order` before it."""
     chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
     padded = F.concat(F.array_repeat(F.lit(START), order), chars, F.array(F.lit(END)))
-    places = F.sequence(F.lit(1), F.size(chars) + 1)
-    return F.transform(places, lambda at: F.array_join(F.slice(padded, at, order + 1), ""))
+
+    def strings(all_chars: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(all_chars) - order)
+        return F.transform(places, lambda at: F.array_join(F.slice(all_chars, at, order + 1), ""))
+
+    # As an element of a list the characters are worked out once per text, not once per place.
+    return F.transform(F.array(padded), strings)[0]
 
 
 def count_strings(texts: DataFrame, order: int) -> DataFrame:
