@@ -3,21 +3,22 @@ their parts let expect.
 
 Phrases are counted by fingerprint, one length at a time. Prefix polynomials
 over the bytes of a batch of texts give the fingerprint of every word, prefix
-polynomials over the words that of every n-gram (Rabin-Karp, in numpy). A
-shuffle adds up the fingerprints; with each travel a second, independent
-fingerprint and a pointer to one occurrence (hash of the text, byte offset).
-Only the occurrences of frequent fingerprints are read back as text.
-
-* A fingerprint that stands for two phrases shows as two different second
-  fingerprints. Such groups are counted anew from their texts, so counts are
-  exact at any width of the fingerprint.
+polynomials over the words that of every n-gram (Rabin-Karp, in numpy), once
+modulo 2^64 and once modulo a prime. A shuffle adds up the first; with each
+travel the least and the largest of the second, as a check, and a pointer to
+one occurrence (a hash of the text and the place in it). Only the occurrences
+of frequent fingerprints are read back as text.
+
+* A fingerprint that stands for two phrases shows as two different checks.
+  Such groups are counted anew from their texts, so counts are exact at any
+  width of the fingerprint.
 * A phrase can't be frequent unless both phrases one word shorter are. Tasks
   learn which are from a Bloom filter of at most `SIEVE_BITS` bits: where it
   is too small for all of them it lets more n-grams pass, which costs shuffle
   and never results. Everything else meets by joins.
 * A text of any length is read in stretches of about `STRETCH` bytes that
-  overlap by the words of a phrase, and n-grams are added up within a batch
-  before they leave the task. All keys are (language, fingerprint) or phrases;
+  overlap by the words of a phrase, and n-grams are added up within a stretch
+  before they leave the task. All keys are fingerprints or phrases;
   sums are partial before every shuffle, so no common phrase gathers anywhere.
 """
 
@@ -38,24 +39,21 @@ LEAST = 10
 LONGEST = 3
 COVERED = 50  # percent of a phrase's occurrences
 TOP = 2_000
-BITS = 62
+BITS = 64
 SIEVE_BITS = 1 << 28
 SIEVE_PER_KEY = 16
 CHUNK_BITS = 1 << 19
 STRETCH = 1 << 20
 BLOCK = 1 << 16  # values per prefix sum
 NO_LANG = "und"
+SHARES = 32
 
-# Two pairs of polynomials, each modulo a prime below 2^31: (prime, base of bytes, base of words).
-_POLYNOMIALS = (
-    (2147483647, 911382323, 972663749),
-    (2147483629, 357142861, 826366247),
-    (2147483587, 1182734591, 1498310239),
-    (2147483579, 590158391, 1330117841),
-)
+# Moduli of the polynomials, each with a base for bytes and one for words.
+_WRAP, _PRIME = 1 << 64, 2147483647
+_BASES = {_WRAP: (0x9E3779B97F4A7C15, 0xD1342543DE82EF95), _PRIME: (911382323, 972663749)}
 
-_LETTERS = np.arange(256, dtype=np.uint64) + 1
-_LETTERS[65:91] += 32  # A-Z count as a-z
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += 32  # A-Z count as a-z
 _BLANK, _BREAK = 1, 2
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = _BLANK
@@ -63,53 +61,61 @@ _KIND[[*b".,;:!?\n\x0b\x0c\r"]] = _BREAK
 
 
 @lru_cache(maxsize=None)
-def _powers(base: int, prime: int) -> np.ndarray:
-    """base^0 .. base^(BLOCK-1) modulo the prime."""
+def _powers(base: int, modulus: int) -> np.ndarray:
+    """base^0 .. base^(BLOCK-1)."""
     out = np.ones(BLOCK, np.uint64)
-    filled, step = 1, base % prime
+    filled, step = 1, base
     while filled < BLOCK:
-        out[filled : 2 * filled] = out[:filled] * np.uint64(step) % np.uint64(prime)
-        filled, step = 2 * filled, step * step % prime
+        out[filled : 2 * filled] = _reduced(out[:filled] * np.uint64(step), modulus)
+        filled, step = 2 * filled, step * step % modulus
     return out
 
 
+def _reduced(values: np.ndarray, modulus: int) -> np.ndarray:
+    """Modulo 2^64 numbers reduce themselves."""
+    return values if modulus == _WRAP else values % np.uint64(modulus)
+
+
 def _spans(
-    values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int, prime: int, letters: np.ndarray | None = None
+    values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int, modulus: int, letters: np.ndarray | None = None
 ) -> np.ndarray:
     """The polynomial of values[start:end] for each span: differences of
     prefix sums, brought back to the same power. Values, or what `letters` has
-    for them, are at most the prime; starts and ends ascend. Prefix sums are
+    for them, are below the modulus; starts and ends ascend. Prefix sums are
     made block by block and kept only where a span starts or ends."""
-    p = np.uint64(prime)
-    up, inverse = _powers(base, prime), pow(base, -1, prime)
-    ends_of = {}
-    for name, at in (("left", starts), ("right", ends)):
-        ends_of[name] = (at, np.empty(len(at), np.uint64))
+    up, inverse = _powers(base, modulus), pow(base, -1, modulus)
+    left, right = np.empty(len(starts), np.uint64), np.empty(len(ends), np.uint64)
     carry = 0
     for begin in range(0, len(values) + 1, BLOCK):
         part = values[begin : begin + BLOCK]
         part = part if letters is None else letters[part]
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * up[: len(part)] % p, out=sums[1:])
-        sums %= p
-        scale = np.uint64(pow(base, begin, prime))
-        for at, out in ends_of.values():
+        np.cumsum(_reduced(part * up[: len(part)], modulus), out=sums[1:])
+        sums = _reduced(sums, modulus)
+        scale = pow(base, begin, modulus)
+        for at, out in ((starts, left), (ends, right)):
             some = slice(*np.searchsorted(at, [begin, begin + BLOCK]))
-            out[some] = (scale * sums[at[some] - begin] + np.uint64(carry)) % p
-        carry = (carry + int(scale) * int(sums[-1])) % prime
-    hops = np.array([pow(inverse, BLOCK * i, prime) for i in range(len(values) // BLOCK + 1)], np.uint64)
-    back = _powers(inverse, prime)[starts % BLOCK] * hops[starts // BLOCK] % p
-    return (ends_of["right"][1] + p - ends_of["left"][1]) % p * back % p
-
-
-def _mixed(keys: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """Hash of a 64-bit number and its salt, uniform over 64 bits."""
-    x = keys.astype(np.uint64) + salts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            out[some] = _reduced(sums[at[some] - begin] * np.uint64(scale) + np.uint64(carry), modulus)
+        carry = (carry + scale * int(sums[-1])) % modulus
+    hops = np.array([pow(inverse, BLOCK * i, modulus) for i in range(len(values) // BLOCK + 1)], np.uint64)
+    back = _reduced(_powers(inverse, modulus)[starts % BLOCK] * hops[starts // BLOCK], modulus)
+    apart = right - left if modulus == _WRAP else (right + np.uint64(modulus) - left) % np.uint64(modulus)
+    return _reduced(apart * back, modulus)
+
+
+def _mixed(keys: np.ndarray, salts: np.ndarray | None = None) -> np.ndarray:
+    """Hash of a 64-bit number and its salt, uniform over 64 bits; without a
+    salt no two numbers have the same."""
+    x = keys.astype(np.uint64) if salts is None else keys.astype(np.uint64) + salts.astype(np.uint64) * np.uint64(_BASES[_WRAP][0])
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return x ^ (x >> np.uint64(31))
 
 
+# What each byte counts as: for the wrapping polynomial numbers without a pattern in their low bits.
+_LETTERS = {_WRAP: _mixed(_LOWER + np.uint64(1)), _PRIME: _LOWER + np.uint64(1)}
+
+
 class Words:
     """The words of a stretch of bytes: where they start and end, the piece
     each lies in, and their polynomials."""
@@ -121,37 +127,53 @@ class Words:
         inside[1:-1] = kind == 0
         cut = np.zeros(len(data) + 1, bool)
         cut[cuts] = True
-        first = inside[1:] & (~inside[:-1] | cut)
-        last = inside[:-1] & (~inside[1:] | cut)
-        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last)
-        breaks = np.cumsum((kind == _BREAK) | cut[:-1])
-        self.piece = breaks[self.starts] if len(data) else self.starts
-        self.hashes = [
-            _spans(data, self.starts, self.ends, base, prime, _LETTERS) + np.uint64(1) for prime, base, _ in _POLYNOMIALS
-        ]
+        self.starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
+        self.ends = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
+        breaks = np.flatnonzero((kind == _BREAK) | cut[:-1])
+        self.piece = np.searchsorted(breaks, self.starts, side="right")
+        self.hashes = {
+            modulus: _spans(data, self.starts, self.ends, bases[0], modulus, _LETTERS[modulus])
+            for modulus, bases in _BASES.items()
+        }
+        self.hashes[_WRAP] = _mixed(self.hashes[_WRAP])
 
     def ngrams(self, n: int) -> np.ndarray:
         """The first words of all n-grams: n words of one piece."""
         count = max(len(self.starts) - n + 1, 0)
         return np.flatnonzero(self.piece[:count] == self.piece[len(self.piece) - count :])
 
-    def prints(self, at: np.ndarray, n: int, which: int = 0) -> np.ndarray:
-        """Fingerprints of the n-grams from the given first words on, by the
-        first (0) or the second (1) pair of polynomials."""
-        high, low = (
-            _spans(self.hashes[i], at, at + n, _POLYNOMIALS[i][2], _POLYNOMIALS[i][0]) for i in (2 * which, 2 * which + 1)
-        )
-        return high << np.uint64(31) | low
+    def _sums(self, at: np.ndarray, n: int, modulus: int) -> np.ndarray:
+        hashes = self.hashes[modulus]
+        if n == 1:
+            return hashes[at]
+        if modulus == _PRIME:
+            hashes = (hashes + np.uint64(1)) % np.uint64(modulus)
+        return _spans(hashes, at, at + n, _BASES[modulus][1], modulus)
+
+    def prints(self, at: np.ndarray, n: int, salts: np.ndarray, bits: int) -> np.ndarray:
+        """Fingerprints of the n-grams from the given first words on; `salts`
+        tell the languages of the words apart."""
+        return _mixed(self._sums(at, n, _WRAP), salts[at]) >> np.uint64(64 - bits)
+
+    def checks(self, at: np.ndarray, n: int, salts: np.ndarray) -> np.ndarray:
+        """Their checks, of 31 bits."""
+        return self._sums(at, n, _PRIME) ^ salts[at] >> np.uint64(33)
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, where they lie, and where each starts and ends."""
+    _, offsets, data = texts.buffers()
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), ends
 
 
 def _stretches(batch: pa.RecordBatch, longest: int, size: int) -> Iterator[tuple[Words, np.ndarray, np.ndarray, int]]:
     """(words, row of each word's text, offset of each word in it, words that
     belong to this stretch). A stretch holds whole texts, or a part of one and
     the words after it that a phrase starting in it may need."""
-    texts = batch.column("text").cast(pa.large_binary())
-    _, offsets, data = texts.buffers()
-    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    everything = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    texts = batch.column("text")
+    everything, ends = _bytes_of(texts)
     row = 0
     while row < len(texts):
         stop = max(row + 1, int(np.searchsorted(ends, ends[row] + size, side="right")) - 1)
@@ -254,110 +276,75 @@ def _texts(documents: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.withColumn("doc", F.xxhash64("lang", "text"))
 
 
-COUNTED = "lang string, print long, check long, f long, doc long, place long"
+COUNTED = "print long, check long, f long, place long"
+
+
+def _added_up(prints: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each kind of n-gram, and how many there are of it."""
+    if not len(prints):
+        return np.empty(0, int), np.empty(0, int)
+    order = np.argsort(prints, kind="stable")
+    sorted_, kinds = prints[order], checks[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (sorted_[1:] != sorted_[:-1]) | (kinds[1:] != kinds[:-1])
+    starts = np.flatnonzero(new)
+    return order[starts], np.diff(starts, append=len(order))
 
 
-def _added_up(prints: np.ndarray, checks: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first of each kind of n-gram (language and both fingerprints), and
-    how many there are of it."""
-    keys = _mixed(prints, salts) ^ _mixed(checks, np.zeros(1, np.uint64))
-    _, first, same, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    of = first[same]
-    if (prints[of] == prints).all() and (checks[of] == checks).all() and (salts[of] == salts).all():
-        return first, times
-    return np.arange(len(prints)), np.ones(len(prints), int)  # two kinds got one key: leave it to the shuffle
+def _places_of(docs: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The pointer to a place in a text."""
+    return _mixed(docs.astype(np.int64).view(np.uint64), offsets.astype(np.uint64))
 
 
 def count_prints(texts: DataFrame, n: int, bits: int, parts: bytes | None, size: int) -> DataFrame:
-    """lang, print, f, check, last_check, doc, place of all n-grams whose parts
-    pass the sieve `parts` of (n-1)-grams. For words also a row without a
-    print per language: all its words."""
+    """print, f, check, last_check, place of all n-grams whose parts pass the
+    sieve `parts` of (n-1)-grams."""
     sieve_of = texts.sparkSession.sparkContext.broadcast(parts) if parts else None
-    low = np.uint64((1 << bits) - 1)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = Sieve(np.frombuffer(sieve_of.value, np.uint8)) if sieve_of else None
         for batch in batches:
-            langs, docs = batch.column("lang"), batch.column("doc").to_numpy(zero_copy_only=False)
-            salts = _salts(langs.to_pylist())
+            docs, langs = batch.column("doc").to_numpy(zero_copy_only=False), _salts(batch.column("lang").to_pylist())
             for words, rows, offsets, own in _stretches(batch, n, size):
-                at = words.ngrams(n)
+                at, salts = words.ngrams(n), langs[rows]
                 at = at[at < own]
                 if sieve is not None:
                     shorter = words.ngrams(n - 1)
                     passed = np.zeros(len(words.starts) + 1, bool)
-                    passed[shorter] = sieve.has(_mixed(words.prints(shorter, n - 1) & low, salts[rows[shorter]]))
+                    passed[shorter] = sieve.has(words.prints(shorter, n - 1, salts, bits))
                     at = at[passed[at] & passed[at + 1]]
-                prints, checks = words.prints(at, n) & low, words.prints(at, n, 1)
-                first, times = _added_up(prints, checks, salts[rows[at]])
-                where = rows[at[first]]
-                columns = [
-                    langs.take(pa.array(where)),
-                    _signed(prints[first]),
-                    _signed(checks[first]),
-                    pa.array(times.astype(np.int64)),
-                    pa.array(docs[where]),
-                    pa.array(offsets[at[first]].astype(np.int64)),
-                ]
-                if n == 1:
-                    _, start, times = np.unique(salts[rows[:own]], return_index=True, return_counts=True)
-                    none = pa.nulls(len(start), pa.int64())
-                    totals = [langs.take(pa.array(rows[start])), none, none, pa.array(times.astype(np.int64)), none, none]
-                    columns = [pa.concat_arrays(pair) for pair in zip(columns, totals, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "print", "check", "f", "doc", "place"])
+                prints, checks = words.prints(at, n, salts, bits), words.checks(at, n, salts)
+                first, times = _added_up(prints, checks)
+                where = at[first]
+                pointers = _places_of(docs[rows[where]], offsets[where])
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(prints[first]), _signed(checks[first]), pa.array(times), _signed(pointers)],
+                    names=["print", "check", "f", "place"],
+                )
 
     return (
         texts.mapInArrow(counted, COUNTED)
-        .groupBy("lang", "print")
+        .groupBy("print")
         .agg(
             F.sum("f").alias("f"),
             F.min("check").alias("check"),
             F.max("check").alias("last_check"),
-            F.min("doc").alias("doc"),
-            F.min_by("place", "doc").alias("place"),
+            F.min("place").alias("place"),
         )
     )
 
 
-def _print_keys(prints: DataFrame) -> DataFrame:
-    """`key` of (lang, print), as the tasks that read texts compute it."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = _mixed(_unsigned(batch.column("print")), _salts(batch.column("lang").to_pylist()))
-            yield pa.RecordBatch.from_arrays([_signed(own)], names=["key"])
-
-    return prints.select("lang", "print").mapInArrow(keys, "key long")
-
-
-def _places_of(docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Key of a place in a text."""
-    return _mixed(docs.astype(np.int64).view(np.uint64), starts.astype(np.uint64))
-
-
-def _place_keys(prints: DataFrame) -> DataFrame:
-    """`key` of (doc, place)."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, starts = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("doc", "place"))
-            yield pa.RecordBatch.from_arrays([_signed(_places_of(docs, starts))], names=["key"])
-
-    return prints.select("doc", "place").mapInArrow(keys, "key long")
-
-
-SPELLED = "n int, lang string, print long, check long, doc long, place long, phrase string, times long"
+SPELLED = "n int, lang string, print long, check long, place long, phrase string, times long"
 
 
 def spell(texts: DataFrame, longest: int, bits: int, wanted: bytes, doubtful: list[bytes | None], size: int) -> DataFrame:
-    """N-grams as text, of two kinds. Those that start at a place that passes
-    the sieve `wanted`, with doc, place and both fingerprints; and those whose
+    """N-grams as text, of two kinds. Those at a place that passes the sieve
+    `wanted`, with their fingerprint, check and place; and those whose
     fingerprint passes the sieve of doubtful ones of their length, added up
-    per stretch (`times`)."""
+    per stretch (`times`). Also the number of words (n = 0) per language."""
     context = texts.sparkSession.sparkContext
     wanted_of = context.broadcast(wanted)
     doubtful_of = [x and context.broadcast(x) for x in doubtful]
-    low = np.uint64((1 << bits) - 1)
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_places = Sieve(np.frombuffer(wanted_of.value, np.uint8))
@@ -365,55 +352,45 @@ def spell(texts: DataFrame, longest: int, bits: int, wanted: bytes, doubtful: li
         done: set[int] = set()  # texts of this task whose places were read
         for batch in batches:
             langs, docs = batch.column("lang").to_pylist(), batch.column("doc").to_numpy(zero_copy_only=False)
-            salts = _salts(langs)
-            texts_of = batch.column("text").cast(pa.large_binary())
+            lang_salts = _salts(langs)
+            everything, begins = _bytes_of(batch.column("text"))
             new = np.array([doc not in done for doc in docs.tolist()], bool)
             new &= np.bincount(np.unique(docs, return_index=True)[1], minlength=len(docs)).astype(bool)
             done.update(docs.tolist())
             for words, rows, offsets, own in _stretches(batch, longest, size):
-                found = [[] for _ in range(8)]
+                found: list[tuple] = []
                 added: dict[tuple[int, str, int, bytes], int] = {}
-                here = np.zeros(len(words.starts) + 1, bool)
-                here[:own] = at_places.has(_places_of(docs[rows[:own]], offsets[:own])) & new[rows[:own]]
+                salts = lang_salts[rows]
+                pointers = _places_of(docs[rows[:own]], offsets[:own])
+                here = at_places.has(pointers) & new[rows[:own]]
 
-                def phrase(word: int, n: int, row: int, words=words, offsets=offsets) -> bytes:
-                    shift = int(offsets[word]) - int(words.starts[word])
-                    text = memoryview(texts_of[row].as_buffer())
+                def phrase(word: int, n: int, words=words, offsets=offsets, rows=rows) -> bytes:
+                    shift = int(begins[rows[word]]) + int(offsets[word]) - int(words.starts[word])
                     spans = zip(words.starts[word : word + n].tolist(), words.ends[word : word + n].tolist(), strict=True)
-                    return b" ".join(bytes(text[shift + a : shift + b]).lower() for a, b in spans)
+                    return b" ".join(everything[shift + a : shift + b].tobytes().lower() for a, b in spans)
 
                 for n in range(1, longest + 1):
                     at = words.ngrams(n)
                     at = at[at < own]
                     if in_doubt[n - 1]:
-                        prints = words.prints(at, n) & low
-                        hits = np.flatnonzero(in_doubt[n - 1].has(_mixed(prints, salts[rows[at]])))
-                        for word, row, print_ in zip(
-                            at[hits].tolist(), rows[at[hits]].tolist(), prints[hits].view(np.int64).tolist(), strict=True
-                        ):
-                            key = (n, langs[row], print_, phrase(word, n, row))
+                        prints = words.prints(at, n, salts, bits)
+                        hits = np.flatnonzero(in_doubt[n - 1].has(prints))
+                        for word, print_ in zip(at[hits].tolist(), prints[hits].view(np.int64).tolist(), strict=True):
+                            key = (n, langs[rows[word]], print_, phrase(word, n))
                             added[key] = added.get(key, 0) + 1
                     at = at[here[at]]
-                    prints, checks = words.prints(at, n) & low, words.prints(at, n, 1)
-                    for word, row, place, print_, check in zip(
-                        at.tolist(),
-                        rows[at].tolist(),
-                        offsets[at].tolist(),
-                        prints.view(np.int64).tolist(),
-                        checks.view(np.int64).tolist(),
-                        strict=True,
-                    ):
-                        values = (n, langs[row], print_, check, int(docs[row]), place, phrase(word, n, row), None)
-                        for column, value in zip(found, values, strict=True):
-                            column.append(value)
-                for (n, lang, print_, text), times in added.items():
-                    for column, value in zip(found, (n, lang, print_, None, None, None, text, times), strict=True):
-                        column.append(value)
-                found[6] = [text.decode("utf-8", "replace") for text in found[6]]
-                kinds = [pa.int32(), pa.string(), *[pa.int64()] * 4, pa.string(), pa.int64()]
+                    values = (words.prints(at, n, salts, bits), words.checks(at, n, salts), pointers[at])
+                    for word, *numbers in zip(at.tolist(), *(x.view(np.int64).tolist() for x in values), strict=True):
+                        found.append((n, langs[rows[word]], *numbers, phrase(word, n), None))
+                found += [(n, lang, print_, None, None, text, times) for (n, lang, print_, text), times in added.items()]
+                _, first, times = np.unique(salts[:own], return_index=True, return_counts=True)
+                found += [(0, langs[rows[i]], None, None, None, b"", int(k)) for i, k in zip(first, times, strict=True)]
+                columns = list(zip(*found, strict=True)) or [[]] * 7
+                kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+                columns[5] = [text.decode("utf-8", "replace") for text in columns[5]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(column, kind) for column, kind in zip(found, kinds, strict=True)],
-                    names=["n", "lang", "print", "check", "doc", "place", "phrase", "times"],
+                    [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)],
+                    names=["n", "lang", "print", "check", "place", "phrase", "times"],
                 )
 
     return texts.mapInArrow(spelled, SPELLED)
@@ -426,36 +403,31 @@ def frequent_phrases(
     """(n, lang, phrase, f) of all phrases of up to `longest` words that stand
     at least `least` times, and (lang, words) of all words."""
     texts = _texts(documents, text, lang)
-    sieve, levels, doubtful = None, [], []
+    sieve, known, doubtful = None, None, []
     for n in range(1, longest + 1):
-        counted = count_prints(texts, n, bits, sieve, size).where((F.col("f") >= least) | F.col("print").isNull())
-        level = materialize(counted, f"phrase-prints-{n}")
-        known = level.where("print is not null")
-        levels.append(level.withColumn("n", F.lit(n)))
-        sieve = _sieve(_print_keys(known), known.count())
-        twofold = known.where("check <> last_check")
+        level = materialize(count_prints(texts, n, bits, sieve, size).where(F.col("f") >= least), f"phrase-prints-{n}")
+        sieve = _sieve(level.select(F.col("print").alias("key")), level.count())
+        twofold = level.where("check <> last_check")
         count = twofold.count()
-        doubtful.append(_sieve(_print_keys(twofold), count) if count else None)
-    everything = levels[0]
-    for level in levels[1:]:
-        everything = everything.unionByName(level)
-    known = everything.where("print is not null")
+        doubtful.append(_sieve(twofold.select(F.col("print").alias("key")), count) if count else None)
+        level = level.withColumn("n", F.lit(n))
+        known = level if known is None else known.unionByName(level)
     sure = known.where("check = last_check")
-    wanted = _sieve(_place_keys(sure), sure.count())
+    wanted = _sieve(sure.select(F.col("place").alias("key")), sure.count())
     spelled = materialize(spell(texts, longest, bits, wanted, doubtful, size), "phrase-texts")
-    once = spelled.where("doc is not null").drop("times").join(
-        sure.select("n", "lang", "print", "check", "doc", "place", "f"), ["n", "lang", "print", "check", "doc", "place"]
+    once = spelled.where("place is not null").drop("times").join(
+        sure.select("n", "print", "check", "place", "f"), ["n", "print", "check", "place"]
     )
     anew = (
-        spelled.where("doc is null")
-        .join(known.where("check <> last_check").select("n", "lang", "print"), ["n", "lang", "print"], "left_semi")
+        spelled.where("n > 0 and place is null")
+        .join(known.where("check <> last_check").select("n", "print"), ["n", "print"], "left_semi")
         .groupBy("n", "lang", "phrase")
         .agg(F.sum("times").alias("f"))
         .where(F.col("f") >= least)
     )
     # Copies of a text spell the same phrase.
     phrases = once.groupBy("n", "lang", "phrase").agg(F.max("f").alias("f")).unionByName(anew)
-    words = levels[0].where("print is null").select("lang", F.col("f").alias("words"))
+    words = spelled.where("n = 0").groupBy("lang").agg(F.sum("times").alias("words"))
     return materialize(phrases, "phrases"), words
 
 
@@ -509,8 +481,14 @@ def collocations(
         F.col("longest").isNull() | (F.col("longest") * 100 < F.col("a") * covered)
     )
     flat = kept.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = flat.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    best_first = (F.desc("score"), F.desc("a"), "phrase")
+    # In two steps, so that however many tasks there are, no more than SHARES * top rows of a language meet.
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
+    shares = flat.withColumn("share", share).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*best_first))
+    )
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*best_first)).cast("long")
+    ranked = shares.where(F.col("rank") <= top).withColumn("rank", rank).where(F.col("rank") <= top)
     return ranked.join(words, "lang").select(
         "lang", "rank", "phrase", "a", "l", "r", F.col("words").alias("n"), "score"
     )
