@@ -258,6 +258,64 @@ def _prefs_text() -> str:
     )
 
 
+def _lsh(tables: int = 8, bits: int = 4, k: int = 10, recall: float = 0.95, audit: int = 64) -> list[tuple[str, str]]:
+    """The pairs an audited multi-probe search scores, step by step."""
+    exact = (
+        "SELECT id, business_id FROM (SELECT q.vec_id AS id, i.business_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY "
+        + _digits(COS_FULL)
+        + f" DESC, i.business_id) AS n FROM vectors q, items i WHERE q.vec_id IN (SELECT id FROM audited)) WHERE n <= {k}"
+    )
+    return [
+        (
+            "planes",
+            "SELECT t, b, list(CASE WHEN substr(md5(t || ':' || b || ':' || d), 1, 1) IN ('1', '3', '5', '7', '9', "
+            "'b', 'd', 'f') THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY d) AS plane "
+            f"FROM (SELECT unnest(range({tables})) AS t), (SELECT unnest(range({bits})) AS b), (SELECT unnest(range(64)) AS d) GROUP BY 1, 2",
+        ),
+        ("sides", "SELECT vec_id AS id, t, b, list_inner_product(vector, plane) AS side FROM vectors, planes"),
+        (
+            "query_buckets",
+            "SELECT id, t, CAST(sum(CASE WHEN side > 0 THEN pow(2, b) ELSE 0 END) AS INT) AS bucket FROM sides GROUP BY 1, 2",
+        ),
+        (
+            "item_buckets",
+            "SELECT business_id AS id, t, CAST(sum(CASE WHEN list_inner_product(vector, plane) > 0 THEN pow(2, b) ELSE 0 END) AS INT) "
+            "AS bucket FROM items, planes GROUP BY 1, 2",
+        ),
+        (
+            "turns",
+            "SELECT id, t, mask, sum(CASE WHEN (mask >> b) & 1 = 1 THEN side * side ELSE 0 END) AS cost "
+            f"FROM sides, (SELECT unnest(range({1 << bits})) AS mask) GROUP BY 1, 2, 3",
+        ),
+        (
+            "query_probes",
+            "SELECT id, t, xor(CAST(bucket AS BIGINT), mask) AS bucket, row_number() OVER (PARTITION BY id, t ORDER BY cost, mask) AS probe "
+            "FROM turns JOIN query_buckets USING (id, t)",
+        ),
+        ("audited", f"SELECT vec_id AS id FROM vectors ORDER BY md5(CAST(vec_id AS VARCHAR)) LIMIT {audit}"),
+        ("exact", exact),
+        (
+            "needed",
+            "SELECT e.id, e.business_id, min(p.probe) AS probe FROM exact e JOIN item_buckets i ON i.id = e.business_id "
+            "JOIN query_probes p ON p.id = e.id AND p.t = i.t AND p.bucket = i.bucket GROUP BY 1, 2",
+        ),
+        (
+            "visited",
+            f"SELECT list_sort(list(probe))[CAST(ceil((SELECT count(*) FROM exact) * {recall}) AS BIGINT)] AS probes FROM needed",
+        ),
+        (
+            "close",
+            "SELECT DISTINCT p.id, i.id AS business_id FROM query_probes p JOIN item_buckets i USING (t, bucket), visited v WHERE probe <= v.probes",
+        ),
+        ("served", f"SELECT id FROM close GROUP BY id HAVING count(*) >= {k}"),
+        (
+            "scored",
+            "SELECT id, business_id FROM close WHERE id IN (SELECT id FROM served) UNION ALL "
+            "SELECT q.vec_id, i.business_id FROM vectors q, items i WHERE q.vec_id NOT IN (SELECT id FROM served)",
+        ),
+    ]
+
+
 def oracle_sql() -> dict[str, str]:
     days = ", ".join(f"json_extract_string(hours, '$.{d}') AS {d.lower()}" for d in WEEKDAYS)
     w = with_ctes
@@ -356,30 +414,15 @@ def oracle_sql() -> dict[str, str]:
         "knn_l2": _knn(L2, "l2", "ASC"),
         "knn_ip": _knn(IP, "ip", "DESC"),
         "knn_cosine": _knn(COS_FULL, "cosine", "DESC"),
+        "knn_pivots": _knn(L2, "l2", "ASC"),
         "knn_lsh": w(
             "SELECT query_id, CAST(rank AS INT) AS rank, business_id, round(cosine, 6) AS cosine FROM (SELECT *, "
             "row_number() OVER (PARTITION BY query_id ORDER BY "
             + _digits("cosine")
             + " DESC, business_id) AS rank FROM (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, i.business_id, "
-            f"{COS_FULL} AS cosine FROM (SELECT DISTINCT a.id, b.id AS business_id "
-            "FROM query_buckets a JOIN item_buckets b USING (t, bucket)) c JOIN vectors q ON q.vec_id = c.id "
+            f"{COS_FULL} AS cosine FROM scored c JOIN vectors q ON q.vec_id = c.id "
             "JOIN items i ON i.business_id = c.business_id)) WHERE rank <= 10",
-            (
-                "planes",
-                "SELECT t, b, list(CASE WHEN substr(md5(t || ':' || b || ':' || d), 1, 1) IN ('1', '3', '5', '7', '9', "
-                "'b', 'd', 'f') THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY d) AS plane FROM (SELECT unnest(range(8)) AS t), "
-                "(SELECT unnest(range(4)) AS b), (SELECT unnest(range(64)) AS d) GROUP BY 1, 2",
-            ),
-            (
-                "query_buckets",
-                "SELECT vec_id AS id, t, sum(CASE WHEN list_inner_product(vector, plane) > 0 THEN pow(2, b) ELSE 0 END) "
-                "AS bucket FROM vectors, planes GROUP BY 1, 2",
-            ),
-            (
-                "item_buckets",
-                "SELECT business_id AS id, t, sum(CASE WHEN list_inner_product(vector, plane) > 0 THEN pow(2, b) ELSE 0 END) "
-                "AS bucket FROM items, planes GROUP BY 1, 2",
-            ),
+            *_lsh(),
         ),
         "search_cli": w(CLI),
         "search_form": w(_two_stage("located", "items", 20, 3)),

@@ -202,7 +202,10 @@ def test_category_sets_and_upsert(spark):
     sets = C.category_sets(C.category_feedback(reacted, business))
     assert sorted(tuple(r) for r in sets.collect()) == [("u1", "bar, tacos", "gym"), ("u3", "gym", "")]
     users = spark.createDataFrame([("u1", "A", "old"), ("u2", "B", "kept")], "user_id string, name string, categories string")
+    # Users the table does not know are stored only where asked for.
     got = sorted(tuple(r) for r in preferences.store_liked(users, sets).collect())
+    assert got == [("u1", "A", "bar, tacos"), ("u2", "B", "kept")]
+    got = sorted(tuple(r) for r in preferences.store_liked(users, sets, add_users=True).collect())
     assert got == [("u1", "A", "bar, tacos"), ("u2", "B", "kept"), ("u3", None, "gym")]
     assert [r["user_id"] for r in preferences.look_up(users, reacted).collect()] == ["u1"]
 

@@ -10,7 +10,7 @@ from waymark.sources.sample_views import SampleViews
 # Joins without an equi key. The sample views divide ids by a table's row
 # count through scalar subqueries, so no query needs one.
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
-EAGER = {"csv_roundtrip", "raw_variant_load", "json_normalize", "kb_write", "append_write", "report_csv", "stream_ingest", "stream_liked"}
+EAGER = {"csv_roundtrip", "raw_variant_load", "json_normalize", "kb_write", "append_write", "report_csv", "stream_ingest", "stream_liked", "knn_pivots", "knn_lsh"}
 
 
 def plan(spark, small, name):
@@ -70,7 +70,7 @@ def test_choices_are_worked_out_in_stretches(spark, small):
     assert "hashpartitioning(__key" in text and "WindowGroupLimit" in text
 
 
-@pytest.mark.parametrize("build", [curation.attribute_wide, recommend.knn_l2, recommend.knn_lsh, recommend.search_global])
+@pytest.mark.parametrize("build", [curation.attribute_wide, recommend.knn_l2, recommend.search_global])
 def test_planning_runs_no_job(spark, small, build):
     v = SampleViews(spark, small)
     for name in ("part", "embeddings", "conversations"):
@@ -83,13 +83,15 @@ def test_planning_runs_no_job(spark, small, build):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-@pytest.mark.parametrize("name", ["search_cli", "prefs_recommend", "geo_nearest", "knn_lsh"])
+@pytest.mark.parametrize("name", ["search_cli", "prefs_recommend", "geo_nearest"])
 def test_searches_meet_in_blocks(spark, small, name):
     text = plan(spark, small, name)
     assert "FlatMapCoGroupsInArrow [block" in text and "hashpartitioning(block" in text
 
 
-def test_few_queries_leave_the_vectors_in_place(spark, small):
-    text = plan(spark, small, "knn_l2")
-    scan = text.index("MapInArrow")
-    assert "Exchange hashpartitioning(item_id" not in text and "block" not in text[scan:]
+@pytest.mark.parametrize("name", ["knn_l2", "knn_cosine", "search_global"])
+def test_vectors_move_once(spark, small, name):
+    """Without a radius both sides are shuffled to their blocks, and neither again."""
+    text = plan(spark, small, name)
+    shuffles = [x for x in text.splitlines() if "Exchange hashpartitioning(block" in x]
+    assert len(shuffles) == 2 and "CartesianProduct" not in text

@@ -6,7 +6,13 @@ the k best per query leave the task; pairs never become rows. Scores are ranked
 to twelve significant digits - beyond them the order of additions decides -
 distances to a micrometre, and ties go to the smaller id, so the result does not depend on how the data was
 split. Ids are unique on each side. Plans are lazy: nothing runs before the
-result is asked for, and no plan depends on the size of the data.
+result is asked for, with two exceptions.
+
+Beyond `PIVOT_BYTES`, by the optimizer's estimate, a search without a radius
+goes by cells around pivots instead of scoring all pairs: the triangle
+inequality tells which cells can hold one of the k best. Both ways are exact.
+This one and the approximate search write what several of their steps need to
+the shared folder, once.
 """
 
 from __future__ import annotations
@@ -20,11 +26,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
+from waymark.session import work_dir
 
 # Rows of one side in a block; with 384 doubles a block is some 60 MB.
 ITEM_BLOCK = 20_000
 QUERY_BLOCK = 20_000
+PIVOTS = 256
+PIVOT_BYTES = 512 * 1024 * 1024
 LSH_TABLES, LSH_BITS = 8, 4
+# Bits of a bucket that probes may turn, the least certain ones: 2^PROBE_BITS buckets of a table at most.
+PROBE_BITS = 8
+RECALL, AUDIT = 0.95, 64
 
 RESULT = "query_id string, item_id string, score double, l2 double, ip double, cosine double, distance_km double"
 
@@ -257,6 +269,15 @@ def split_all(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFram
     )
 
 
+def beside(few: DataFrame, many: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``block`` key: all rows of ``few``, a bounded table, by
+    every block of ``many``. Keys are query_id and item_id."""
+    blocks = many.select(F.greatest(F.ceil(F.count("*") / ITEM_BLOCK), F.lit(1)).cast("int")).scalar()
+    # New names for the same columns: both sides may come from one table.
+    left = few.select(*(F.col(c).alias(c) for c in few.columns), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    return left, many.withColumn("block", F.pmod(F.xxhash64("item_id"), blocks).cast("int"))
+
+
 def block_grid(queries: DataFrame, items: DataFrame, cell: Sequence[str]) -> DataFrame:
     """The crowded cells, those with more rows than a block on either side:
     cell, query_blocks, item_blocks. All others are one block."""
@@ -318,9 +339,12 @@ def nearest(
     vector [, latitude, longitude]. ``metric`` is ``l2`` (squared), ``ip``,
     ``cosine`` or ``distance``. With a radius, only items within it count, and
     both sides meet in grid cells no smaller than the radius; without one,
-    all queries meet all items in blocks. ``unit_queries`` and ``unit_items``
-    scale a side to length one first. ``score`` is what ranks: smaller is better.
+    all queries meet all items in blocks, or cells of items around pivots if
+    there are very many. ``unit_queries`` and ``unit_items`` scale a side to
+    length one first. ``score`` is what ranks: smaller is better.
     """
+    if radius_km is None and estimated_bytes(items) > PIVOT_BYTES:
+        return nearest_by_pivots(queries, items, k, metric, unit_queries, unit_items)
     queries = queries.select(*_columns(queries, "query_id", metric, radius_km))
     items = items.select(*_columns(items, "item_id", metric, radius_km))
     score = make_scorer(metric, k, radius_km, unit_queries, unit_items)
@@ -344,6 +368,164 @@ def to_cells(queries: DataFrame, items: DataFrame, radius_km: float) -> tuple[Da
     return spread, placed.filter(F.col("band").isNotNull() & F.col("cell").isNotNull())
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """What the tables it is made from take by the optimizer's statistics,
+    without running anything. (Its estimate of a join is a product.) Tables of
+    unknown size, which it takes for endless, count for nothing."""
+    tables = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(tables.apply(at).stats().sizeInBytes()) for at in range(tables.size())]
+    return sum(size for size in sizes if size < 1 << 62)
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """The rows from the shared folder, where every executor finds them."""
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def make_bounds(metric: str, unit_queries: bool, unit_items: bool):
+    """Builds ``place(pivots, items)``, the cell and distance of every item, and
+    ``reach(centres, queries)``, for every query all cells with the least
+    score that an item of theirs can have.
+
+    With the distance r of a cell's farthest item from its pivot p, no item is
+    nearer than |q - p| - r, and no inner product above q.p + |q| r. Cosines
+    are inner products of vectors of length one.
+    """
+
+    def matrix(table, unit):
+        import numpy as np
+
+        table = table.filter(table.column("vector").is_valid())
+        flat = np.asarray(table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=float)
+        x = flat.reshape(table.num_rows, -1) if table.num_rows else np.empty((0, 0))
+        if unit or metric == "cosine":
+            size = np.sqrt((x * x).sum(axis=1))
+            if unit:  # without a direction it takes no part
+                table, x, size = table.filter(pa.array(size > 0)), x[size > 0], size[size > 0]
+            x = np.divide(x, size[:, None], out=np.zeros_like(x), where=size[:, None] > 0)
+        return table, x
+
+    def apart(x, p):
+        import numpy as np
+
+        if len(x) and len(p) and x.shape[1] != p.shape[1]:
+            raise ValueError(f"vectors are {p.shape[1]} wide, queries {x.shape[1]}")
+        squared = (x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * x @ p.T
+        return np.sqrt(np.maximum(squared, 0.0))
+
+    def slices(n, wide):
+        step = max(1, 2_000_000 // max(wide, 1))
+        return [slice(at, min(at + step, n)) for at in range(0, n, step)]
+
+    def place(pivots, items):
+        import numpy as np
+
+        pivots, p = matrix(pivots.sort_by("query_id"), unit_items)
+        items, x = matrix(items, unit_items)
+        cell, away = np.empty(len(x), int), np.empty(len(x))
+        for some in slices(len(x), len(p)):
+            distance = apart(x[some], p)
+            cell[some] = distance.argmin(axis=1)
+            away[some] = distance[np.arange(len(distance)), cell[some]]
+        cells = pivots.column("query_id").take(pa.array(cell))
+        return pa.table([items.column("item_id"), items.column("vector"), cells, pa.array(away)], names=["item_id", "vector", "cell", "away"])
+
+    def reach(centres, queries):
+        import numpy as np
+
+        centres, p = matrix(centres.sort_by("query_id"), unit_items)
+        queries, q = matrix(queries, unit_queries)
+        radius, rows = (centres.column(name).to_numpy() for name in ("radius", "n_items"))
+        names = centres.column("query_id").to_pylist()
+        length = np.sqrt((q * q).sum(axis=1))[:, None]
+        lists = []
+        for some in slices(len(q), len(p)):
+            # A little further than rounding can be off.
+            slack = 1e-7 * (length[some] + np.sqrt((p * p).sum(axis=1))[None, :] + radius)
+            if not len(p):
+                low = np.empty((len(q[some]), 0))
+            elif metric == "l2":
+                low = np.maximum(apart(q[some], p) - radius - slack, 0.0) ** 2
+            else:
+                low = -(q[some] @ p.T + length[some] * (radius + slack)) - 1e-12
+            order = np.argsort(low, axis=1, kind="stable")
+            for bounds, best in zip(low, order, strict=True):
+                before = np.cumsum(rows[best]) - rows[best]
+                lists.append([
+                    {"cell": names[c], "low": bounds[c], "before": int(b)} for c, b in zip(best.tolist(), before.tolist(), strict=True)
+                ])
+        kind = pa.list_(pa.struct([("cell", pa.string()), ("low", pa.float64()), ("before", pa.int64())]))
+        return pa.table(
+            [queries.column("item_id"), queries.column("vector"), pa.array(lists, kind)], names=["query_id", "vector", "cells"]
+        )
+
+    return place, reach
+
+
+def in_cells(
+    queries: DataFrame, items: DataFrame, metric: str, unit_queries: bool, unit_items: bool, pivots: int
+) -> tuple[DataFrame, DataFrame]:
+    """(query_id, vector, cells) and (item_id, vector, cell). `cells` lists all
+    cells, the one that can hold the best score first: cell, low (the least
+    score), before (how many items the cells listed before it hold)."""
+    place, reach = make_bounds(metric, unit_queries, unit_items)
+    some = items.where(F.col("vector").isNotNull() & F.exists("vector", lambda x: x != 0))
+    # The first by hash: a bounded sample, and the same one in every run.
+    chosen = some.orderBy(F.xxhash64("item_id"), "item_id").limit(pivots)
+    chosen = chosen.select(F.col("item_id").alias("query_id"), "vector")
+    left, right = beside(chosen, items)
+    placed = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(
+        lambda p, it: place(p, it), "item_id string, vector array<double>, cell string, away double"
+    )
+    placed = _written(placed, "cells")
+    filled = placed.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n_items"))
+    centres = chosen.join(filled, F.col("query_id") == F.col("cell")).drop("cell")
+    left, right = beside(centres, queries.withColumnRenamed("query_id", "item_id"))
+    reached = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(
+        lambda c, q: reach(c, q),
+        "query_id string, vector array<double>, cells array<struct<cell: string, low: double, before: bigint>>",
+    )
+    return _written(reached, "cells-of-queries"), placed.drop("away")
+
+
+def nearest_by_pivots(
+    queries: DataFrame,
+    items: DataFrame,
+    k: int,
+    metric: str = "l2",
+    unit_queries: bool = False,
+    unit_items: bool = False,
+    pivots: int = PIVOTS,
+) -> DataFrame:
+    """What ``nearest`` without a radius finds, from the cells that can hold it.
+
+    Items are in the cell of their nearest pivot. A query first meets the
+    cells that its best items may lie in, as many as hold k items; the k-th
+    best score found there rules out every other cell whose least possible
+    score is above it. The rest are searched as well. A crowded cell is split
+    like any other.
+    """
+    queries = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    items = items.select("item_id", F.col("vector").cast("array<double>").alias("vector"))
+    score = make_scorer(metric, k, None, unit_queries, unit_items)
+    asked, placed = in_cells(queries, items, metric, unit_queries, unit_items, pivots)
+
+    def searched(cells: DataFrame) -> DataFrame:
+        spread = cells.select("query_id", "vector", F.explode("cells").alias("at"))
+        return _blocked(spread.select("query_id", "vector", F.col("at.cell").alias("cell")), placed, ("cell",), score)
+
+    first = _written(best(searched(asked.withColumn("cells", F.filter("cells", lambda c: c["before"] < k))), k), "first-cells")
+    edge = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("edge"))
+    others = F.filter(
+        "cells",
+        lambda c: (c["before"] >= k) & (F.col("edge").isNull() | (c["low"] <= F.col("edge") + F.abs("edge") * 1e-9)),
+    )
+    second = searched(asked.join(edge, "query_id", "left").withColumn("cells", others))
+    return best(first.drop("rank").unionByName(second), k)
+
+
 def plane_sign(table: int, bit: int, dimension: int) -> int:
     """+1 or -1: the component of a hash plane, from the md5 of its place, so
     that anyone can draw the same planes."""
@@ -351,42 +533,121 @@ def plane_sign(table: int, bit: int, dimension: int) -> int:
     return 1 if int(digest[0], 16) % 2 else -1
 
 
-def nearest_lsh(
-    queries: DataFrame,
-    items: DataFrame,
-    k: int,
-    tables: int = LSH_TABLES,
-    bits: int = LSH_BITS,
-) -> DataFrame:
-    """Approximate top-k by cosine: only items that share one of ``tables``
-    hash buckets with the query are scored, exactly. A query whose buckets
-    hold fewer than k items has fewer hits.
+def make_hasher(tables: int, bits: int):
+    """Builds ``buckets(vectors)``, per vector and table the bucket number, and
+    ``probes(vectors)``, the buckets to visit in order.
 
-    Each bucket number is the sign pattern of ``bits`` projections on planes
-    of +1 and -1 components. More tables find more, more bits score less: to
-    keep buckets of one size, add a bit each time the items double. A crowded
-    bucket is split like any cell.
+    A bucket number is the sign pattern of ``bits`` projections on planes of
+    +1 and -1 components. The nearer a projection is to zero, the likelier a
+    neighbour lies on the other side: buckets are visited by the sum of the
+    squares of the projections whose signs they turn.
     """
 
-    @F.pandas_udf("array<int>")
-    def buckets(vectors: pd.Series) -> pd.Series:
+    def projected(vectors: pd.Series):
         import numpy as np
 
         x = np.stack(vectors.to_list()).astype(float)
         planes = np.array(
             [[plane_sign(t, b, d) for t in range(tables) for b in range(bits)] for d in range(x.shape[1])], float
         )
-        signs = (x @ planes > 0).reshape(len(vectors), tables, bits)
-        return pd.Series(list((signs * (1 << np.arange(bits))).sum(axis=2).astype("int32")))
+        return (x @ planes).reshape(len(vectors), tables, bits)
+
+    def numbers(sides):
+        import numpy as np
+
+        return ((sides > 0) * (1 << np.arange(bits))).sum(axis=2).astype("int32")
+
+    @F.pandas_udf("array<int>")
+    def buckets(vectors: pd.Series) -> pd.Series:
+        return pd.Series(list(numbers(projected(vectors))))
+
+    @F.pandas_udf("array<array<int>>")
+    def probes(vectors: pd.Series) -> pd.Series:
+        import numpy as np
+
+        sides = projected(vectors)
+        turned = min(bits, PROBE_BITS)
+        # The least certain bits of each table, and every set of them.
+        weak = np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :turned]
+        cost = np.take_along_axis(sides**2, weak, axis=2)
+        sets = (np.arange(1 << turned)[:, None] >> np.arange(turned)) & 1
+        masks = ((1 << weak)[:, :, None, :] * sets).sum(axis=3)
+        order = np.lexsort((masks, (cost[:, :, None, :] * sets).sum(axis=3)), axis=2)
+        visited = numbers(sides)[:, :, None] ^ np.take_along_axis(masks, order, axis=2)
+        return pd.Series([[list(map(int, table)) for table in row] for row in visited])
+
+    return buckets, probes
 
-    def spread(df: DataFrame) -> DataFrame:
-        hashed = df.filter(F.col("vector").isNotNull()).withColumn("__b", buckets("vector"))
-        return hashed.select(*df.columns, F.posexplode("__b").alias("band", "cell"))
 
+def _hashed(items: DataFrame, buckets) -> DataFrame:
+    """item_id, vector, and a row per table: band, cell."""
+    some = items.where(F.col("vector").isNotNull()).withColumn("__b", buckets("vector"))
+    return some.select("item_id", "vector", F.posexplode("__b").alias("band", "cell"))
+
+
+def _probing(queries: DataFrame, probes) -> DataFrame:
+    """query_id, vector, and a row per table and probe, numbered from 1."""
+    some = queries.where(F.col("vector").isNotNull()).withColumn("__p", probes("vector"))
+    tables = some.select("query_id", "vector", F.posexplode("__p").alias("band", "__cells"))
+    return tables.select("query_id", "vector", "band", F.posexplode("__cells").alias("probe", "cell")).withColumn(
+        "probe", F.col("probe") + 1
+    )
+
+
+def probes_needed(queries: DataFrame, items: DataFrame, k: int, tables: int, bits: int, recall: float, audit: int) -> DataFrame:
+    """One row, ``probes``: how many buckets per table an audited query visits
+    until ``recall`` of the true neighbours of all audited ones are met.
+    NULL without true neighbours, and if so many probes don't exist.
+
+    Audited are the first ``audit`` queries by the md5 of their id, against
+    exact search: their pairs with neighbours are few enough to be broadcast.
+    """
+    buckets, probes = make_hasher(tables, bits)
+    audited = queries.where(F.col("vector").isNotNull()).orderBy(F.md5("query_id"), "query_id").limit(audit)
+    pairs = nearest(audited, items, k, "cosine").select("query_id", "item_id")
+    homes = _hashed(items, buckets).select("item_id", "band", "cell").join(F.broadcast(pairs), "item_id")
+    tried = _probing(audited, probes).select("query_id", "band", "cell", "probe")
+    met = homes.join(tried, ["query_id", "band", "cell"]).groupBy("query_id", "item_id").agg(F.min("probe").alias("probe"))
+    needed = pairs.join(met, ["query_id", "item_id"], "left").agg(
+        F.sort_array(F.collect_list(F.coalesce("probe", F.lit(1 << 30)))).alias("all")
+    )
+    enough = F.ceil(F.size("all") * F.lit(recall)).cast("int")
+    worst = F.when(F.size("all") > 0, F.element_at("all", F.greatest(enough, F.lit(1))))
+    return needed.select(F.when(worst < 1 << 30, worst).alias("probes"))
+
+
+def nearest_lsh(
+    queries: DataFrame,
+    items: DataFrame,
+    k: int,
+    tables: int = LSH_TABLES,
+    bits: int = LSH_BITS,
+    recall: float = RECALL,
+    audit: int = AUDIT,
+) -> DataFrame:
+    """Approximate top-k by cosine: only items in buckets that the query
+    visits are scored, exactly.
+
+    Each of ``tables`` hash tables is visited at its likeliest buckets, as
+    many as an audit of ``audit`` queries against exact search needs to meet
+    ``recall`` of their neighbours. If no number of probes is enough, and for
+    queries whose buckets hold fewer than k items, all items are searched: a
+    query has k hits unless there are fewer items. More bits score less: to
+    keep buckets of one size, add a bit each time the items double. A crowded
+    bucket is split like any cell.
+    """
+    queries = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
+    items = items.select("item_id", "vector")
+    buckets, probes = make_hasher(tables, bits)
+    visited = probes_needed(queries, items, k, tables, bits, recall, audit).first().probes or 0
     found = _blocked(
-        spread(queries.select("query_id", "vector")),
-        spread(items.select("item_id", "vector")),
+        _probing(queries, probes).where(F.col("probe") <= visited).drop("probe"),
+        _hashed(items, buckets),
         ("band", "cell"),
         make_scorer("cosine", k, None),
     )
-    return best(found.dropDuplicates(["query_id", "item_id"]), k)
+    close = _written(best(found.dropDuplicates(["query_id", "item_id"]), k), "bucket-hits")
+    served = close.where(F.col("rank") == k).select("query_id")
+    short = queries.join(served, "query_id", "left_anti")
+    full = close.join(served, "query_id", "left_semi")
+    return full.unionByName(nearest(short, items, k, "cosine")) if short.limit(1).count() else full

@@ -65,6 +65,12 @@ def knn_cosine(v: SampleViews) -> DataFrame:
     return _knn(v, "cosine", "cosine")
 
 
+def knn_pivots(v: SampleViews) -> DataFrame:
+    """The same as knn_l2, searched by cells around pivots as very large tables are."""
+    found = nearest.nearest_by_pivots(_vector_queries(v), _items(v), KNN, "l2", pivots=32)
+    return found.select("query_id", "rank", F.col("item_id").alias("business_id"), F.round("l2", 6).alias("l2"))
+
+
 def knn_lsh(v: SampleViews) -> DataFrame:
     found = nearest.nearest_lsh(_vector_queries(v), _items(v), KNN)
     return found.select("query_id", "rank", F.col("item_id").alias("business_id"), F.round("cosine", 6).alias("cosine"))

@@ -55,6 +55,7 @@ PLANS: tuple[Callable[[SampleViews], DataFrame], ...] = (
     recommend.knn_l2,
     recommend.knn_ip,
     recommend.knn_cosine,
+    recommend.knn_pivots,
     recommend.knn_lsh,
     recommend.search_cli,
     recommend.search_form,
