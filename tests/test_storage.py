@@ -98,17 +98,71 @@ def test_file_stream_lands_each_file_once(spark, tmp_path):
         assert writers.read_table(spark, table).count() == number
 
 
-def test_streamed_reactions_equal_the_batch(spark, tmp_path):
-    log, results = random_log(9, 12)
-    messages, found = tables(spark, log, results)
-    # three files that arrive one after the other, each message after the earlier ones
-    source = f"{tmp_path}/in"
-    table, mark = f"{tmp_path}/table", f"{tmp_path}/mark"
-    for low, high in ((0, 30), (30, 60), (60, 10**9)):
+def streamed(spark, folder, messages, found, business, bounds):
+    """One file per range of turns, each taken before the next arrives."""
+    source = f"{folder}/in"
+    for low, high in bounds:
         messages.filter((F.col("turn") >= low) & (F.col("turn") < high)).coalesce(1).write.mode("append").parquet(source)
-        arriving = ingest.file_stream(spark, source, messages.schema, "parquet")
-        feedback.keep_reactions(feedback.reactions(arriving, found), table, mark)
-    kept = writers.read_table(spark, table)
-    key = lambda r: (r["conv_id"], r["turn"], r["feedback"], r["business_id"])
-    want = C.last_item(C.cursor(messages, found), found).select("conv_id", "turn", "feedback", "business_id")
-    assert sorted(map(key, kept.collect())) == sorted(map(key, want.collect()))
+        running = feedback.Feedback(spark, f"{folder}/feedback", found, business)
+        feedback.follow(ingest.file_stream(spark, source, messages.schema, "parquet"), running)
+    return running
+
+
+def rows_of(df, *columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+REACTION = ("conv_id", "turn", "feedback", "business_id")
+SETS = ("user_id", "liked", "disliked")
+
+
+@pytest.fixture(scope="module")
+def log(spark):
+    messages, found = tables(spark, *random_log(9, 12))
+    tags = F.concat_ws(", ", F.lit("Food"), F.col("business_id"), F.substring("business_id", -1, 1))
+    return messages, found, found.select("business_id").distinct().withColumn("categories", tags)
+
+
+def test_streamed_feedback_equals_the_batch(spark, tmp_path, monkeypatch, log):
+    messages, found, business = log
+    monkeypatch.setattr(feedback, "WHOLE_EVERY", 2)  # a table of all keys is written on the way
+    running = streamed(spark, tmp_path, messages, found, business, ((0, 15), (15, 30), (30, 45), (45, 60), (60, 10**9)))
+    want = C.last_item(C.cursor(messages, found), found)
+    assert rows_of(running.reactions(), *REACTION) == rows_of(want, *REACTION)
+    sets = C.category_sets(C.category_feedback(want, business))
+    assert rows_of(running.preferences(), *SETS) == rows_of(sets, *SETS)
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path, log):
+    messages, found, business = log
+    running = feedback.Feedback(spark, str(tmp_path), found, business)
+    parts = [messages.filter("turn < 20"), messages.filter("turn >= 20 and turn < 50"), messages.filter("turn >= 50")]
+    for number, part in enumerate(parts):
+        running.take(part, number)
+    before = rows_of(running.reactions(), *REACTION), rows_of(running.preferences(), *SETS)
+    standing = sorted(map(tuple, running.standing.before(3).collect()))
+    running.take(parts[2], 2)
+    assert (rows_of(running.reactions(), *REACTION), rows_of(running.preferences(), *SETS)) == before
+    assert sorted(map(tuple, running.standing.before(3).collect())) == standing
+    # Nothing arrives: nobody's rows change.
+    running.take(messages.limit(0), 3)
+    assert (rows_of(running.reactions(), *REACTION), rows_of(running.preferences(), *SETS)) == before
+
+
+def test_a_streamed_conversation_is_spread_over_stretches(spark, tmp_path, log):
+    messages, found, business = log
+    running = feedback.Feedback(spark, str(tmp_path), found, business)
+    moves = C.cursor(messages, found, running.standing.before(0))
+    text = moves._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__key" in text and "Python" not in text and "InPandas" not in text
+
+
+def test_latest_rows_read_only_earlier_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feedback, "WHOLE_EVERY", 3)
+    table = feedback.LatestRows(spark, str(tmp_path), "k", "k string, v long")
+    for number in range(7):
+        table.write(number, spark.createDataFrame([("a", number), (f"b{number}", number)], "k string, v long"))
+    found = dict(tuple(r) for r in table.before(5).collect())
+    assert found == {"a": 4, **{f"b{n}": n for n in range(5)}}
+    assert table.before(0).count() == 0 and table.before(7).count() == 8
+    assert feedback.LatestRows(spark, str(tmp_path), "k", "k string, v long").before(7).count() == 8

@@ -47,7 +47,7 @@ def classify(messages: DataFrame, **phrases) -> DataFrame:
     )
 
 
-def cursor(messages: DataFrame, results: DataFrame) -> DataFrame:
+def cursor(messages: DataFrame, results: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     """Where each user message leaves the conversation.
 
     Adds ``action`` and the shown item as (``shown_turn``, ``shown_rank``):
@@ -57,6 +57,10 @@ def cursor(messages: DataFrame, results: DataFrame) -> DataFrame:
     * A positive message before anything was found runs as a search.
     * A search with hits starts a list at rank 1, one without changes nothing.
     * A negative message moves one rank on; past the end it is ``no_more``.
+
+    ``carried`` says where earlier messages left a conversation, one row each:
+    conv_id, list_turn, list_size, used (how many negative messages followed
+    the list). With it, the last two are added to what is returned.
     """
     n_results = results.groupBy("conv_id", "turn").agg(F.count("*").alias("n_results"))
     told = classify(messages).join(n_results, ["conv_id", "turn"], "left")
@@ -65,8 +69,11 @@ def cursor(messages: DataFrame, results: DataFrame) -> DataFrame:
     # A negative message never starts a list, so the first message that can
     # start one does: until then every positive message runs as a search.
     can_start = F.col("feedback").isin("search", "positive") & (F.col("n_results") > 0)
+    if carried is not None:
+        told = told.join(carried, "conv_id", "left")
+    nothing_before = F.lit(True) if carried is None else F.col("list_turn").isNull()
     is_search = (F.col("feedback") == "search") | (
-        (F.col("feedback") == "positive") & (F.col("seen") - can_start.cast("int") == 0)
+        (F.col("feedback") == "positive") & (F.col("seen") - can_start.cast("int") == 0) & nothing_before
     )
     starts = is_search & (F.col("n_results") > 0)
     told = running(
@@ -84,6 +91,9 @@ def cursor(messages: DataFrame, results: DataFrame) -> DataFrame:
         },
     )
     told = told.withColumns({"is_search": is_search, "starts": starts})
+    if carried is not None:
+        before_all = F.struct(F.col("list_turn").alias("turn"), F.col("list_size").alias("size"), (-F.col("used")).alias("noes"))
+        told = told.withColumn("list", F.coalesce("list", F.when(F.col("list_turn").isNotNull(), before_all)))
     is_no = F.col("feedback") == "negative"
     used = F.col("noes") - F.col("list.noes")
     size = F.col("list.size")
@@ -105,6 +115,7 @@ def cursor(messages: DataFrame, results: DataFrame) -> DataFrame:
         F.when(has_list, F.least(used + 1, size)).cast("int").alias("shown_rank"),
         F.when(reacts, F.col("list.turn")).alias("before_turn"),
         F.when(reacts, before).cast("int").alias("before_rank"),
+        *([] if carried is None else [size.alias("list_size"), F.least(used, size).alias("used")]),
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.semistructured import text_to_vector
-from waymark.operators import conversation as C
 from waymark.operators.embed import DIM
 from waymark.plans import recommend
 from waymark.plans.curation import engineered
@@ -131,7 +130,6 @@ def stream_liked(v: SampleViews) -> DataFrame:
         "conversations.parquet",
         bytes_per_trigger=feedback.BATCH_BYTES,
     )
-    reacted = feedback.reactions(_project(arriving, CHAT), v.results())
-    feedback.keep_reactions(reacted, f"{base}/table", f"{base}/checkpoint")
-    kept = writers.read_table(v.spark, f"{base}/table").drop("batch").distinct()
-    return C.category_sets(C.category_feedback(kept, v.business()))
+    running = feedback.Feedback(v.spark, base, v.results(), v.business().select("business_id", "categories"))
+    feedback.follow(_project(arriving, CHAT), running)
+    return running.preferences()
