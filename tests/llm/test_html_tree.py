@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from waymark.llm import html_tree
 from waymark.llm.shared import table
 
@@ -16,6 +18,10 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head>
 <footer>&copy; site</footer></body></html>"""
 
 
+# Their content is text for the parser, to the end tag or the end of the page.
+RAW = {"script", "style", "textarea", "title", "iframe"}
+
+
 def extracted(spark, rows):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     return {r.page_id: r for r in html_tree.extract(pages).collect()}
@@ -87,6 +93,47 @@ def test_a_head_left_open_ends_where_the_body_starts():
         assert [text for _, text in html_tree.parse(page)[0]] == ["Text"], page
 
 
+def texts(page):
+    return [text for _, text in html_tree.parse(page)[0]]
+
+
+@pytest.mark.parametrize("tag", sorted(html_tree.SKIP - {"head"}))
+def test_skipped_elements_in_every_form(tag):
+    """Closed, closed by a slash, and left open: nothing but their own text goes."""
+    assert texts(f"<p>One</p><{tag}>no</{tag}><p>Two</p>") == ["One", "Two"]
+    assert texts(f"<p>One</p><{tag} id='x'/><p>Two</p>") == ["One", "Two"]
+    assert texts(f"<div><p>One <{tag}/> more</p><{tag}/></div><p>Two") == ["One more", "Two"]
+    if tag not in RAW:
+        assert texts(f"<div><p>One</p><div><{tag}>no</div><p>Two</p></div>") == ["One", "Two"]
+        if tag not in html_tree.FOREIGN:  # those a block of the page ends, as in browsers
+            assert texts(f"<div><{tag}><div>no</div><b>no</b></{tag}><p>Two</p></div>") == ["Two"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<svg><svg/></svg><p>Two",
+        "<svg><path d=1/><g><circle/></g></svg><p>Two",
+        "<svg width=1><path><p>Two</p>",
+        "<math><mi>x</mi><p>Two</p>",
+        "<svg><foreignObject><div>no</div></foreignObject></svg><p>Two",
+        "<button>no<p>Two</p>",
+        "<button><div>no</div></button><p>Two</p>",
+        "<option>no<p>Two</p>",
+        "<select><option>no<option>no</select><p>Two</p>",
+        "<noscript><p>no</p><div>no</div></noscript><p>Two</p>",
+        "<video><source src=x><p>no</p></video><p>Two</p>",
+    ],
+)
+def test_elements_within_skipped_ones(page):
+    assert texts(f"<p>One</p>{page}") == ["One", "Two"]
+
+
+def test_an_icon_above_the_article(spark):
+    got = extracted(spark, [(1, "http://icon.example/1", "<body><div><svg width='1'/><article><p>Text</p></article></div>")])
+    assert got[1].text == "Text"
+
+
 def test_a_page_without_head_end_keeps_its_text(spark):
     got = extracted(spark, [(1, "http://d.example/1", "<html><head><title>x</title><body><p>Text")])
     assert got[1].text == "Text"

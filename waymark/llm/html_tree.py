@@ -23,6 +23,7 @@ task before the shuffle, so a host with a third of all pages is no problem.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from html.parser import HTMLParser
@@ -51,6 +52,14 @@ SKIP = frozenset(
 # What can stand in a head; anything else ends one that was left open.
 HEAD = frozenset("html head title style script noscript noframes template base basefont bgsound link meta".split())
 HEAD_HIDDEN = frozenset("title style script noscript noframes template".split())
+# Elements of other languages: a slash closes them, and a block of the page ends them.
+FOREIGN = frozenset("svg math".split())
+FOREIGN_TEXT = frozenset("foreignobject desc title annotation-xml".split())
+# Controls hold no such blocks: one that starts in them shows that they were left open.
+CONTROLS = frozenset("button select option datalist".split())
+PAGE_BLOCK = frozenset(
+    "address article aside blockquote body dl figure footer form h1 h2 h3 h4 h5 h6 header main nav ol p pre section table ul".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 LIST_BOUNDS = frozenset("ul ol dl table article section div nav menu".split())
@@ -73,6 +82,7 @@ BESIDE = frozenset(
 MAIN = "article|main"
 _AWAY_PATH = rf"!(/|$)|(^|/)({AWAY_TAGS})\."
 _AWAY = re.compile(_AWAY_PATH)
+_END_TAG = re.compile(r"</([a-z]+)")
 _NAME = re.compile(r"[^a-z_-]+")
 
 
@@ -100,8 +110,10 @@ class _Page(HTMLParser):
     """The blocks of text of a page with their element paths, and the child
     tags of every element."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
+        # How many end tags of skipped elements are still to come.
+        self._ends = Counter(_END_TAG.findall(html.lower()))
         self.blocks: list[tuple[tuple[_Element, ...], str]] = []
         self.shapes: list[tuple[tuple[_Element, ...], str]] = []
         self._open: list[_Element] = []
@@ -123,17 +135,27 @@ class _Page(HTMLParser):
             self.shapes.append((tuple(self._open), " ".join(self._tags.pop())))
             self._open.pop()
 
-    def handle_starttag(self, tag, attrs):
+    def _left_open(self, tag: str) -> bool:
+        """Whether a start tag shows that the skipped element before it was never closed."""
+        if self._skip[0] in FOREIGN:
+            return tag in BLOCK and not any(inner in FOREIGN_TEXT for inner in self._skip)
+        return self._skip[0] in CONTROLS and tag in PAGE_BLOCK and not any(inner in BLOCK for inner in self._skip)
+
+    def handle_starttag(self, tag, attrs, closed=False):
         if self._skip[:1] == ["head"] and (tag == "body" or len(self._skip) == 1 and tag not in HEAD):
             self._skip.clear()
+        if self._skip and self._left_open(tag):
+            self._skip.clear()
         if self._skip:
-            if tag == self._skip[-1] and tag not in VOID or self._skip == ["head"] and tag in HEAD_HIDDEN:
+            if not closed and tag not in VOID and (self._skip != ["head"] or tag in HEAD_HIDDEN):
                 self._skip.append(tag)
             return
         if tag in SKIP:
             if tag != "head":
                 self._note(tag)
-            self._skip.append(tag)
+            # Of others the slash means nothing, but then an end tag is to come.
+            if not closed or tag not in FOREIGN and self._ends[tag]:
+                self._skip.append(tag)
             return
         self._note(tag)
         role = " ".join(value or "" for name, value in attrs if name in ("class", "id", "role")).lower()
@@ -161,15 +183,18 @@ class _Page(HTMLParser):
         self._tags.append([])
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs, True)
 
     def handle_endtag(self, tag):
+        self._ends[tag] -= 1
         if self._skip:
-            if tag == self._skip[-1]:
-                self._skip.pop()
-            elif tag == "head":
-                self._skip.clear()
-            return
+            if tag in self._skip:
+                while self._skip.pop() != tag:
+                    pass
+                return
+            if not any(element.tag == tag for element in self._open):
+                return
+            self._skip.clear()  # its parent ends here
         for at in reversed(range(len(self._open))):
             if self._open[at].tag == tag:
                 self._close(at)
@@ -221,7 +246,7 @@ class _Page(HTMLParser):
 def parse(html: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     """(path, text) of the blocks and (path, child tags) of the elements.
     Whatever is left open at the end is closed there."""
-    page = _Page()
+    page = _Page(html)
     page.feed(html)
     page.finish()
     return [(_path(elements), text) for elements, text in page.blocks], [(_path(elements), tags) for elements, tags in page.shapes]
