@@ -483,6 +483,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "liked_categories": w("SELECT * FROM liked"),
         "prefs_upsert": w(
+            "SELECT u.user_id, u.name, coalesce(nullif(l.liked, ''), u.categories) AS categories "
+            "FROM usr u LEFT JOIN (SELECT * FROM liked WHERE liked <> '') l ON l.user_id = u.user_id"
+        ),
+        "prefs_register": w(
             "SELECT coalesce(u.user_id, l.user_id) AS user_id, u.name, coalesce(nullif(l.liked, ''), u.categories) "
             "AS categories FROM usr u FULL JOIN (SELECT * FROM liked WHERE liked <> '') l ON l.user_id = u.user_id"
         ),

@@ -60,15 +60,24 @@ def liked_from_search(v: SampleViews) -> DataFrame:
     return C.category_sets(C.category_feedback(reacted, v.business()))
 
 
-def prefs_upsert(v: SampleViews) -> DataFrame:
-    """The stored preference table, laid over with what was liked, read back."""
-    path = work_dir(v.spark, "preferences")
+def _stored_preferences(v: SampleViews, label: str, add_users: bool) -> DataFrame:
+    path = work_dir(v.spark, label)
     writers.replace_table(v.user().select("user_id", "name", "categories"), path)
     stored = writers.read_table(v.spark, path)
-    writers.replace_table(preferences.store_liked(stored, _liked(v), add_users=True), path)
+    writers.replace_table(preferences.store_liked(stored, _liked(v), add_users=add_users), path)
     return writers.read_table(v.spark, path)
 
 
+def prefs_upsert(v: SampleViews) -> DataFrame:
+    """The stored preference table, laid over with what was liked, read back."""
+    return _stored_preferences(v, "preferences", add_users=False)
+
+
+def prefs_register(v: SampleViews) -> DataFrame:
+    """The same with a row for everyone who liked something and is not in the table."""
+    return _stored_preferences(v, "registered", add_users=True)
+
+
 def intent(v: SampleViews) -> DataFrame:
     asked = v.chat().filter("role = 'user'").select("conv_id", "turn", F.col("wish").alias("text"))
     return I.intent(asked, cohort.vocabulary(v.business()))

@@ -80,6 +80,7 @@ PLANS: tuple[Callable[[SampleViews], DataFrame], ...] = (
     dialogue.liked_categories,
     dialogue.liked_from_search,
     dialogue.prefs_upsert,
+    dialogue.prefs_register,
     dialogue.intent,
     dialogue.place_mentions,
     dialogue.itinerary_legs,
