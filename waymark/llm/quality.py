@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
-Every rule rejects documents whose statistic is above a cutoff. Labelled good
-documents say how often a cutoff would reject wrongly; a cutoff may only be
-used where an exact binomial test shows, for its stratum (language), that the
-share of good documents it rejects stays below the rule's part of the allowed
-risk. All cutoffs of all rules and strata are tested, so the error of the
-tests is divided by their number (Bonferroni). Of the cutoffs allowed, each
-rule takes the one that separates the labels best; where none is allowed, the
-rule does nothing.
+Every rule rejects documents whose statistic is above a cutoff. Labelled
+documents are dealt into two parts. On the first, the cutoffs of all rules of
+a stratum (language) are put in an order: those that reject many bad documents
+for each good one come first. On the second, held out, the documents rejected
+by any cutoff up to a place in that order are counted together, and an exact
+binomial test says whether their share of the good documents may be above the
+risk. The tests go along the order and stop at the first that fails, so they
+need no correction among themselves (fixed sequence); the error is divided by
+the number of strata (Bonferroni). All cutoffs before the stop are used.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.shared import materialize, only
@@ -28,7 +29,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 RISK = 0.02  # share of good documents that all rules together may reject, per stratum
-ERROR = 0.05  # probability that any of the certified cutoffs breaks its bound
+ERROR = 0.05  # probability that any stratum breaks that bound
+WORTH = 10.0  # a cutoff is tried if it rejects so many times the share of bad documents as of good ones
 
 COUNTS = (
     "n_words",
@@ -147,47 +149,80 @@ def binomial_below(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """stratum, rule, cutoff: what each stratum may reject by.
-
-    `labels`: doc_id and quality (1 good, 0 bad; others and NULL are left
-    out). Documents that fail the base rules are rejected anyway and say
-    nothing here. The table has a row per stratum, rule and cutoff at most.
-    """
-    known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
-    tested = rules()
-    statistics = F.array(
+def _tests() -> Column:
+    """All cutoffs of all rules, each with whether the document is over it."""
+    return F.array(
         *(
             F.struct(F.lit(name).alias("rule"), F.lit(cut).alias("cutoff"), (statistic > cut).alias("over"))
-            for name, (statistic, cuts) in tested.items()
+            for name, (statistic, cuts) in rules().items()
             for cut in cuts
         )
     )
-    rows = measured.where(~base_failed()).join(known, "doc_id").select(
-        F.coalesce("stratum", F.lit("")).alias("stratum"), "quality", F.explode(statistics).alias("test")
-    )
+
+
+def tried_in_order(picking: DataFrame, worth: float) -> DataFrame:
+    """stratum, rule, cutoff, place: the cutoffs worth trying, from 1 on. Rows
+    of strata: at most one per cutoff."""
     good, over = F.col("quality") == 1, F.col("test.over")
-    counted = rows.groupBy("stratum", F.col("test.rule").alias("rule"), F.col("test.cutoff").alias("cutoff")).agg(
-        F.sum(good.cast("long")).alias("n_good"),
-        F.sum((good & over).cast("long")).alias("over_good"),
-        F.sum((~good).cast("long")).alias("n_bad"),
-        F.sum((~good & over).cast("long")).alias("over_bad"),
+    counted = (
+        picking.select("stratum", "quality", F.explode(_tests()).alias("test"))
+        .groupBy("stratum", F.col("test.rule").alias("rule"), F.col("test.cutoff").alias("cutoff"))
+        .agg(
+            F.count_if(good).alias("n_good"),
+            F.count_if(good & over).alias("over_good"),
+            F.count_if(~good).alias("n_bad"),
+            F.count_if(~good & over).alias("over_bad"),
+        )
+    )
+    # One more of each: few cases prove little.
+    for_each = (F.col("over_good") + 1) / (F.col("over_bad") + 1)
+    shares = F.col("over_bad") * F.col("n_good") >= worth * F.col("over_good") * F.col("n_bad")
+    order = Window.partitionBy("stratum").orderBy("for_each", F.desc("over_bad"), "rule", F.desc("cutoff"))
+    worthy = counted.where((F.col("over_bad") > 0) & shares).withColumn("for_each", for_each)
+    return worthy.select("stratum", "rule", "cutoff", F.row_number().over(order).alias("place"))
+
+
+def thresholds(
+    measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, worth: float = WORTH
+) -> DataFrame:
+    """stratum, rule, cutoff: what each stratum may reject by.
+
+    `labels`: doc_id and quality (1 good, 0 bad; others and NULL are left
+    out). Documents that fail the base rules are rejected anyway and say
+    nothing here. A document is for picking or for certifying by the hash of
+    its id. The result has a row per stratum and rule at most.
+    """
+    known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
+    rows = measured.where(~base_failed()).join(known, "doc_id").withColumn("stratum", F.coalesce("stratum", F.lit("")))
+    certifies = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    tried = materialize(tried_in_order(rows.where(~certifies), worth), "quality-order")
+    by_stratum = tried.groupBy("stratum").agg(F.collect_list(F.struct("rule", "cutoff", "place")).alias("order"))
+    # Where in the order each good held-out document is first rejected.
+    statistics = F.create_map(*(x for name, (statistic, _) in rules().items() for x in (F.lit(name), statistic)))
+    over = F.filter("order", lambda test: F.col("statistics")[test.rule] > test.cutoff)
+    held = rows.where(certifies & (F.col("quality") == 1)).withColumn("statistics", statistics)
+    first = F.array_min(F.transform(over, lambda test: test.place))
+    counted = held.join(by_stratum, "stratum").groupBy("stratum", first.alias("place")).agg(F.count("*").alias("good"))
+    n_good = counted.groupBy("stratum").agg(F.sum("good").alias("n"))
+    upto = Window.partitionBy("stratum").orderBy("place")
+    tests = (
+        tried.join(counted.where("place is not null"), ["stratum", "place"], "left")
+        .join(n_good, "stratum")
+        .withColumn("k", F.sum(F.coalesce("good", F.lit(0))).over(upto))
     )
-    share = risk / len(tested)
 
     @F.pandas_udf("double")
     def p_value(n: pd.Series, k: pd.Series) -> pd.Series:
-        # Beyond its expectation a count can't speak against the risk; its tail needs no summing.
+        # At its expectation or beyond a count can't speak against the risk; its tail needs no summing.
         return pd.Series(
-            [1.0 if b >= a * share else binomial_below(int(b), int(a), share) for a, b in zip(n, k, strict=True)],
+            [1.0 if b >= a * risk else binomial_below(int(b), int(a), risk) for a, b in zip(n, k, strict=True)],
             dtype=float,
         )
 
-    tests = counted.withColumn("p", p_value("n_good", "over_good"))
-    n_tests = counted.agg(F.count("*")).scalar()
-    gain = F.col("over_bad") / F.greatest("n_bad", F.lit(1)) - F.col("over_good") / F.greatest("n_good", F.lit(1))
-    allowed = tests.where((F.col("p") <= F.lit(error) / n_tests) & (F.col("over_bad") > 0)).withColumn("gain", gain)
-    return allowed.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
+    strata = tried.select(F.greatest(F.count_distinct("stratum"), F.lit(1))).scalar()
+    # k never falls along the order, so all tests before one that passes pass as well.
+    passed = tests.where(p_value("n", "k") <= F.lit(error) / strata)
+    return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
