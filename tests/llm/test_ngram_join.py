@@ -90,6 +90,20 @@ def test_odd_rows(spark, odd, none):
     assert ngram_join.similar_documents(none).count() == 0
 
 
+def test_rows_with_one_id_and_rows_without(spark):
+    """Every row is judged by its own text, whatever its id."""
+    a, b = " ".join(f"a{n}" for n in range(60)), " ".join(f"b{n}" for n in range(60))
+    near_a, near_b = a + " x", b + " y"
+    rows = [(5, a, "s"), (5, b, "s"), (5, b, "s"), (3, near_a, "s"), (9, near_b, "s"), (None, near_b, "s"), (None, "c d e f g", "s"),
+            (None, "c d e f g", "s"), (None, "c d e f g h i", "s"), (None, "", "s")]
+    found = ngram_join.similar_documents(documents(spark, rows), 4, 85, 100, kept=True).collect()
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links, r.kept) for r in found), key=repr)
+    assert got == sorted([
+        (5, 57, 3, 1, False), (5, 57, 5, 2, True), (3, 58, 3, 1, True), (9, 58, 5, 2, False), (None, 58, 5, 2, False),
+        (None, 2, None, 1, True), (None, 2, None, 1, True), (None, 4, None, 0, True), (None, 0, None, 0, True),
+    ], key=repr)
+
+
 def test_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     """Pairs grow with the members, not with their square."""
     sizes = {}

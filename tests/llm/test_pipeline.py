@@ -52,3 +52,10 @@ def test_rows_without_id_or_with_one_id(spark, small):
     rows = documents(spark, [(None, "a b c", "s"), (None, "a b c", "s"), (5, "d e f", "s"), (5, "d e f", "s")])
     left = corpus_pipeline.drop_near_duplicates(spark, rows, small).collect()
     assert sorted(repr(r.doc_id) for r in left) == ["5", "None", "None"]
+
+
+def test_rows_that_repeat_an_id_with_another_text_stay(spark, small):
+    base = " ".join(f"w{n}" for n in range(80))
+    rows = documents(spark, [(5, "a b c", "s"), (5, "d e f", "s"), (5, base, "s"), (4, base + " x", "s"), (6, base, "s")])
+    left = corpus_pipeline.drop_near_duplicates(spark, rows, small).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(4, base + " x"), (5, "a b c"), (5, "d e f")]

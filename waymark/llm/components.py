@@ -1,4 +1,4 @@
-"""Connected components of links between whole-number ids."""
+"""Connected components of links between ids of any type that has an order."""
 
 from __future__ import annotations
 

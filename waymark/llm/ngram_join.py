@@ -73,13 +73,21 @@ def _key(grams: np.ndarray) -> tuple[int, int]:
 
 
 def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    """The texts, and with the id a hash of the text to tell rows that repeat an id apart."""
+    return docs.select(
+        F.col(id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), text_hash(F.col(text)).alias("text_hash")
+    )
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("binary"))
 
 
 def _survey(texts: DataFrame, size: int) -> DataFrame:
     """Rows of two kinds: per document its set's key and size, and per task
     the counts of n-grams by hash bucket, in compressed chunks."""
-    schema = "doc_id long, k1 long, k2 long, n int, chunk int, counts binary"
+    names = ["doc_id", "text_hash", "k1", "k2", "n", "chunk", "counts"]
+    schema = "doc_id long, text_hash long, k1 long, k2 long, n int, chunk int, counts binary"
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.uint32)
@@ -94,23 +102,24 @@ def _survey(texts: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     ids,
+                    batch.column(2),
                     pa.array([k for k, _ in keys], pa.int64()),
                     pa.array([k for _, k in keys], pa.int64()),
                     pa.array(sizes, pa.int32()),
                     pa.nulls(n, pa.int32()),
                     pa.nulls(n, pa.binary()),
                 ],
-                names=["doc_id", "k1", "k2", "n", "chunk", "counts"],
+                names=names,
             )
         chunks = [at for at in range(0, BUCKETS, CHUNK) if counts[at : at + CHUNK].any()]
         n = len(chunks)
         yield pa.RecordBatch.from_arrays(
             [
-                *(pa.nulls(n, kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.int32())),
+                *(pa.nulls(n, kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())),
                 pa.array([at // CHUNK for at in chunks], pa.int32()),
                 pa.array([zlib.compress(counts[at : at + CHUNK].tobytes(), 1) for at in chunks], pa.binary()),
             ],
-            names=["doc_id", "k1", "k2", "n", "chunk", "counts"],
+            names=names,
         )
 
     return texts.mapInArrow(survey, schema)
@@ -294,13 +303,28 @@ def _pair(x: str, y: str) -> list[Column]:
     ]
 
 
+# What a class and a component go by: the first of their rows, those with an id before those without.
+def _first_row() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
+
+
+def _node() -> Column:
+    """The first row of a class; its key keeps classes apart whose texts' hashes are equal."""
+    return F.struct("first.no_id", "first.id", "first.text_hash", "k1", "k2")
+
+
 def _labelled(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    """k1, k2, component of the classes that edges connect."""
-    first = classes.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("rep").alias("a"))
-    second = classes.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("rep").alias("b"))
+    """k1, k2, the component and its first row, of the classes that edges
+    connect. A component goes by a hash here: classes of two that share it
+    would be compared in vain, no more."""
+    first = classes.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), _node().alias("a"))
+    second = classes.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), _node().alias("b"))
     links = edges.join(first, ["a1", "a2"]).join(second, ["b1", "b2"]).select("a", "b")
     found = connected_components(links)
-    return classes.join(found, classes["rep"] == found["node"]).select("k1", "k2", "component")
+    return found.select(
+        "node.k1", "node.k2", F.xxhash64("component").alias("component"),
+        F.struct("component.no_id", "component.id", "component.text_hash").alias("first_of_all"),
+    )
 
 
 def overlaps(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -366,30 +390,31 @@ def similar_documents(
     id: str = "doc_id",
     text: str = "text",
     links: bool = True,
+    kept: bool = False,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of each document; linked are
     documents with den * |intersection| >= num * |union| of their n-gram sets,
     and n_links counts the other documents one is linked with. Without
-    `links` that column is left out, and its work.
-
-    One row per id: rows that repeat an id are one document, and if their
-    texts differ the one with the largest set key stands for it. NULL and
-    wordless texts have an empty set and link with nothing; so does a row
-    without an id, whose component is NULL. An empty table gives no rows;
-    other columns are ignored.
+    `links` that column is left out, and its work. `kept` adds the text's
+    hash (`text_hash`) and whether the document is the one to keep of its
+    component: the one with the smallest id, then hash.
+
+    Rows that repeat an id and its text are one document. Rows that repeat an
+    id with another text are documents of their own, with a result row each;
+    so is every row without an id. A component takes the smallest id of its
+    documents; it is NULL if none has one. NULL and wordless texts have an
+    empty set and link with nothing. An empty table gives no rows; other
+    columns are ignored.
     """
     texts = _texts(docs, id, text)
     surveyed = materialize(_survey(texts, size), "ngram-survey")
     counts = _bucket_counts(surveyed)
-    documents = (
-        surveyed.where("chunk is null")
-        .groupBy("doc_id")
-        .agg(F.max(F.struct("k1", "k2", "n")).alias("s"))
-        .select("doc_id", "s.k1", "s.k2", "s.n")
-    )
+    rows = surveyed.where("chunk is null").select("doc_id", "text_hash", "k1", "k2", "n")
+    # Copies go, but rows without an id, however many, need no place where they meet.
+    documents = rows.where("doc_id is not null").distinct().union(rows.where("doc_id is null"))
     documents = materialize(documents, "ngram-documents")
-    classes = documents.where("doc_id is not null and k1 is not null").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.max("n").alias("n")
+    classes = documents.where("k1 is not null").groupBy("k1", "k2").agg(
+        F.min(_first_row()).alias("first"), F.count("*").alias("size"), F.max("n").alias("n")
     )
 
     # Prefix n-grams that two classes or more share, with the hub of each: the
@@ -417,11 +442,10 @@ def similar_documents(
     labels = _labelled(edges, classes)
 
     # What still lies in different components and shares a prefix n-gram.
-    label = F.coalesce(F.col("component"), F.col("rep"))
+    label = F.coalesce(F.col("component"), F.xxhash64("k1", "k2"))
     rows = (
         shared.drop("hub")
-        .join(classes.drop("size", "n"), ["k1", "k2"])
-        .join(labels, ["k1", "k2"], "left")
+        .join(labels.drop("first_of_all"), ["k1", "k2"], "left")
         .select("gram", "k1", "k2", "n", "pos", label.alias("label"))
     )
     in_label = Window.partitionBy("gram", "label")
@@ -457,14 +481,17 @@ def similar_documents(
     if not more.isEmpty():
         labels = _labelled(edges.union(more), classes)
         sets = sets.union(more_sets)
-    by_class = classes.join(labels, ["k1", "k2"], "left").select("k1", "k2", "size", "n", "component", label.alias("component_id"))
+    of_all = F.coalesce("first_of_all", "first")
+    by_class = classes.join(labels, ["k1", "k2"], "left").select("k1", "k2", "size", "n", "component", of_all.alias("of_all"))
     result = [
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.coalesce(F.when(~F.col("of_all.no_id"), F.col("of_all.id")), F.col("doc_id")).alias("component_id"),
     ]
+    if kept:
+        result += ["text_hash", (F.col("of_all").isNull() | (F.col("of_all") == _first_row())).alias("kept")]
     if not links:
-        return documents.join(by_class.select("k1", "k2", "component_id"), ["k1", "k2"], "left").select(*result)
+        return documents.join(by_class.select("k1", "k2", "of_all"), ["k1", "k2"], "left").select(*result)
 
     # Two classes in a component are linked; of more, not all need be.
     by_class = materialize(by_class, "ngram-classes")
@@ -473,6 +500,6 @@ def similar_documents(
     pairs = placed.groupBy("component").agg(F.count("*").alias("classes"), F.sum("size").alias("docs")).where("classes = 2")
     by_class = by_class.join(counted, ["k1", "k2"], "left").join(pairs, "component", "left")
     others = F.coalesce(F.col("links"), F.col("docs") - F.col("size"), F.lit(0))
-    by_class = by_class.select("k1", "k2", "component_id", (F.col("size") - 1 + others).alias("n_links"))
-    n_links = F.when(F.col("doc_id").isNotNull(), F.col("n_links"))
-    return documents.join(by_class, ["k1", "k2"], "left").select(*result, F.coalesce(n_links, F.lit(0)).cast("long").alias("n_links"))
+    by_class = by_class.select("k1", "k2", "of_all", (F.col("size") - 1 + others).alias("n_links"))
+    n_links = F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    return documents.join(by_class, ["k1", "k2"], "left").select(*result, n_links)
