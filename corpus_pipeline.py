@@ -24,15 +24,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of documents
-    linked by a Jaccard similarity of 0.8 of their five-word n-grams. Of rows
-    that repeat an id one stays; rows without an id are kept."""
-    found = ngram_join.similar_documents(docs, size=5, num=4, den=5, links=False)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    rest = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    # Rows without an id are told apart by their text, so that they do not gather in one place.
-    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
+    linked by a Jaccard similarity of 0.8 of their five-word n-grams. Rows that
+    repeat an id and its text are copies, of which one stays; rows that repeat
+    an id with another text are judged on their own. Rows without an id are
+    kept."""
+    found = ngram_join.similar_documents(docs, size=5, num=4, den=5, links=False, kept=True)
+    gone = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash"))
+    hashed = docs.withColumn("__text", ngram_join.text_hash(F.col("text")))
+    rest = hashed.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__text") == F.col("__hash")), "left_anti")
+    # Ties beyond the text go by all that is left, so that reruns keep the same row.
+    same = Window.partitionBy("doc_id", "__text").orderBy(*(F.xxhash64(docs[name]) for name in docs.columns if name != "text"))
     numbered = rest.withColumn("__row", F.row_number().over(same))
-    return numbered.where(F.col("doc_id").isNull() | (F.col("__row") == 1)).drop("__row")
+    return numbered.where(F.col("doc_id").isNull() | (F.col("__row") == 1)).drop("__row", "__text")
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
