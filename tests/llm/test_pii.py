@@ -1,6 +1,8 @@
 import re
+import time
 from datetime import date
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -103,11 +105,46 @@ def test_no_planted_value_of_the_documents_survives(spark, small):
             assert value not in re.findall(form, pii.pseudonymise_text(text, FEISTEL)[0])
 
 
+def plain_spans(text):
+    """Each kind in turn; a match that touches one found before is left out."""
+    found = []
+    for kind in pii.KINDS:
+        for match in kind.pattern.finditer(text):
+            if kind.valid(match) and all(match.end() <= begin or end <= match.start() for begin, end, _ in found):
+                found.append((match.start(), match.end(), kind.name))
+    return sorted(found)
+
+
+@given(st.lists(st.sampled_from([*VALUES.values(), " ", "-", "4111", "555-2678", "@a.bc", "10.0.0.1:", "token=", "x"]), max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_spans_equal_plain_search(parts):
+    for text in ("".join(parts), " ".join(parts)):
+        assert [(begin, end, kind.name) for begin, end, kind, _ in pii.spans(text)] == plain_spans(text)
+
+
+def test_a_text_with_very_many_values():
+    days = [date.fromordinal(date(1950, 1, 1).toordinal() + n % 30_000) for n in range(50_000)]
+    text = " ".join(f"{day.isoformat()} a{n}@b.org" for n, day in enumerate(days))
+    began = time.perf_counter()
+    assert len(pii.spans(text)) == 100_000
+    assert time.perf_counter() - began < 20  # every match against every other would take many minutes
+
+
+def test_the_key_comes_from_the_session(spark):
+    spark.conf.set(pii.KEY_SETTING, "of the session")
+    try:
+        assert pii.session_key(spark) == b"of the session"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    with pytest.warns(UserWarning, match="trial key"):
+        assert pii.session_key(spark) == pii.TRIAL_KEY
+
+
 def test_rows_keep_all_columns(spark, odd, none):
     done = pii.pseudonymise(odd, b"k")
     assert done.columns == odd.columns
     assert sorted(map(repr, done.collect())) == sorted(map(repr, odd.collect()))  # nothing private there
-    assert pii.pseudonymise(none).count() == 0
-    found = pii.report(documents(spark, [(1, "call +1 (736) 555-2678", "s"), (2, None, "s")])).collect()
+    assert pii.pseudonymise(none, b"k").count() == 0
+    found = pii.report(documents(spark, [(1, "call +1 (736) 555-2678", "s"), (2, None, "s")]), b"k").collect()
     assert [(r.doc_id, r.n_found, r.kinds) for r in found] == [(1, 1, "phone"), (2, 0, "")]
     assert found[1].text is None

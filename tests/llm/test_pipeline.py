@@ -25,7 +25,7 @@ def test_stages_equal_their_operators(spark, small):
     assert sorted(r.doc_id for r in single.collect()) == sorted(set(groups.values()))
 
     private = materialize(corpus_pipeline.pseudonymise(spark, single, small), "test")
-    feistel = pii.Feistel(pii.DEFAULT_KEY)
+    feistel = pii.Feistel(pii.session_key(spark))
     before = {r.doc_id: r.text for r in single.collect()}
     assert private.columns == names
     for row in private.collect():

@@ -11,6 +11,7 @@ different ones stay different, and whoever holds the key can turn them back.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date
@@ -18,13 +19,15 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.shared import only
 
 ROUNDS = 10
-DEFAULT_KEY = b"replace this key by your own"
+# The session setting that holds the key, and the key for trials without one: whoever reads this can turn its pseudonyms back.
+KEY_SETTING = "spark.waymark.pii.key"
+TRIAL_KEY = b"replace this key by your own"
 
 _LOWER, _UPPER, _DIGIT, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 _FIRST_DAY, _LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
@@ -302,10 +305,18 @@ def spans(text: str) -> list[tuple[int, int, Kind, re.Match]]:
         return []
     found: list[tuple[int, int, Kind, re.Match]] = []
     for kind in KINDS:
+        merged, at = [], 0
         for match in kind.pattern.finditer(text):
-            if kind.valid(match) and all(match.end() <= begin or end <= match.start() for begin, end, _, _ in found):
-                found.append((match.start(), match.end(), kind, match))
-    return sorted(found, key=lambda span: span[0])
+            if not kind.valid(match):
+                continue
+            # Both lists go left to right and overlap nowhere: one sweep per kind.
+            while at < len(found) and found[at][1] <= match.start():
+                merged.append(found[at])
+                at += 1
+            if at == len(found) or match.end() <= found[at][0]:
+                merged.append((match.start(), match.end(), kind, match))
+        found = merged + found[at:]
+    return found
 
 
 def pseudonymise_text(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[str]]:
@@ -319,12 +330,20 @@ def pseudonymise_text(text: str, feistel: Feistel, back: bool = False) -> tuple[
     return "".join([*parts, text[at:]]), kinds
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key the session names; without one the trial key, with a warning."""
+    if key := spark.conf.get(KEY_SETTING, None):
+        return key.encode()
+    warnings.warn(f"{KEY_SETTING} is not set: pseudonyms use the published trial key", stacklevel=2)
+    return TRIAL_KEY
+
+
 @lru_cache(maxsize=4)
 def _feistel(key: bytes) -> Feistel:
     return Feistel(key)
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text", found: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", found: str | None = None) -> DataFrame:
     """All columns of `docs` with the text pseudonymised; `found` names a new
     column for the kinds replaced, in order of place.
 
@@ -353,7 +372,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text",
     return docs.mapInArrow(rewrite, schema)
 
 
-def report(docs: DataFrame, key: bytes = DEFAULT_KEY, id: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, key: bytes, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text (pseudonymised), n_found, kinds (distinct, sorted, comma-joined)."""
     done = pseudonymise(only(docs, doc_id=id, text=text), key, found="kinds")
     return done.select(

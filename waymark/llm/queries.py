@@ -44,7 +44,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
