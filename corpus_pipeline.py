@@ -40,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for personal data; `n_chars` follows the text."""
-    done = pii.pseudonymise(docs)
+    done = pii.pseudonymise(docs, pii.session_key(spark))
     if "n_chars" in done.columns:
         done = done.withColumn("n_chars", F.coalesce(F.length("text").cast(done.schema["n_chars"].dataType), "n_chars"))
     return done
