@@ -72,11 +72,10 @@ def _key(grams: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """The texts, and with the id a hash of the text to tell rows that repeat an id apart."""
-    return docs.select(
-        F.col(id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), text_hash(F.col(text)).alias("text_hash")
-    )
+def _texts(docs: DataFrame, id: str, text: str, hashed: bool) -> DataFrame:
+    """The texts with their ids, and if asked for a hash that tells rows of one id apart."""
+    told = text_hash(F.col(text)) if hashed else F.lit(None).cast("long")
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), told.alias("text_hash"))
 
 
 def text_hash(text: Column) -> Column:
@@ -303,28 +302,24 @@ def _pair(x: str, y: str) -> list[Column]:
     ]
 
 
-# What a class and a component go by: the first of their rows, those with an id before those without.
 def _first_row() -> Column:
+    """For the first row of a class or component: those with an id before those without."""
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
 
 
-def _node() -> Column:
-    """The first row of a class; its key keeps classes apart whose texts' hashes are equal."""
-    return F.struct("first.no_id", "first.id", "first.text_hash", "k1", "k2")
-
-
 def _labelled(edges: DataFrame, classes: DataFrame) -> DataFrame:
     """k1, k2, the component and its first row, of the classes that edges
-    connect. A component goes by a hash here: classes of two that share it
-    would be compared in vain, no more."""
-    first = classes.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), _node().alias("a"))
-    second = classes.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), _node().alias("b"))
+    connect. These are numbered first, so that components are found on one
+    number per class."""
+    ends = edges.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(edges.select("b1", "b2")).distinct()
+    members = classes.join(ends, ["k1", "k2"], "left_semi").select("k1", "k2", "first")
+    members = materialize(members.withColumn("node", F.monotonically_increasing_id()), "ngram-members")
+    first = members.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("node").alias("a"))
+    second = members.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("node").alias("b"))
     links = edges.join(first, ["a1", "a2"]).join(second, ["b1", "b2"]).select("a", "b")
-    found = connected_components(links)
-    return found.select(
-        "node.k1", "node.k2", F.xxhash64("component").alias("component"),
-        F.struct("component.no_id", "component.id", "component.text_hash").alias("first_of_all"),
-    )
+    labels = members.join(connected_components(links), "node")
+    firsts = labels.groupBy("component").agg(F.min("first").alias("first_of_all"))
+    return materialize(labels.join(firsts, "component").select("k1", "k2", "component", "first_of_all"), "ngram-labels")
 
 
 def overlaps(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -399,22 +394,22 @@ def similar_documents(
     hash (`text_hash`) and whether the document is the one to keep of its
     component: the one with the smallest id, then hash.
 
-    Rows that repeat an id and its text are one document. Rows that repeat an
-    id with another text are documents of their own, with a result row each;
-    so is every row without an id. A component takes the smallest id of its
+    Rows that repeat an id and its set (with `kept`, its text) are one
+    document. Rows that repeat an id with another set are documents of their
+    own, with a result row each; so is every row without an id. A component takes the smallest id of its
     documents; it is NULL if none has one. NULL and wordless texts have an
     empty set and link with nothing. An empty table gives no rows; other
     columns are ignored.
     """
-    texts = _texts(docs, id, text)
+    texts = _texts(docs, id, text, kept)
     surveyed = materialize(_survey(texts, size), "ngram-survey")
     counts = _bucket_counts(surveyed)
-    rows = surveyed.where("chunk is null").select("doc_id", "text_hash", "k1", "k2", "n")
+    rows = surveyed.where("chunk is null").select("doc_id", *(["text_hash"] if kept else []), "k1", "k2", "n")
     # Copies go, but rows without an id, however many, need no place where they meet.
     documents = rows.where("doc_id is not null").distinct().union(rows.where("doc_id is null"))
     documents = materialize(documents, "ngram-documents")
     classes = documents.where("k1 is not null").groupBy("k1", "k2").agg(
-        F.min(_first_row()).alias("first"), F.count("*").alias("size"), F.max("n").alias("n")
+        F.min(_first_row() if kept else F.col("doc_id")).alias("first"), F.count("*").alias("size"), F.max("n").alias("n")
     )
 
     # Prefix n-grams that two classes or more share, with the hub of each: the
@@ -483,11 +478,8 @@ def similar_documents(
         sets = sets.union(more_sets)
     of_all = F.coalesce("first_of_all", "first")
     by_class = classes.join(labels, ["k1", "k2"], "left").select("k1", "k2", "size", "n", "component", of_all.alias("of_all"))
-    result = [
-        "doc_id",
-        F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce(F.when(~F.col("of_all.no_id"), F.col("of_all.id")), F.col("doc_id")).alias("component_id"),
-    ]
+    least = F.when(~F.col("of_all.no_id"), F.col("of_all.id")) if kept else F.col("of_all")
+    result = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce(least, F.col("doc_id")).alias("component_id")]
     if kept:
         result += ["text_hash", (F.col("of_all").isNull() | (F.col("of_all") == _first_row())).alias("kept")]
     if not links:
