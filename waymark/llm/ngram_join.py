@@ -38,6 +38,7 @@ from waymark.llm.shared import materialize
 BUCKETS = 1 << 20
 CHUNK = 1 << 12
 MEMBER_BITS = 1 << 22
+MEETING_BITS = np.uint64(0xFFFF_FFFF_FFFF_0000)
 ROWS_OUT = 100_000
 # Classes and n-grams of a block where the links of a component are counted, columns of a product at a time.
 LINK_CLASSES, LINK_GRAMS, LINK_COLUMNS = 512, 1_000_000, 8_192
@@ -67,8 +68,9 @@ def ngrams(raw: bytes | None, size: int) -> np.ndarray:
 
 
 def _key(grams: np.ndarray) -> tuple[int, int]:
-    """128-bit identity of a set, as two signed numbers."""
-    digest = blake2b(grams.tobytes(), digest_size=16).digest()
+    """96-bit identity of a set, as two signed numbers of 64 and 32 bits: of
+    10^11 sets, some two share one with a chance below 10^-7."""
+    digest = blake2b(grams.tobytes(), digest_size=12).digest()
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
@@ -86,7 +88,7 @@ def _survey(texts: DataFrame, size: int) -> DataFrame:
     """Rows of two kinds: per document its set's key and size, and per task
     the counts of n-grams by hash bucket, in compressed chunks."""
     names = ["doc_id", "text_hash", "k1", "k2", "n", "chunk", "counts"]
-    schema = "doc_id long, text_hash long, k1 long, k2 long, n int, chunk int, counts binary"
+    schema = "doc_id long, text_hash long, k1 long, k2 int, n int, chunk int, counts binary"
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.uint32)
@@ -103,7 +105,7 @@ def _survey(texts: DataFrame, size: int) -> DataFrame:
                     ids,
                     batch.column(2),
                     pa.array([k for k, _ in keys], pa.int64()),
-                    pa.array([k for _, k in keys], pa.int64()),
+                    pa.array([k for _, k in keys], pa.int32()),
                     pa.array(sizes, pa.int32()),
                     pa.nulls(n, pa.int32()),
                     pa.nulls(n, pa.binary()),
@@ -114,7 +116,7 @@ def _survey(texts: DataFrame, size: int) -> DataFrame:
         n = len(chunks)
         yield pa.RecordBatch.from_arrays(
             [
-                *(pa.nulls(n, kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())),
+                *(pa.nulls(n, kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())),
                 pa.array([at // CHUNK for at in chunks], pa.int32()),
                 pa.array([zlib.compress(counts[at : at + CHUNK].tobytes(), 1) for at in chunks], pa.binary()),
             ],
@@ -149,17 +151,19 @@ def _ceil(a: int | np.ndarray, b: int):
 
 def _prefixes(texts: DataFrame, size: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
     """gram, k1, k2, n, pos: the probing prefix of each set, rare first. A task
-    emits equal sets once."""
-    schema = "gram long, k1 long, k2 long, n int, pos int"
+    emits equal sets once. Of a gram's hash the upper 48 bits leave the task:
+    sets may meet on two grams that agree in these, which costs a candidate
+    and never a result, as candidates are verified on whole hashes."""
+    schema = "gram long, k1 long, k2 int, n int, pos int"
     names = ["gram", "k1", "k2", "n", "pos"]
 
     def emit(parts: list[tuple[np.ndarray, tuple[int, int], int]]) -> pa.RecordBatch:
         lengths = [len(prefix) for prefix, _, _ in parts]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([prefix for prefix, _, _ in parts]).view(np.int64)),
+                pa.array((np.concatenate([prefix for prefix, _, _ in parts]) & MEETING_BITS).view(np.int64)),
                 pa.array(np.repeat(np.array([key[0] for _, key, _ in parts], np.int64), lengths)),
-                pa.array(np.repeat(np.array([key[1] for _, key, _ in parts], np.int64), lengths)),
+                pa.array(np.repeat(np.array([key[1] for _, key, _ in parts], np.int32), lengths)),
                 pa.array(np.repeat(np.array([n for _, _, n in parts], np.int32), lengths)),
                 pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])),
             ],
@@ -245,11 +249,11 @@ def _sets(texts: DataFrame, size: int, keys: DataFrame) -> DataFrame:
             if found:
                 k1, k2, packed = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(packed, pa.binary())],
+                    [pa.array(k1, pa.int64()), pa.array(k2, pa.int32()), pa.array(packed, pa.binary())],
                     names=["k1", "k2", "grams"],
                 )
 
-    rows = texts.mapInArrow(sets, "k1 long, k2 long, grams binary").dropDuplicates(["k1", "k2"])
+    rows = texts.mapInArrow(sets, "k1 long, k2 int, grams binary").dropDuplicates(["k1", "k2"])
     return rows.join(keys.distinct(), ["k1", "k2"], "left_semi")
 
 
@@ -288,7 +292,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     right = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("grams").alias("grams_b"))
     joined = pairs.join(right, ["b1", "b2"]).join(left, ["a1", "a2"])
     found = joined.select("a1", "a2", "b1", "b2", "grams_a", "grams_b").mapInArrow(
-        check, "a1 long, a2 long, b1 long, b2 long"
+        check, "a1 long, a2 int, b1 long, b2 int"
     )
     return materialize(found, "ngram-edges"), sets
 
@@ -373,7 +377,7 @@ def _links(sets: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
         .withColumn("high", F.greatest("block", "other"))
         .select("component", "low", "high", "block", "k1", "k2", "size", "grams")
     )
-    counted = rows.groupBy("component", "low", "high").applyInArrow(count, "k1 long, k2 long, links long")
+    counted = rows.groupBy("component", "low", "high").applyInArrow(count, "k1 long, k2 int, links long")
     return counted.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
 
 
