@@ -1,12 +1,16 @@
 """Column expressions on literal rows."""
 
+import ast
+import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, semistructured as S, text as T, vectors as V
 from waymark.functions.typed import number_text, typed_value
+from waymark.operators import attributes
 from waymark.operators.scope import supported_region
 from waymark.operators.search import seeded_between
 
@@ -72,6 +76,84 @@ def test_repair_literal(spark, text, plain, careful):
 def test_literal_object(spark, text, want):
     assert one(spark, S.literal_object(F.col("x")), text) == want
 
+# Literals and what is no literal, as Python's own reader takes them.
+LITERALS = [
+    "{'a': \"it's\"}",
+    r"{'a': 'it\'s', 'b': 'say \"x\"'}",
+    "{'a': {'b': (1, 2,), 'c': [True, None]}, }",
+    "{u'x': u'menu', 'y': .5, 'z': 5., 'q': +7, 'n': -1_000}",
+    r"{'a': 'x\x41é\101\n\\'}",
+    "{'a': 'b' \"c\"}",
+    "{'a': 1} x",
+    "{'a': 1} {'b': 2}",
+    "{'a': 1},{'b': 2}",
+    "{'a': None, 'b': 'None, True, u'}",
+    "{'a' 1}",
+    "{'a': 'tab\there'}",
+    "{'a': 1, , 'b': 2}",
+    "{,}",
+    "{'a': 1 2}",
+    "{'a': 'no end}",
+    "{'a': ''}",
+    "{'k': '" + "y" * 50_000 + "'}",
+    r"{'a': '{\'b\': \'c\'}'}",
+]
+
+
+def _as_literal(text):
+    try:
+        found = ast.literal_eval(text)
+    except (SyntaxError, ValueError):
+        return None
+    return json.loads(json.dumps(found)) if isinstance(found, dict) else None
+
+
+@pytest.mark.parametrize("text", LITERALS)
+def test_literal_json_reads_as_python(spark, text):
+    got = one(spark, S.literal_json(F.col("x")), text)
+    try:
+        got = json.loads(got)
+    except ValueError:
+        got = None
+    assert got == _as_literal(text)
+    members = one(spark, S.literal_object(F.col("x")), text)
+    assert members.keys() == (_as_literal(text) or {}).keys()
+
+
+def test_literal_json_on_many_literals(spark):
+    """Whatever strings, numbers and nestings Python writes are read back."""
+    draw = random.Random(5)
+    letters = "ab '\"\\\n\t{}[]():,uéN"
+
+    def value(depth):
+        kind = draw.randrange(7 if depth else 5)
+        if kind == 0:
+            return draw.choice([True, False, None])
+        if kind == 1:
+            return draw.choice([0, -3, 12, 2.5, -0.25])
+        if kind == 5:
+            return [value(depth - 1) for _ in range(draw.randrange(4))]
+        if kind == 6:
+            return {word(): value(depth - 1) for _ in range(draw.randrange(4))}
+        return word()
+
+    def word():
+        return "".join(draw.choice(letters) for _ in range(draw.randrange(8)))
+
+    wanted = [{word(): value(2) for _ in range(3)} for _ in range(300)]
+    rows = spark.createDataFrame([(at, repr(one)) for at, one in enumerate(wanted)], "i int, x string")
+    for row in rows.select("i", S.literal_json(F.col("x")).alias("j")).collect():
+        assert json.loads(row["j"]) == wanted[row["i"]]
+
+
+def test_nested_attributes_by_literal(spark):
+    eav = spark.createDataFrame(
+        [("b", "Ambience", "{'owner\\'s': True, u'menu': 'None left', 'y': None}")],
+        "business_id string, attribute_name string, attribute_value string",
+    )
+    got = {r["attribute_name"]: r["attribute_value"] for r in attributes.nested(eav, literal=True).collect()}
+    assert got == {"Ambience_owner's": "true", "Ambience_menu": "None left"}
+
 
 @pytest.mark.parametrize("text", [None, "", "None", "[]", "{bad", "7"])
 def test_hours_object_empty(spark, text):

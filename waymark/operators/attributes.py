@@ -34,12 +34,13 @@ def flatten(business: DataFrame, strict: bool = True, states=STATES) -> DataFram
     return rows.select("business_id", F.inline(_members(F.col("attributes"), strict))).toDF(*EAV)
 
 
-def _nested_members(strict: bool, keep_words: bool) -> Column:
+def _nested_members(strict: bool, keep_words: bool, literal: bool) -> Column:
     """The opened dict of an attribute row as an array of (name, value).
 
     Members without a value and the text ``null`` are left out.
     """
-    text = S.repair_literal(F.col("attribute_value"), keep_words)
+    value = F.col("attribute_value")
+    text = S.literal_json(value) if literal else S.repair_literal(value, keep_words)
     kept = F.filter(_members(text, strict), lambda m: m["value"] != "null")
     return F.transform(
         kept,
@@ -50,14 +51,17 @@ def _nested_members(strict: bool, keep_words: bool) -> Column:
     )
 
 
-def nested(eav: DataFrame, strict: bool = True, keep_words: bool = False) -> DataFrame:
+def nested(
+    eav: DataFrame, strict: bool = True, keep_words: bool = False, literal: bool = False
+) -> DataFrame:
     """Members of the values that hold a Python dict, named ``parent_child``.
 
     A value is taken for a dict when it has a comma, so a dict with a single
-    member is not opened.
+    member is not opened. The text is repaired by replacements, quirks
+    included; ``literal`` reads it as Python does.
     """
     dicts = eav.filter(F.col("attribute_value").contains(","))
-    return dicts.select("business_id", F.inline(_nested_members(strict, keep_words)))
+    return dicts.select("business_id", F.inline(_nested_members(strict, keep_words, literal)))
 
 
 def final(eav: DataFrame, strict: bool = True, keep_words: bool = False) -> DataFrame:
@@ -71,7 +75,7 @@ def final(eav: DataFrame, strict: bool = True, keep_words: bool = False) -> Data
     value = F.col("attribute_value")
     tidy = F.replace(F.replace(value, F.lit('""'), F.lit("")), F.lit("u'none'"), F.lit("Invalid"))
     plain = F.array(F.struct("attribute_name", tidy.alias("attribute_value")))
-    rows = F.when(value.contains(","), _nested_members(strict, keep_words)).when(
+    rows = F.when(value.contains(","), _nested_members(strict, keep_words, False)).when(
         tidy != "Invalid", plain
     )
     bare = F.replace(F.replace(value, F.lit("u'"), F.lit("")), F.lit("'"), F.lit(""))
