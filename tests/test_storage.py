@@ -166,3 +166,12 @@ def test_latest_rows_read_only_earlier_batches(spark, tmp_path, monkeypatch):
     assert found == {"a": 4, **{f"b{n}": n for n in range(5)}}
     assert table.before(0).count() == 0 and table.before(7).count() == 8
     assert feedback.LatestRows(spark, str(tmp_path), "k", "k string, v long").before(7).count() == 8
+
+
+def test_csv_files_are_bounded(spark, tmp_path, monkeypatch):
+    """Read with line breaks in cells, a file is one task's: no file holds all rows of a task that wrote."""
+    rows = spark.range(0, 250, 1, 1).selectExpr("id", "concat('a', chr(10), id) AS text")
+    writers.write_report_csv(rows, f"{tmp_path}/c", 100)
+    back = readers.read_csv(spark, f"{tmp_path}/c", rows.schema, multi_line=True)
+    per_file = back.groupBy("_metadata.file_path").count().toPandas()["count"]
+    assert sorted(per_file) == [50, 100, 100] and sorted(back.collect()) == sorted(rows.collect())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from waymark.sources.readers import CSV_OPTIONS
 
 KB_FILE_ROWS = 1_000_000
+CSV_FILE_ROWS = 50_000
 
 
 def replace_table(df: DataFrame, path: str, file_rows: int = 0) -> None:
@@ -49,9 +50,13 @@ def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_report_csv(df: DataFrame, path: str) -> None:
-    """A ranked result as CSV with a header and no row index."""
-    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+def write_report_csv(df: DataFrame, path: str, file_rows: int = CSV_FILE_ROWS) -> None:
+    """A ranked result as CSV with a header and no row index.
+
+    Files split after ``file_rows`` rows: one with line breaks in its cells is
+    read by one task (see ``readers.read_csv``).
+    """
+    df.write.mode("overwrite").options(**CSV_OPTIONS).option("maxRecordsPerFile", file_rows).csv(path)
 
 
 def write_kb(documents: DataFrame, path: str, file_rows: int = KB_FILE_ROWS) -> None:
