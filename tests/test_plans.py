@@ -95,3 +95,18 @@ def test_vectors_move_once(spark, small, name):
     text = plan(spark, small, name)
     shuffles = [x for x in text.splitlines() if "Exchange hashpartitioning(block" in x]
     assert len(shuffles) == 2 and "CartesianProduct" not in text
+
+
+def test_a_small_file_does_not_leave_the_vectors_to_one_task(spark, small):
+    """Rows are spread before the join that brings their vectors."""
+    v = SampleViews(spark, str(small))
+    for df, key in ((v.business_vectors(), "id"), (v.message_queries(), "conv_id"), (v.preference_queries(), "c_custkey")):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in text, key
+
+
+def test_vectors_are_stretched_by_one_factor_per_row(spark, small):
+    """The factor comes from below the join, not anew for every component."""
+    text = SampleViews(spark, str(small)).business_vectors()._jdf.queryExecution().optimizedPlan().toString()
+    stretched = next(line for line in text.splitlines() if "lambdafunction" in line)
+    assert "%" not in stretched.split("lambdafunction")[1]
