@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -7,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from waymark.llm import packing
+from waymark.llm import packing, tokens
 from waymark.llm.shared import table
 from waymark.llm.tokens import encoder
 
@@ -31,6 +32,22 @@ def test_cached_ids_equal_the_tokenizer(whole):
         assert np.frombuffer(encode(text), "<u4").tolist() == wanted, repr(text)
 
 
+def test_remembered_chunks_are_bounded(whole, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_CHUNKS", 1_000)
+    encode = encoder.__wrapped__(VOCABULARY)
+    # Common words between rare ones, in one long text, then chunks of half a megabyte.
+    many = " ".join(f"the {n:x}-ab{n} cat's" for n in range(30_000))
+    assert np.frombuffer(encode(many), "<u4").tolist() == whole.encode(many, add_special_tokens=False).ids
+    tracemalloc.start()
+    for n in range(30_000, 60_000, 10_000):
+        encode(" ".join(f"the {m:x}-ab{m} cat's" for m in range(n, n + 10_000)))
+    for n in range(10):
+        encode(f"{n}" * 500_000)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 5_000_000
+
+
 def check(rows, docs, whole, capacity=4096):
     by_sequence = defaultdict(list)
     for row in rows:

@@ -2,7 +2,8 @@
 
 White space only separates in this vocabulary, so the ids of a text are the
 ids of its chunks in a row. Chunks repeat a lot; each worker keeps a bounded
-cache of them.
+cache of them, in two halves: when the younger one is full it becomes the
+older one, and chunks met again come back from there, so common ones stay.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-CACHED_CHUNKS = 800_000
+# Chunks a worker remembers, and the bytes of the longest of them.
+CACHED_CHUNKS, CACHED_BYTES = 200_000, 64
+# Chunks of a long text that are looked up together.
+STRETCH = 10_000
 
 # The pattern by which the vocabulary splits a chunk, in full and for printable ASCII.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -45,22 +49,33 @@ def encoder(vocabulary: str) -> Callable[[str], bytes]:
     whole = Tokenizer.from_file(public_tokenizers.path(vocabulary))
     model = whole.model
     cache: dict[bytes, bytes] = {}
+    older: dict[bytes, bytes] = {}
 
     def ids_of(part: str) -> bytes:
         ids = [token.id for token in model.tokenize(part)]
         return pack(f"<{len(ids)}I", *ids)
 
-    def known(part: bytes) -> bytes:
-        found = cache.get(part)
+    def known(raw: bytes, make: Callable[[bytes], bytes]) -> bytes:
+        nonlocal cache, older
+        found = cache.get(raw)
         if found is None:
-            found = cache[part] = ids_of(part.decode())
+            found = older.get(raw)
+            if found is None:
+                found = make(raw)
+            if len(raw) <= CACHED_BYTES:
+                if len(cache) >= CACHED_CHUNKS // 2:
+                    cache, older = {}, cache
+                cache[raw] = found
         return found
 
+    def plain(part: bytes) -> bytes:
+        return ids_of(part.decode())
+
     def chunk(raw: bytes) -> bytes:
         if raw.isalpha():
             return ids_of(raw.lower().decode())
         if _PLAIN.fullmatch(raw):
-            return b"".join([known(part) for part in SPLIT_ASCII.findall(raw.lower())])
+            return b"".join([known(part, plain) for part in SPLIT_ASCII.findall(raw.lower())])
         text = raw.decode()
         if _LATIN.fullmatch(text):
             parts = SPLIT.findall(unicodedata.normalize("NFC", text).lower())
@@ -74,15 +89,12 @@ def encoder(vocabulary: str) -> Callable[[str], bytes]:
             ids = whole.encode(raw.decode(), add_special_tokens=False).ids
             return pack(f"<{len(ids)}I", *ids)
         chunks = (raw.lower() if raw.isascii() else raw).split()
+        return b"".join([ids_of_chunks(chunks[at : at + STRETCH]) for at in range(0, len(chunks), STRETCH)])
+
+    def ids_of_chunks(chunks: list[bytes]) -> bytes:
         try:
             return b"".join([cache[raw] for raw in chunks])
         except KeyError:
-            pass
-        if len(cache) + len(chunks) > CACHED_CHUNKS:
-            cache.clear()
-        for raw in chunks:
-            if raw not in cache:
-                cache[raw] = chunk(raw)
-        return b"".join([cache[raw] for raw in chunks])
+            return b"".join([known(raw, chunk) for raw in chunks])
 
     return encode
