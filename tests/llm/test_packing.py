@@ -48,6 +48,26 @@ def test_remembered_chunks_are_bounded(whole, monkeypatch):
     assert held < 5_000_000
 
 
+def test_chunks_met_once_do_not_drive_out_common_ones(whole, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_CHUNKS", 1_000)
+    made, pack = [], tokens.pack
+
+    def counted(form, *ids):
+        made.append(form)
+        return pack(form, *ids)
+
+    monkeypatch.setattr(tokens, "pack", counted)
+    encode = encoder.__wrapped__(VOCABULARY)
+    common = " ".join(f"q{chr(97 + n // 26)}{chr(97 + n % 26)}x" for n in range(200))
+    ids = [encode(common), encode(common)]
+    letters = "bcdfghjklm"
+    encode(" ".join("z" + "".join(letters[int(d)] for d in str(n)) for n in range(5_000)))
+    made.clear()
+    ids.append(encode(common))
+    assert len(made) < 20
+    assert {i for i in ids} == {np.array(whole.encode(common, add_special_tokens=False).ids, "<u4").tobytes()}
+
+
 def check(rows, docs, whole, capacity=4096):
     by_sequence = defaultdict(list)
     for row in rows:

@@ -3,7 +3,9 @@
 White space only separates in this vocabulary, so the ids of a text are the
 ids of its chunks in a row. Chunks repeat a lot; each worker keeps a bounded
 cache of them, in two halves: when the younger one is full it becomes the
-older one, and chunks met again come back from there, so common ones stay.
+older one, and chunks met again come back from there, so common ones stay. A
+chunk is kept from the second time on: most rare ones never come again, and a
+table of marks by hash, wiped from time to time, tells which were met before.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ import regex
 from tokenizers import Tokenizer
 
 # Chunks a worker remembers, and the bytes of the longest of them.
-CACHED_CHUNKS, CACHED_BYTES = 200_000, 64
+CACHED_CHUNKS, CACHED_BYTES = 300_000, 64
+# Places for marks, and how many are set before they are wiped.
+MARKS, MARKED = 1 << 21, 1 << 19
 # Chunks of a long text that are looked up together.
 STRETCH = 10_000
 
@@ -50,18 +54,26 @@ def encoder(vocabulary: str) -> Callable[[str], bytes]:
     model = whole.model
     cache: dict[bytes, bytes] = {}
     older: dict[bytes, bytes] = {}
+    met = bytearray(MARKS)
+    marked = 0
 
     def ids_of(part: str) -> bytes:
         ids = [token.id for token in model.tokenize(part)]
         return pack(f"<{len(ids)}I", *ids)
 
     def known(raw: bytes, make: Callable[[bytes], bytes]) -> bytes:
-        nonlocal cache, older
+        nonlocal cache, older, met, marked
         found = cache.get(raw)
         if found is None:
             found = older.get(raw)
             if found is None:
                 found = make(raw)
+                mark = hash(raw) % MARKS
+                if not met[mark]:
+                    if marked >= MARKED:
+                        met, marked = bytearray(MARKS), 0
+                    met[mark], marked = 1, marked + 1
+                    return found
             if len(raw) <= CACHED_BYTES:
                 if len(cache) >= CACHED_CHUNKS // 2:
                     cache, older = {}, cache
@@ -92,9 +104,9 @@ def encoder(vocabulary: str) -> Callable[[str], bytes]:
         return b"".join([ids_of_chunks(chunks[at : at + STRETCH]) for at in range(0, len(chunks), STRETCH)])
 
     def ids_of_chunks(chunks: list[bytes]) -> bytes:
-        try:
-            return b"".join([cache[raw] for raw in chunks])
-        except KeyError:
-            return b"".join([known(raw, chunk) for raw in chunks])
+        found = list(map(cache.get, chunks))
+        if None in found:
+            found = [known(raw, chunk) if ids is None else ids for raw, ids in zip(chunks, found, strict=True)]
+        return b"".join(found)
 
     return encode
