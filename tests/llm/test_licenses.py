@@ -69,3 +69,12 @@ def test_brute_force_counts_words_like_the_pattern(text):
 
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
     assert brute(text)[0] == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered))
+
+
+def test_words_are_made_once_and_only_a_to_z_is_lowered(spark):
+    """One pattern over all texts makes the words; a Kelvin sign or a dotted I is no letter of a phrase."""
+    texts = ["UNDER THE MIT LICENSE", "under the MİT license", "CC BY NC é", "CC BY NK", "releasÉd under the mit license"]
+    scanned = licenses.scan(documents(spark, [(n, text, "s") for n, text in enumerate(texts)]), phrases={"under the mit license": "mit", "cc by nc": "cc-by-nc", "by nk": "k"})
+    got = {r.doc_id: (r.n_words, r.base_labels) for r in licenses.summary(scanned).collect()}
+    assert got == {0: (4, "mit"), 1: (4, ""), 2: (4, "cc-by-nc"), 3: (3, ""), 4: (5, "mit")}
+    assert "regexp_count" not in scanned._jdf.queryExecution().analyzed().toString()
