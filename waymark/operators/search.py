@@ -65,6 +65,7 @@ def two_stage(
     nearer_first: bool = False,
     unit_items: bool = False,
     width: int | Column = WIDTH,
+    few: bool = False,
 ) -> DataFrame:
     """Nearest candidates by L2 within the radius, then the best by cosine.
 
@@ -72,7 +73,7 @@ def two_stage(
     ties by distance; ``unit_items`` takes the business vectors at length one,
     leaving out those without a direction. A query without text, place or candidate has no rows.
     """
-    hits = _hits(nearest(queries, items, candidates, "l2", radius_km, unit_items=unit_items, width=width))
+    hits = _hits(nearest(queries, items, candidates, "l2", radius_km, unit_items=unit_items, width=width, few=few))
     if min_cosine is not None:
         hits = hits.filter(F.col("similarity") >= min_cosine)
     order = [F.desc("similarity")] + ([F.asc("distance_km")] if nearer_first else [])
@@ -90,19 +91,19 @@ def form_search(queries: DataFrame, items: DataFrame, width: int | Column = WIDT
 
 
 def near_search(
-    queries: DataFrame, items: DataFrame, results: int = NEAR_RESULTS, width: int | Column = WIDTH
+    queries: DataFrame, items: DataFrame, results: int = NEAR_RESULTS, width: int | Column = WIDTH, few: bool = False
 ) -> DataFrame:
     """Unit business vectors against the query vector as it is."""
     return two_stage(
-        queries, items, NEAR_CANDIDATES, results, nearer_first=True, unit_items=True, width=width
+        queries, items, NEAR_CANDIDATES, results, nearer_first=True, unit_items=True, width=width, few=few
     )
 
 
 def global_search(
-    queries: DataFrame, items: DataFrame, results: int = GLOBAL_RESULTS, width: int | Column = WIDTH
+    queries: DataFrame, items: DataFrame, results: int = GLOBAL_RESULTS, width: int | Column = WIDTH, few: bool = False
 ) -> DataFrame:
     """No place: unit vectors on both sides, largest inner product."""
-    found = nearest(queries, items, results, "ip", unit_queries=True, unit_items=True, width=width)
+    found = nearest(queries, items, results, "ip", unit_queries=True, unit_items=True, width=width, few=few)
     hits = _hits(found)
     return rerank(hits, results, F.desc("similarity")).select(
         "query_id", "rank", "business_id", *_shown("similarity")
@@ -110,11 +111,11 @@ def global_search(
 
 
 def kb_search(
-    queries: DataFrame, items: DataFrame, results: int = KB_RESULTS, width: int | Column = WIDTH
+    queries: DataFrame, items: DataFrame, results: int = KB_RESULTS, width: int | Column = WIDTH, few: bool = False
 ) -> DataFrame:
     """Smallest squared distance. ``similarity_score`` is that distance, so
     lower is better in spite of its name."""
-    found = _hits(nearest(queries, items, results, "l2", width=width))
+    found = _hits(nearest(queries, items, results, "l2", width=width, few=few))
     return found.select(
         "query_id", "rank", "business_id", F.round(F.round("l2", SHOWN), 4).alias("similarity_score")
     )
@@ -154,9 +155,11 @@ def follow_up(
     )
 
 
-def preference_search(queries: DataFrame, items: DataFrame, width: int | Column = WIDTH) -> DataFrame:
+def preference_search(
+    queries: DataFrame, items: DataFrame, width: int | Column = WIDTH, few: bool = False
+) -> DataFrame:
     """Best business near each user for the user's preference vector."""
-    return near_search(queries, items, PREFERENCE_RESULTS, width)
+    return near_search(queries, items, PREFERENCE_RESULTS, width, few)
 
 
 def pair_scores(pairs: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ def prefs_text_recommend(v: SampleViews) -> DataFrame:
     asked = v.user().select(F.col("user_id").alias("query_id"), "city", "state", "categories")
     queries = geo_join.locate(embed.embed_words(asked, "categories"), geo_join.gazetteer(v.business()))
     texts = embed.embed_words(_prose(v), "combined_text")
-    found = search.preference_search(queries, search.as_items(texts))
+    found = search.preference_search(queries, search.as_items(texts), few=True)
     return found.withColumnRenamed("query_id", "user_id")
 
 
